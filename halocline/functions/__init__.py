@@ -1,0 +1 @@
+"""Column expressions: pure functions of columns, no user-defined functions."""

@@ -1,0 +1 @@
+"""Named queries over grids and tables, and the same in DuckDB SQL."""
