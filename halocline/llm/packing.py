@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LENGTH, END_ID = 4096, 2
-REMEMBERED = 400_000  # words a worker keeps at most; then it starts anew
+REMEMBERED = 800_000  # words a worker keeps at most; then it starts anew
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
 
@@ -34,28 +33,74 @@ def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-@lru_cache(1)
-def _tokenizer(path: str):
-    import os
+class _Words:
+    """Ids of words, kept as bytes of unsigned 32-bit numbers."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that close a word
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Words of letters alone are one run to the tokenizer, so many are encoded as one text and parted at the ids
+        that close a word; full stops and commas behind letters are a run of their own."""
+        known, stems, stem_of = self.known, set(), {}
+        for w in words:
+            stem = w.rstrip(".,")
+            if stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in stem:
+                stem_of[w] = lower = stem.lower()
+                if lower not in known:
+                    stems.add(lower)
+            else:
+                known[w] = self.whole(w)
+        if stems:
+            order = list(stems)
+            ids = np.array(self.tokenizer.encode(" ".join(order), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(order):
+                raw, start = ids.tobytes(), 0
+                for w, end in zip(order, (4 * cuts).tolist(), strict=True):
+                    known[w] = raw[start:end]
+                    start = end
+            else:  # a vocabulary that parts words otherwise
+                for w in order:
+                    known[w] = self.whole(w)
+        for w, lower in stem_of.items():
+            tail = w[len(w.rstrip(".,")) :]
+            if tail and tail not in known:
+                known[tail] = self.whole(tail)
+            if w != lower:
+                known[w] = known[lower] + (known[tail] if tail else b"")
+
+    def ids(self, text: str) -> bytes:
+        if not ODD_SPACE.isdisjoint(text):
+            return self.whole(text)
+        words = text.split()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if new := {w for w in words if w not in self.known}:
+            self.learn(new)
+        return b"".join(map(self.known.__getitem__, words))
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+@lru_cache(1)
+def _words(path: str) -> _Words:
+    return _Words(path)
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
     """The ids of `text` as the tokenizer file at `path` gives them without special tokens added."""
-    tokenizer, known = _tokenizer(path)
-    if ODD_SPACE.isdisjoint(text):
-        words = text.split()
-        if len(known) > REMEMBERED:
-            known.clear()
-        if new := list({w for w in words if w not in known}):
-            for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = tuple(e.ids)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), "<u4")
-    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    return np.frombuffer(_words(path).ids(text), "<u4")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, longest: int = MAX_LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
