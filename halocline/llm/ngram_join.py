@@ -4,15 +4,15 @@ A document's set holds its distinct shingles of five words, as 64-bit hashes; do
 named by a hash of the set (`key`), and only classes are compared. Two sets of Jaccard similarity 0.8 or more share,
 under any global order of tokens, one of the first s - ceil(0.8 s) + 1 tokens of each (s: set size).
 
-* First order: by hash. Prefix tokens meet by token. A token of at most COLD classes gives all their pairs. Sets that
-  hold a token of more classes in their prefix could be linked through such tokens only, so they take the second order.
-* Second order: rarest first, by exact counts among those sets. Only tokens of two or more sets travel back to their
-  sets, where the rest of the prefix is known to be of single ones. Large groups are first linked to one leader per
-  token, then components are found, and only pairs across components that still share a prefix token are compared.
-* Third and fourth order: two more hash orders, whose prefixes a pair must share before its sets are intersected.
+* First order: rarest first, by exact counts of sets. Only tokens of two or more sets travel back to their sets, where
+  the rest of a prefix is known to be of tokens that no other set has.
+* Second and third order: by two hashes. A pair must share prefix tokens under each before its sets are intersected.
 
-The work is linear in the tokens, but for tokens in which sets of different components meet after the leaders' rounds;
-nothing is capped. Links are joined to components by alternating stars over written tables.
+Tokens of one set alone bound what a set can share with any other, so pairs whose bound is too low are never made.
+Groups of many similar sets aren't compared pair by pair: per token, each set is first compared with the one that has
+fewest tokens of its own, and components are found; then with another; last, only pairs of different components that
+still share a prefix token are compared, which makes the result exact. The work is linear in the tokens but for that
+last step; nothing is capped. Links are joined to components by alternating stars over written tables.
 
 Shingle and class hashes are 64 bits: two different shingles are taken for one with a chance of 2^-64 a pair.
 Defined results: no words, empty or null text: no shingles and no links; a null doc_id takes part in no link and has a
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, small_side, written
 
-WIDTH, PERCENT, COLD = 5, 80, 8
+WIDTH, PERCENT = 5, 80
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))  # odd: times these, hashes are in another order
 
@@ -89,30 +89,27 @@ def profiles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_shingles bigint, key bigint")
 
 
-def tokens(docs: DataFrame, width: int, percent: int | None) -> DataFrame:
-    """(token, key, n): the prefix under the hash order of every set, or all its tokens; equal sets once a task."""
+def tokens(docs: DataFrame, width: int) -> DataFrame:
+    """(token, key, n) of every set of docs (key, text)."""
 
     def run(batches):
-        seen: set[int] = set()
         for batch in batches:
-            out, keys, sizes = [], [], []
-            for _, text in _pairs(batch):
+            out, keys, sizes, held = [], [], [], 0
+            for key, text in _pairs(batch):
                 s = shingles(text or "", width)
-                if not len(s) or (key := set_key(s)) in seen:
+                if set_key(s) != key:  # a doc_id with several texts brings those of other classes along
                     continue
-                if len(seen) < 1_000_000:
-                    seen.add(key)
-                part = s if percent is None else s[: prefix_length(len(s), percent)]
-                out.append(part)
-                keys.append(np.full(len(part), key, np.int64))
-                sizes.append(np.full(len(part), len(s), np.int32))
-                if sum(map(len, out[-64:])) > 2_000_000 or len(out) >= 4096:
+                out.append(s)
+                keys.append(np.full(len(s), key, np.int64))
+                sizes.append(np.full(len(s), len(s), np.int32))
+                held += len(s)
+                if held > 1_000_000:
                     yield _tokens(out, keys, sizes)
-                    out, keys, sizes = [], [], []
+                    out, keys, sizes, held = [], [], [], 0
             if out:
                 yield _tokens(out, keys, sizes)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "token bigint, key bigint, n int")
+    return docs.select("key", "text").mapInArrow(run, "token bigint, key bigint, n int")
 
 
 def _tokens(out, keys, sizes) -> pa.RecordBatch:
@@ -128,9 +125,6 @@ def with_text(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of keys whose sets are similar; whole texts meet, each pair once."""
-    size = lambda k: reps.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"))
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    pairs = written(pairs.join(size("a"), "a").join(size("b"), "b").where(fits).select("a", "b"), "pairs")
     ends = written(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(reps, "key").select("key", "rep"), "pair-ends")
     texts = with_text(docs, ends)
     side = lambda k: texts.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}"))
@@ -144,7 +138,6 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, per
                 if a != last:
                     last, held = a, shingles(text_a or "", width)
                 other = shingles(text_b or "", width)
-                # A doc_id with several texts brings those of other classes along.
                 if set_key(held) == a and set_key(other) == b and similar(held, other, percent):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -153,20 +146,21 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, per
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, component): the smallest key reachable, for every key in an edge (a, b), by alternating large and small stars."""
+    """(key, component): the smallest key reachable, for every key in an edge (a, b), by alternating large and small stars.
+
+    A large star hangs a node's larger neighbours on its smallest one. It joins, so that Spark can split the rows of a
+    node with very many neighbours; the small star that follows only sees the few smaller ones of a node.
+    """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     told = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = written(small, "edges")
         drop_written(edges)
-        drop_written(large)
         edges = new
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == told:
@@ -176,45 +170,52 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("component")).union(roots)
 
 
-def linked(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes, enough to connect every component."""
-    by_token = Window.partitionBy("token")
-    first = tokens(docs, width, percent).select("token", "key").repartition("token").withColumn("n", F.count(F.lit(1)).over(by_token)).where("n > 1")
-    first = written(first, "prefixes")
-    # Groups that meet in several tokens are one row; a group has at most COLD members.
-    groups = first.where(F.col("n") <= COLD).groupBy("token").agg(F.sort_array(F.collect_set("key")).alias("g")).where("size(g) > 1").select("g").distinct()
-    cold = groups.select("g", F.posexplode("g").alias("i", "a")).select("a", F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("b")).distinct()
-    hot = written(first.where(F.col("n") > COLD).select("key").distinct().join(reps, "key").select("key", "rep"), "hot")
-    # Second order. One document stands for its class, so a token counts sets.
-    rows = tokens(with_text(docs, hot).select("doc_id", "text"), width, None).repartition("token").withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1")
+def rare_prefixes(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """(token, key, n, shared): prefix tokens, rarest first, that two or more sets have; `shared` counts all such tokens
+    of the set, in its prefix or not."""
+    # One document stands for its class, so a token's rows count sets.
+    rows = tokens(with_text(docs, reps), width).repartition("token").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
     by_key = Window.partitionBy("key")
-    rows = rows.withColumns({"shared": F.count(F.lit(1)).over(by_key), "rank": F.row_number().over(by_key.orderBy("df", "token"))})
+    rows = rows.withColumns({"shared": F.count(F.lit(1)).over(by_key).cast("int"), "rank": F.row_number().over(by_key.orderBy("df", "token"))})
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rows = written(rows.where(F.col("rank") <= length - (F.col("n") - F.col("shared"))).select("token", "key", "n"), "rare-prefixes")
-    star = lambda r, leader: r.withColumn("lead", leader.over(by_token)).where("lead <> key").select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b"))
-    tried = written(cold.union(star(rows, F.min("key"))).distinct(), "tried")
-    drop_written(first)
-    links = verified(tried, reps, docs, width, percent)
+    return rows.where(F.col("rank") <= length - (F.col("n") - F.col("shared"))).select("token", "key", "n", "shared")
+
+
+def within_bound(a: str, b: str, percent: int):
+    """Whether two sets (structs with n and shared) could be similar if all that they share with others were common."""
+    return F.least(f"{a}.shared", f"{b}.shared") * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent
+
+
+def with_leaders(rows: DataFrame, order, percent: int) -> DataFrame:
+    """Pairs (a, b) of each set and the first by `order` among the sets of a token."""
+    leader = F.min(F.struct(order.alias("o"), "key", "n", "shared")).over(Window.partitionBy("token"))
+    pairs = rows.select(F.struct("key", "n", "shared").alias("x"), leader.alias("y")).where((F.col("x.key") != F.col("y.key")) & within_bound("x", "y", percent))
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
+def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, component) of the classes that have links."""
+    rows = written(rare_prefixes(docs, reps, width, percent), "prefixes")
+    tried = written(with_leaders(rows, F.col("n") - F.col("shared"), percent), "tried")
+    of = components(verified(tried, reps, docs, width, percent))
     for last in (False, True):
-        if rows.isEmpty():
-            break
-        found = rows.join(components(links).withColumnRenamed("component", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
+        found = rows.join(of.withColumnRenamed("component", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
+        by_token = Window.partitionBy("token")
         found = found.withColumns({"least": F.min("c").over(by_token), "most": F.max("c").over(by_token)}).where("least <> most").drop("least", "most")
         found = written(found, "mixed-prefixes")
-        if found.isEmpty():
-            break
-        if not last:
-            pairs = star(found, F.max("key")).distinct()
+        if last:
+            x = found.select("token", "c", F.struct("key", "n", "shared").alias("x"))
+            y = found.select("token", F.col("c").alias("d"), F.struct("key", "n", "shared").alias("y"))
+            apart = (F.col("x.key") < F.col("y.key")) & (F.col("c") != F.col("d")) & within_bound("x", "y", percent)
+            pairs = x.join(y, "token").where(apart).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
         else:
-            other = found.select("token", F.col("key").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-            fits = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
-            pairs = found.withColumnRenamed("key", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("cb")) & fits).select("a", "b").distinct()
+            pairs = with_leaders(found, F.xxhash64("key"), percent)
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "further-pairs")
-        if pairs.isEmpty():
-            continue
-        links = links.union(verified(pairs, reps, docs, width, percent))
+        links = verified(pairs, reps, docs, width, percent)
         tried = tried.union(pairs)
-    return links
+        if not links.isEmpty():
+            of = components(links.union(of.select("key", "component")))
+    return of
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -222,8 +223,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     own = written(profiles(docs, width), "profiles")
     classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").cast("int").alias("n"))
     reps = written(classes, "classes")
-    links = linked(docs, reps, width, percent)
-    named = reps.join(components(links), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
+    named = reps.join(class_components(docs, reps, width, percent), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_key = named.join(least, "component").select("key", "component_id")
     # Only classes of several documents or with links need the join; the others are their own component.
