@@ -19,15 +19,14 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
-K, S, KEPT, SLACK = 16, 8, 128, 2
-OUT = "pid int, head boolean, tail boolean, doc_id bigint, text string, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+K, S, KEPT, SLACK, RANGES_A_TASK = 16, 8, 128, 2, 8
+OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -115,51 +114,40 @@ def described(doc_id, text: str, own, after: str, next_anchors) -> tuple:
 def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row per document with its fingerprint and those of its edited text, next document in order of doc_id.
 
-    The rows are dealt by ranges of doc_id, so a document's next one stands in the same task, but for the last row of
-    each task: that one and the task's first row are set aside as whole texts, two a task, and joined by task number.
+    The documents are dealt into ranges of doc_id, several a task, bounded by approximate quantiles. The first document
+    of each range is dealt once more, as the end of the range before it (that of the first range ends the last one), so
+    that every document meets its next one in its own task, where the ranges stream past in order. What the driver and
+    the tasks hold of the ranges is a few numbers each.
     """
     spark = docs.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ranges = RANGES_A_TASK * n
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bounds = sorted(set(rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.float64), side="right")), dtype="int32")
+
+    dealt = rows.withColumn("range", range_of("doc_id"))
+    firsts = {r.range: r.doc_id for r in dealt.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("f")).select("range", "f.doc_id").collect()}
+    order = sorted(firsts)
+    ends = spark.createDataFrame([(r, firsts[after]) for r, after in zip(order, order[1:] + order[:1], strict=True)], "range int, first bigint")
+    again = rows.join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", "range", F.lit(True).alias("end"))  # a row for each range
 
     def walk(batches):
-        pid, held, first = TaskContext.get().partitionId(), None, True
+        held = None  # the document before, of the same range
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out = []
+            for end, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 text = text or ""
+                if end and held is None:
+                    continue  # a further row with the doc_id of the range's end
                 own = anchors(text)
                 if held is not None:
-                    rows.append((pid, False, False, held[0], None, *described(*held, text, own)[1:]))
-                if first:
-                    rows.append((pid, True, False, doc_id, text, *[None] * 6))
-                    first = False
-                held = doc_id, text, own
-            yield _table(rows)
-        if held is not None:
-            yield _table([(pid, False, True, held[0], held[1], *[None] * 6)])
-
-    order = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = order.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    done = written(dealt.mapInArrow(walk, OUT), "fingerprints")
-    inner = done.where("not head and not tail")
-    heads = done.where("head").select("pid", F.col("text").alias("after"))
-    # Two rows a task, the task's number small: the next non-empty task, the first one again after the last.
-    pids = sorted(r.pid for r in heads.select("pid").collect())
-    follow = spark.createDataFrame(list(zip(pids, pids[1:] + pids[:1], strict=True)), "pid int, next int")
-    edges = done.where("tail").select("pid", "doc_id", "text").join(follow, "pid").join(heads.withColumnRenamed("pid", "next"), "next")
-
-    def finish(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text, after in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows.append((None, False, False, doc_id, None, *described(doc_id, text, anchors(text), after, anchors(after))[1:]))
-            yield _table(rows)
-
-    last = edges.select("doc_id", "text", "after").mapInArrow(finish, OUT)
-    return inner.unionByName(last).drop("pid", "head", "tail", "text")
-
+                    out.append(described(*held, text, own))
+                held = None if end else (doc_id, text, own)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(KINDS)], [x.split()[0] for x in OUT.split(", ")])
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    names = [x.split()[0] for x in OUT.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    met = dealt.withColumn("end", F.lit(False)).unionByName(again).repartition(n, "range").sortWithinPartitions("range", "end", "doc_id", "text")
+    return met.select("end", "doc_id", "text").mapInArrow(walk, OUT)
