@@ -29,6 +29,10 @@ REMEMBERED = 400_000
 RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
+def utf8_length(char: str) -> int:
+    return len(char.encode("utf-8", "surrogatepass"))
+
+
 class Vocabulary:
     """Pieces and scores, their automaton, and whether words can be counted one by one."""
 
@@ -47,25 +51,35 @@ class Vocabulary:
 
     def count_run(self, text: str) -> int:
         """Pieces of the best path over `text`, whose spaces are marks already."""
-        n = len(text)
-        score: list[float | None] = [0.0] + [None] * n
-        count = [0] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by end: (length, score) of the pieces
-        for last, found in self.automaton.iter(text) if self.scores else ():
-            ends[last].append(found)
-        for last in range(n):
-            best, pieces = None, 0
-            single = False
-            for length, own in sorted(ends[last], reverse=True):  # earliest start first
-                single |= length == 1
-                before = score[last + 1 - length] + own
-                if best is None or before > best:
-                    best, pieces = before, count[last + 1 - length] + 1
-            if not single:
-                before = score[last] + self.unknown
-                if best is None or before > best:
-                    best, pieces = before, count[last] + len(text[last].encode("utf-8", "surrogatepass"))
-            score[last + 1], count[last + 1] = best, pieces
+        n, unknown = len(text), self.unknown
+        score, count = [0.0] * (n + 1), [0] * (n + 1)
+        done, end, best, pieces, single = 0, -1, 0.0, 0, True  # `done` positions are settled, `end` is being settled
+
+        def settle(upto: int) -> None:
+            """Close the open position; characters without any piece before `upto` are unknown ones."""
+            nonlocal done
+            if done <= end:
+                if not single and score[end] + unknown > best:
+                    score[end + 1], count[end + 1] = score[end] + unknown, count[end] + utf8_length(text[end])
+                else:
+                    score[end + 1], count[end + 1] = best, pieces
+                done = end + 1
+            while done < upto:
+                score[done + 1], count[done + 1] = score[done] + unknown, count[done] + utf8_length(text[done])
+                done += 1
+
+        # The automaton tells ends in order, and for one end the longest piece, of the earliest start, first.
+        for last, (length, own) in self.automaton.iter(text) if self.scores else ():
+            if last != end:
+                settle(last)
+                end, best, single = last, float("-inf"), False
+            start = last + 1 - length
+            new = score[start] + own
+            if new > best:
+                best, pieces = new, count[start] + 1
+            if length == 1:
+                single = True
+        settle(n)
         return count[n]
 
     def count(self, text: str) -> int:
