@@ -6,7 +6,7 @@ from the first interior one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.header import Header
@@ -36,7 +36,7 @@ def linear(i: Column, j: Column, h: Header) -> Column:
 
 def core_of_linear(n: Column, h: Header) -> tuple[Column, Column]:
     """Core i and j of a linear index."""
-    return _int(n % h.ni - h.halo_w), _int(F.floor(n / h.ni) - h.halo_s)
+    return _int(_mod(n, h.ni) - h.halo_w), _int(_div(n, h.ni) - h.halo_s)
 
 
 def periodic(i: Column, j: Column, h: Header) -> tuple[Column, Column]:
@@ -47,7 +47,7 @@ def periodic(i: Column, j: Column, h: Header) -> tuple[Column, Column]:
 
 def wrap(v: Column, lower: int, upper: int) -> Column:
     """v modulo the width, in [lower, upper)."""
-    return F.lit(lower) + F.pmod(v - lower, F.lit(upper - lower))
+    return F.lit(lower) + F.coalesce(F.pmod(v - lower, F.lit(upper - lower)), F.lit(0))
 
 
 def core_periodic(i: Column, j: Column, h: Header) -> tuple[Column, Column]:
@@ -85,27 +85,41 @@ def clamp(v: Column, lower: int, upper: int) -> Column:
     return F.greatest(F.lit(lower), F.least(v, F.lit(upper)))
 
 
-def checkerboard_part(i: Column, j: Column, h: Header, parts: int, bands: int | None = None) -> Column:
-    """The part of the checkerboard that owns core (i, j), in closed form.
+def checkerboard(core: DataFrame, h: Header, parts: int, bands: int | None = None) -> DataFrame:
+    """Core points (n, ix, iy) with the part of the checkerboard that owns them, in closed form instead of by ranking.
 
     The points in row-major order are cut into equal bands, the points of a band in column-major order into equal
-    parts; where numbers don't divide, the first ones get one more.
+    parts; where numbers don't divide, the first ones get one more. Columns are made in steps, each used several times
+    by the next, so that the plan keeps them apart and evaluates each once.
     """
     bands = bands or default_bands(parts)
-    size, each = h.nx * h.ny, parts // bands
-    n = j.cast("bigint") * h.nx + i
-    band = bucket(n, F.lit(size), bands)
-    start = lambda b: b * (size // bands) + F.least(b, F.lit(size % bands))
-    s, e = start(band), start(band + 1)
-    before = lambda x: F.floor(x / h.nx) * i + F.least(x % h.nx, i)
-    rank = before(e) - before(s) + j - F.ceil((s - i) / h.nx)
-    return (band * each + bucket(rank, e - s, each)).cast("int")
+    size, each, nx = h.nx * h.ny, parts // bands, h.nx
+    q, r = size // bands, size % bands
+    i, j = F.col("ix"), F.col("iy")
+    start = lambda b: b * q + F.least(b, F.lit(r))
+    before = lambda x: _div(x, nx) * i + F.least(_mod(x, nx), i)  # noqa: E731  points of columns under i among the first x
+    out = core.withColumn("band", bucket(F.col("n"), F.lit(size), bands))
+    out = out.withColumns({"s": start(F.col("band")), "e": start(F.col("band") + 1)})
+    out = out.withColumn("rank", before(F.col("e")) - before(F.col("s")) + j + _div(i - F.col("s"), nx))  # less the column's first row
+    out = out.withColumn("q", _div(F.col("e") - F.col("s"), each)).withColumn("r", F.col("e") - F.col("s") - F.col("q") * each)
+    low = F.col("rank") < F.col("r") * (F.col("q") + 1)
+    at = F.when(low, _div(F.col("rank"), F.col("q") + 1)).otherwise(F.col("r") + _div(F.col("rank") - F.col("r") * (F.col("q") + 1), F.greatest(F.col("q"), F.lit(1))))
+    return out.withColumn("part", (F.col("band") * each + at).cast("int")).select(*core.columns, "part")
+
+
+def _div(a: Column, b) -> Column:
+    """Whole division downwards; never null, so that joins on it need no null filters."""
+    return F.coalesce(F.floor(a / b), F.lit(0)).cast("bigint")
+
+
+def _mod(a: Column, b) -> Column:
+    return F.coalesce(a % b, F.lit(0))
 
 
 def bucket(rank: Column, size: Column, k: int) -> Column:
     """0-based number of the bucket of `rank` when `size` ranks are cut into k, the first ones longer by one."""
-    q, r = F.floor(size / k), size % k
-    return F.when(rank < r * (q + 1), F.floor(rank / (q + 1))).otherwise(r + F.floor((rank - r * (q + 1)) / F.greatest(q, F.lit(1)))).cast("bigint")
+    q, r = _div(size, k), _mod(size, k)
+    return F.when(rank < r * (q + 1), _div(rank, q + 1)).otherwise(r + _div(rank - r * (q + 1), F.greatest(q, F.lit(1)))).cast("bigint")
 
 
 def default_bands(parts: int) -> int:

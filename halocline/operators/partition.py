@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fold import checkerboard_part, core_periodic
+from ..functions.fold import checkerboard, core_periodic
 from .header import Header
 
 PARTITIONERS = ("serial", "checkerboard")
@@ -22,8 +22,9 @@ def owners(spark: SparkSession, h: Header, parts: int, bands: int | None = None,
     if parts < 1 or bands and parts % bands:
         raise ValueError("parts must be positive and a multiple of the bands")
     core = spark.range(h.nx * h.ny).select(F.col("id").alias("n"), (F.col("id") % h.nx).cast("int").alias("ix"), F.floor(F.col("id") / h.nx).cast("int").alias("iy"))
-    part = F.lit(0) if partitioner == "serial" else checkerboard_part(F.col("ix"), F.col("iy"), h, parts, bands)
-    return core.withColumn("part", part)
+    if partitioner == "serial":
+        return core.withColumn("part", F.lit(0))
+    return checkerboard(core, h, parts, bands)
 
 
 def check_halo(parts: int, halo: int) -> None:

@@ -12,7 +12,7 @@ from .header import Header
 def spine(spark: SparkSession, h: Header) -> DataFrame:
     """(n, ih, jh, i, j) of every point in row-major order, with the halo."""
     n = F.col("id")
-    ih, jh = (n % h.ni).cast("int"), F.floor(n / h.ni).cast("int")
+    ih, jh = F.coalesce(n % h.ni, F.lit(0)).cast("int"), F.floor(n / h.ni).cast("int")  # remainders pass as nullable
     return spark.range(h.size).select(n.alias("n"), ih.alias("ih"), jh.alias("jh"), (ih - h.halo_w).alias("i"), (jh - h.halo_s).alias("j"))
 
 

@@ -63,11 +63,11 @@ def registry_scan(spark, sf_dir):
 
 
 @query(f"""WITH {REG}, asked(asked) AS (VALUES {", ".join(f"('{a}')" for a in ASKED)})
-SELECT asked, coalesce(u.key, n.key) AS key, coalesce(u.grid_name, n.grid_name) AS grid_name, coalesce(u.arrangement, n.arrangement) AS arrangement, coalesce(u.ni, n.ni) AS ni, coalesce(u.nj, n.nj) AS nj
+SELECT asked, coalesce(u.key, n.key) AS key, coalesce(u.grid_name, n.grid_name) AS grid_name, coalesce(u.arrangement, n.arrangement) AS arrangement, coalesce(u.ni, n.ni, 0) AS ni, coalesce(u.nj, n.nj, 0) AS nj
 FROM asked LEFT JOIN reg u ON u.key = lower(asked) LEFT JOIN reg n ON n.key = regexp_replace(upper(asked), '^E', 'e')""")
 def registry_alias_lookup(spark, sf_dir):
     asked = spark.createDataFrame([(a,) for a in ASKED], "asked string")
-    return registry.resolve(asked, registry.specs(spark)).select("asked", "key", "grid_name", "arrangement", "ni", "nj")
+    return registry.resolve(asked, registry.specs(spark)).select("asked", "key", "grid_name", "arrangement", F.coalesce("ni", F.lit(0)).alias("ni"), F.coalesce("nj", F.lit(0)).alias("nj"))
 
 
 @query(f"""WITH asked(asked) AS (VALUES {", ".join(f"('{a}')" for a in ASKED)})
@@ -104,9 +104,9 @@ def url_cached_path(spark, sf_dir):
 
 
 @query("""SELECT r AS n, CASE WHEN r < 1024 THEN printf('%.1f', r::DOUBLE) || ' B' WHEN r < 1048576 THEN printf('%.1f', r / 1024.0::DOUBLE) || ' KiB' WHEN r < 1073741824 THEN printf('%.1f', r / 1048576.0::DOUBLE) || ' MiB' ELSE printf('%.1f', r / 1073741824.0::DOUBLE) || ' GiB' END AS size
-FROM (SELECT (i * i * i * 97)::BIGINT AS r FROM range(0, 300) t(i))""")
+FROM (SELECT (i * i * i * 97 + 13)::BIGINT AS r FROM range(0, 300) t(i))""")
 def pretty_sizes(spark, sf_dir):
-    n = spark.range(300).select((F.col("id") * F.col("id") * F.col("id") * 97).alias("n"))
+    n = spark.range(300).select((F.col("id") * F.col("id") * F.col("id") * 97 + 13).alias("n"))
     return n.select("n", registry.pretty_bytes(F.col("n")).alias("size"))
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from ..operators.header import Header
 
 
+WIDE = 100_000  # more than any row or column of a local grid
+
+
 def spine(h: Header, name: str = "pts") -> str:
     return f"{name} AS (SELECT r AS n, (r % {h.ni})::INTEGER AS ih, (r // {h.ni})::INTEGER AS jh, (r % {h.ni} - {h.halo_w})::INTEGER AS i, (r // {h.ni} - {h.halo_s})::INTEGER AS j FROM range({h.size}) t(r))"
 
@@ -24,14 +27,14 @@ def fold(src: str, dst: str, h: Header, i: str = "ih", j: str = "jh", mi: str =
 def masters(h: Header) -> str:
     """CTE `grid`: the spine with mi, mj, n_master and ghost."""
     return f"""{spine(h)}, {fold("pts", "folded", h)},
-grid AS (SELECT *, mj::BIGINT * {h.ni} + mi AS n_master, jh < {h.halo_s} OR mi <> ih OR mj <> jh AS ghost FROM folded)"""
+grid AS MATERIALIZED (SELECT *, mj::BIGINT * {h.ni} + mi AS n_master, jh < {h.halo_s} OR mi <> ih OR mj <> jh AS ghost FROM folded)"""
 
 
 def owner(h: Header, parts: int, bands: int) -> str:
     each = parts // bands
     return f"""core AS (SELECT r AS n, (r % {h.nx})::INTEGER AS ix, (r // {h.nx})::INTEGER AS iy FROM range({h.nx * h.ny}) t(r)),
 banded AS (SELECT *, ntile({bands}) OVER (ORDER BY n) - 1 AS band FROM core),
-owner AS (SELECT n, ix, iy, (band * {each} + ntile({each}) OVER (PARTITION BY band ORDER BY ix, iy) - 1)::INTEGER AS part FROM banded)"""
+owner AS MATERIALIZED (SELECT n, ix, iy, (band * {each} + ntile({each}) OVER (PARTITION BY band ORDER BY ix, iy) - 1)::INTEGER AS part FROM banded)"""
 
 
 def wrapped(x: str, width: int) -> str:
@@ -63,8 +66,8 @@ seen AS (SELECT a.mypart, a.gi, a.gj, min(greatest(abs(dx), abs(dy))) AS d FROM
     return f"""{rectangles(h, parts, bands, halo)},
 box AS (SELECT part AS mypart, gi::INTEGER AS gi, unnest(range(iy_min, iy_max + 1))::INTEGER AS gj FROM (SELECT part, unnest(range(ix_min, ix_max + 1)) AS gi, iy_min, iy_max FROM rect)),
 {turned("box", "tbox", h, "gi", "gj")},
-rp AS (SELECT mypart, gi, gj, o.part, o.part <> mypart OR pi <> gi OR pj <> gj AS is_ghost FROM tbox JOIN owner o ON o.n = pj::BIGINT * {h.nx} + pi),{near}
-rect_point AS (SELECT mypart, gi, gj, part, (CASE WHEN is_ghost THEN {dist} ELSE 0 END)::INTEGER AS halo, is_ghost FROM rp {"LEFT JOIN seen USING (mypart, gi, gj)" if near else ""})"""
+rp AS MATERIALIZED (SELECT mypart, gi, gj, o.part, o.part <> mypart OR pi <> gi OR pj <> gj AS is_ghost FROM tbox JOIN owner o ON o.n = pj::BIGINT * {h.nx} + pi),{near}
+rect_point AS MATERIALIZED (SELECT mypart, gi, gj, part, (CASE WHEN is_ghost THEN {dist} ELSE 0 END)::INTEGER AS halo, is_ghost FROM rp {"LEFT JOIN seen USING (mypart, gi, gj)" if near else ""})"""
 
 
 def extents(h: Header) -> str:
@@ -85,7 +88,7 @@ lkey AS (SELECT *, (hi < 0 AND hi >= {-w}) OR (hi >= {nx} AND hi < {nx + h.halo_
 lnear AS (SELECT *, CASE WHEN edge THEN greatest(0, least(gi, {nx - 1})) ELSE gi END AS ki, CASE WHEN edge THEN greatest(0, least(gj, {ny - 1})) ELSE gj END AS kj,
           hi + {w} AS hih, hj + {s} AS hjh FROM lkey),
 {fold("lnear", "lown", h, "hih", "hjh", "oi", "oj")},
-loc AS (SELECT l.mypart, (gi_ - ix_min)::INTEGER AS ix, (gj_ - iy_min)::INTEGER AS iy, gi_ AS gi, gj_ AS gj, hi::INTEGER AS hi, hj::INTEGER AS hj,
+loc AS MATERIALIZED (SELECT l.mypart, (gi_ - ix_min)::INTEGER AS ix, (gj_ - iy_min)::INTEGER AS iy, gi_ AS gi, gj_ AS gj, hi::INTEGER AS hi, hj::INTEGER AS hj,
         hjh::BIGINT * {h.ni} + hih AS n_haloed, mj::BIGINT * {h.ni} + mi AS n_master, r.part, r.halo,
         r.is_ghost OR hi <> gi_ OR hj <> gj_ AS is_ghost,
         CASE WHEN hj < 0 AND hi >= 0 AND hi < {nx} THEN r.is_ghost OR hi <> gi_ OR hj <> gj_
@@ -100,7 +103,7 @@ def nodes(h: Header, parts: int, bands: int, halo: int) -> str:
     return f"""{local_points(h, parts, bands, halo)},
 numb AS (SELECT *, row_number() OVER (PARTITION BY mypart ORDER BY is_ghost, iy, ix) - 1 AS inode,
          greatest(0, least(n_master % {h.ni} - {h.halo_w}, {h.nx - 1})) AS ci, greatest(0, least(n_master // {h.ni} - {h.halo_s}, {h.ny - 1})) AS cj FROM loc),
-node AS (SELECT mypart, inode, l.ix, l.iy, gi, gj, hi, hj, n_master, n_haloed + 1 AS glb_idx,
+node AS MATERIALIZED (SELECT mypart, inode, l.ix, l.iy, gi, gj, hi, hj, n_master, n_haloed + 1 AS glb_idx,
          CASE WHEN is_ghost_own_halo THEN n_master ELSE n_haloed END + 1 AS master_glb_idx, ({remote})::BIGINT AS remote_idx,
          ({master})::INTEGER AS part, is_ghost_own_halo AS ghost, is_ghost, halo, is_cell
          FROM numb l JOIN owner o ON o.ix = ci AND o.iy = cj)"""
@@ -109,14 +112,13 @@ node AS (SELECT mypart, inode, l.ix, l.iy, gi, gj, hi, hj, n_master, n_haloed +
 def cells(h: Header, parts: int, bands: int, halo: int, patched: bool) -> str:
     folded = f"a.gj >= {h.ny - 1} AND NOT ({'true' if patched else 'false'} AND a.gi < {h.nx // 2})"
     return f"""{nodes(h, parts, bands, halo)},
+place AS MATERIALIZED (SELECT *, (mypart::BIGINT * {WIDE} + iy) * {WIDE} + ix AS k FROM node),
 cell AS (SELECT a.mypart, row_number() OVER (PARTITION BY a.mypart ORDER BY a.is_ghost, a.iy, a.ix) - 1 AS jcell,
   (a.gj + {h.halo_s})::BIGINT * {h.ni} + a.gi + {h.halo_w} + 1 AS glb_idx, a.inode AS node0, b.inode AS node1, c.inode AS node2, d.inode AS node3,
   CASE WHEN {folded} THEN c.part ELSE a.part END AS part,
   (CASE WHEN a.gj < 0 THEN CASE WHEN a.gi < 0 THEN -a.gi WHEN a.gi >= {h.nx} THEN a.gi - {h.nx - 1} ELSE 0 END
         ELSE greatest(a.halo, b.halo, c.halo, d.halo) END)::INTEGER AS halo, {folded} AS f_ghost
-  FROM node a JOIN node b ON b.mypart = a.mypart AND b.ix = a.ix + 1 AND b.iy = a.iy
-  JOIN node c ON c.mypart = a.mypart AND c.ix = a.ix + 1 AND c.iy = a.iy + 1
-  JOIN node d ON d.mypart = a.mypart AND d.ix = a.ix AND d.iy = a.iy + 1 WHERE a.is_cell)"""
+  FROM place a JOIN place b ON b.k = a.k + 1 JOIN place c ON c.k = a.k + {WIDE + 1} JOIN place d ON d.k = a.k + {WIDE} WHERE a.is_cell)"""
 
 
 def links(h: Header, parts: int, bands: int, halo: int) -> str:
