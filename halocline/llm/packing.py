@@ -13,6 +13,7 @@ doc_id is passed on; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 MAX_LENGTH, END_ID = 4096, 2
 REMEMBERED = 800_000  # words a worker keeps at most; then it starts anew
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+#: Letters (and other word characters, sorted out later), then ASCII signs that start no special token or contraction.
+LETTERS_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-^`{}~]*)")
 ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
 
 
@@ -53,14 +56,15 @@ class _Words:
 
     def learn(self, words: set[str]) -> None:
         """Words of letters alone are one run to the tokenizer, so many are encoded as one text and parted at the ids
-        that close a word; full stops and commas behind letters are a run of their own."""
-        known, stems, stem_of = self.known, set(), {}
+        that close a word; ASCII signs behind letters are a run of their own."""
+        known, stems, parts = self.known, set(), []
         for w in words:
-            stem = w.rstrip(".,")
-            if stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in stem:
-                stem_of[w] = lower = stem.lower()
-                if lower not in known:
-                    stems.add(lower)
+            m = LETTERS_SIGNS.fullmatch(w)
+            if m and (stem := m[1]).isalpha() and max(stem) < "\u0250" and "\u0130" not in stem:
+                stem = stem.lower()
+                parts.append((w, stem, m[2]))
+                if stem not in known:
+                    stems.add(stem)
             else:
                 known[w] = self.whole(w)
         if stems:
@@ -75,12 +79,11 @@ class _Words:
             else:  # a vocabulary that parts words otherwise
                 for w in order:
                     known[w] = self.whole(w)
-        for w, lower in stem_of.items():
-            tail = w[len(w.rstrip(".,")) :]
+        for w, stem, tail in parts:
             if tail and tail not in known:
                 known[tail] = self.whole(tail)
-            if w != lower:
-                known[w] = known[lower] + (known[tail] if tail else b"")
+            if w != stem:
+                known[w] = known[stem] + (known[tail] if tail else b"")
 
     def ids(self, text: str) -> bytes:
         if not ODD_SPACE.isdisjoint(text):
@@ -88,9 +91,11 @@ class _Words:
         words = text.split()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        if new := {w for w in words if w not in self.known}:
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+        found = list(map(self.known.get, words))
+        if None in found:
+            self.learn({w for w, ids in zip(words, found, strict=True) if ids is None})
+            found = list(map(self.known.__getitem__, words))
+        return b"".join(found)
 
 
 @lru_cache(1)
