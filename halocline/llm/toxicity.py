@@ -38,9 +38,10 @@ class Model:
     weights: dict[str, float]  # words, and beginnings with a star behind
 
 
-def features(text: str) -> set[str]:
+def features(text: str) -> list[str]:
+    """Every word once, and the beginning of every such word: as often as there are words with it."""
     words = set(WORD.findall(text.lower()))
-    return words | {w[:BEGINNING] + "*" for w in words if len(w) >= BEGINNING}
+    return [*words, *(w[:BEGINNING] + "*" for w in words if len(w) >= BEGINNING)]
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -80,12 +81,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
 
     @F.pandas_udf("array<string>")
     def seen(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(features(t)))
+        return texts.map(lambda t: list(set(features(t))))
 
     totals = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = lambda y: F.sum((F.col("y") == y).cast("long")) / F.lit(float(max(1, totals.get(y, 0))))
     counted = rows.select("y", F.explode(seen("text")).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), share(1).alias("toxic"), share(0).alias("clean"))
-    telling = counted.where(f"n >= {LEAST} and toxic > 2 * clean").orderBy(F.desc(F.col("toxic") - F.col("clean")), "f").limit(FEATURES)
+    telling = counted.where(f"n >= {LEAST} and toxic > 3 * clean").orderBy(F.desc(F.col("toxic") - F.col("clean")), "f").limit(FEATURES)
     names = [r.f for r in telling.select("f").collect()]
     place = {f: i for i, f in enumerate(names)}
 
@@ -103,8 +104,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     return _fitted(bags, names, steps)
 
 
-def _fitted(bags: pd.DataFrame, names: list[str], steps: int, bias: float = -10.0, rate: float = 0.1, decay: float = 1e-5) -> Model:
-    """Adam on the weighted log-likelihood of the documents; both labels weigh the same in total."""
+def _fitted(bags: pd.DataFrame, names: list[str], steps: int, bias: float = -10.0, rate: float = 0.1, penalty: float = 0.0007) -> Model:
+    """Adam on the weighted log-likelihood of the documents; both labels weigh one half in total.
+
+    The penalty on the sum of the weights drops features that speak for a few documents of many only."""
     if not names or not len(bags):
         return Model(bias, {})
     found = [list(x) for x in bags["found"]]
@@ -124,7 +127,7 @@ def _fitted(bags: pd.DataFrame, names: list[str], steps: int, bias: float = -10.
         # d loss / d clean: toxic documents want it low, clean ones high.
         slope = weight * np.where(y == 1, (1 - p_doc) / p_doc, -1.0)
         dz = slope[of_doc] * -(1 / (1 + np.exp(-z)))
-        grad = np.bincount(cols, dz[of_sentence], len(names)) + decay * w
+        grad = np.bincount(cols, dz[of_sentence], len(names)) + penalty
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = np.maximum(0, w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
     return Model(bias, {f: float(x) for f, x in zip(names, w, strict=True) if x > 0.05})
