@@ -207,7 +207,10 @@ def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int)
             x = found.select("token", "c", F.struct("key", "n", "shared").alias("x"))
             y = found.select("token", F.col("c").alias("d"), F.struct("key", "n", "shared").alias("y"))
             apart = (F.col("x.key") < F.col("y.key")) & (F.col("c") != F.col("d")) & within_bound("x", "y", percent)
-            pairs = x.join(y, "token").where(apart).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+            met = x.join(y, "token").where(apart).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
+            # What two sets share lies in both prefixes or behind the one that ends first.
+            behind = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+            pairs = met.where((F.col("met") + F.greatest(behind("na"), behind("nb"))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
         else:
             pairs = with_leaders(found, F.xxhash64("key"), percent)
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "further-pairs")
