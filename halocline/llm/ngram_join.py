@@ -142,7 +142,9 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, per
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return written(joined.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+    links = written(joined.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+    drop_written(ends)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,8 +204,8 @@ def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int)
         found = rows.join(of.withColumnRenamed("component", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
         by_token = Window.partitionBy("token")
         found = found.withColumns({"least": F.min("c").over(by_token), "most": F.max("c").over(by_token)}).where("least <> most").drop("least", "most")
-        found = written(found, "mixed-prefixes")
         if last:
+            found = written(found, "mixed-prefixes")
             x = found.select("token", "c", F.struct("key", "n", "shared").alias("x"))
             y = found.select("token", F.col("c").alias("d"), F.struct("key", "n", "shared").alias("y"))
             apart = (F.col("x.key") < F.col("y.key")) & (F.col("c") != F.col("d")) & within_bound("x", "y", percent)
@@ -214,6 +216,9 @@ def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int)
         else:
             pairs = with_leaders(found, F.xxhash64("key"), percent)
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "further-pairs")
+        if last:
+            drop_written(found)
+            drop_written(rows)
         links = verified(pairs, reps, docs, width, percent)
         tried = tried.union(pairs)
         if not links.isEmpty():
