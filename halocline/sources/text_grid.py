@@ -31,7 +31,7 @@ def header_fields(lines: DataFrame, version: int) -> DataFrame:
     """The header line as one row."""
     parts = F.split(F.trim("value"), r"\s+")
     names = ("ni", "nj") if version == 2 else ("ni", "nj", "periodicity", "halo_e", "halo_w", "halo_s", "halo_n")
-    return lines.where("line_no = 0").select(*[parts[k].cast("int").alias(n) for k, n in enumerate(names)])
+    return lines.where("line_no = 0").select(*[F.get(parts, F.lit(k)).cast("int").alias(n) for k, n in enumerate(names)])
 
 
 def parse_points(lines: DataFrame, version: int = 2) -> DataFrame:
@@ -40,7 +40,7 @@ def parse_points(lines: DataFrame, version: int = 2) -> DataFrame:
         raise ValueError(f"text grid version {version} is neither 1 nor 2")
     parts = F.split(F.trim("value"), r"\s+")
     kind = lambda f: "int" if f[0] in "IJ" else "double"
-    return lines.where("line_no > 0").select((F.col("line_no") - 1).cast("bigint").alias("n"), *[parts[k].cast(kind(f)).alias(f) for k, f in enumerate(FIELDS[version])])
+    return lines.where("line_no > 0").select((F.col("line_no") - 1).cast("bigint").alias("n"), *[F.get(parts, F.lit(k)).cast(kind(f)).alias(f) for k, f in enumerate(FIELDS[version])])
 
 
 def repaired(points: DataFrame) -> DataFrame:

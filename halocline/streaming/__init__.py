@@ -1,0 +1 @@
+"""Streams of observations on grids."""
