@@ -44,7 +44,7 @@ def cell_corners(points: DataFrame, h: Header) -> DataFrame:
 
 
 def classified(cells: DataFrame, h: Header, diagonal_factor: float = 2.5, with_3d: bool = True) -> DataFrame:
-    """Cells with `element_class` (first rule that holds: quad2d, diagonal, quad3d, orca2, else ok), has_water and flagged.
+    """Cells with `element_class` (first rule that holds: quad2d, diagonal, quad3d, two_degree, else ok), has_water and flagged.
 
     A cell with water is flagged only if its diagonal exceeds ten times the resolution. The statistics count classes
     before that exemption.
@@ -61,7 +61,7 @@ def classified(cells: DataFrame, h: Header, diagonal_factor: float = 2.5, with_3
     if with_3d:
         kind = kind.when(g.invalid_quad_3d(*p), "quad3d")
     if abs(h.resolution - 2) < 0.1:
-        kind = kind.when(uneven, "orca2")
+        kind = kind.when(uneven, "two_degree")
     water = F.col("water_sw") | F.col("water_se") | F.col("water_ne") | F.col("water_nw")
     out = cells.select("ih", "jh", kind.otherwise("ok").alias("element_class"), water.alias("has_water"), g.diagonal_too_large(*p, h.resolution * 10).alias("huge"))
     return out.select("ih", "jh", "element_class", "has_water", ((F.col("element_class") != "ok") & (~F.col("has_water") | F.col("huge"))).alias("flagged"))

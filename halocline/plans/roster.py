@@ -45,7 +45,7 @@ def _registry_values() -> str:
     for name, own in registry.UIDS.items():
         grid, arrangement = name.rsplit("_", 1)
         ni, nj = registry.DIMENSIONS[grid]
-        url = f"{registry.DEFAULT_BASE}/v0/{grid}_{'T' if arrangement == 'W' else arrangement}.atlas"
+        url = f"{registry.DEFAULT_BASE}/v0/{grid}_{'T' if arrangement == 'W' else arrangement}.grid"
         for key in (name, own, registry.OLD_UIDS.get(name)):
             if key:
                 rows.append(f"('{key}', {str(key != name).lower()}, '{registry.GRID_TYPE}', '{grid}', '{arrangement}', {ni}, {nj}, '{own}', '{url}')")
@@ -54,7 +54,7 @@ def _registry_values() -> str:
 
 REG = _registry_values()
 ASKED = ["orca2_t", "ORCA2_T", "EORCA1_v", "eorca025_W", "D5BDE4F52FF3A9BEA5629CD9AC514410", "16076978a048410747dd7c9876677b28", "ORCA7_T", "ORCA2_X", ""]
-URLS = [f"{KNOWN[0]}/ORCA2_T.atlas", f"{KNOWN[1]}/v1/eORCA12_F.atlas", "https://elsewhere.example.net/a/b/grid.atlas", "/data/grids/ORCA1_T.atlas", "relative/ORCA1_T.atlas"]
+URLS = [f"{KNOWN[0]}/ORCA2_T.grid", f"{KNOWN[1]}/v1/eORCA12_F.grid", "https://elsewhere.example.net/a/b/grid.grid", "/data/grids/ORCA1_T.grid", "relative/ORCA1_T.grid"]
 
 
 @query(f"WITH {REG} SELECT * FROM reg")
@@ -344,7 +344,7 @@ def element_statistics(spark, sf_dir):
     return quality.statistics(_classes(spark))
 
 
-for _kind in ("quad2d", "diagonal", "orca2"):
+for _kind in ("quad2d", "diagonal", "two_degree"):
     query(f"WITH {sql.classes(G2T)} SELECT ih, jh, has_water, flagged FROM elem WHERE element_class = '{_kind}'", f"element_{_kind}")(lambda spark, sf_dir, k=_kind: _classes(spark).where(F.col("element_class") == k).select("ih", "jh", "has_water", "flagged"))
 
 

@@ -149,11 +149,11 @@ cell AS (SELECT *, lon_sw AS x_sw, {near("se")}, {near("ne")}, {near("nw")} FROM
 def classes(h: Header, lon: str = BENT_LON, lat: str = BENT_LAT, factor: float = 2.5) -> str:
     d = "greatest((x_ne - x_sw) * (x_ne - x_sw) + (lat_ne - lat_sw) * (lat_ne - lat_sw), (x_se - x_nw) * (x_se - x_nw) + (lat_se - lat_nw) * (lat_se - lat_nw))"
     limit = h.resolution * factor
-    orca2 = "WHEN m.lat_max < 60 AND low > -20 AND low < 20 AND greatest(x_ne - x_nw, x_se - x_sw) > 2 * least(x_ne - x_nw, x_se - x_sw) THEN 'orca2'" if abs(h.resolution - 2) < 0.1 else ""
+    two_degree = "WHEN m.lat_max < 60 AND low > -20 AND low < 20 AND greatest(x_ne - x_nw, x_se - x_sw) > 2 * least(x_ne - x_nw, x_se - x_sw) THEN 'two_degree'" if abs(h.resolution - 2) < 0.1 else ""
     return f"""{corners(h, lon, lat)},
 meas AS (SELECT *, greatest(lat_sw, lat_se, lat_ne, lat_nw) AS lat_max, {d} AS diag,
    least(x_sw, x_se, x_ne, x_nw) - floor((least(x_sw, x_se, x_ne, x_nw) + 180.0) / 360.0) * 360.0 AS low FROM cell),
 kind AS (SELECT ih, jh, CASE WHEN m.lat_max < 45 AND (lat_nw - lat_sw < -1e-10 OR lat_ne - lat_se < -1e-10 OR x_ne - x_nw < -1e-10 OR x_se - x_sw < -1e-10) THEN 'quad2d'
-   WHEN m.lat_max < 60 AND diag > {limit}::DOUBLE * {limit}::DOUBLE THEN 'diagonal' {orca2} ELSE 'ok' END AS element_class,
+   WHEN m.lat_max < 60 AND diag > {limit}::DOUBLE * {limit}::DOUBLE THEN 'diagonal' {two_degree} ELSE 'ok' END AS element_class,
    water_sw OR water_se OR water_ne OR water_nw AS has_water, diag > {h.resolution * 10}::DOUBLE * {h.resolution * 10}::DOUBLE AS huge FROM meas m),
 elem AS (SELECT ih, jh, element_class, has_water, element_class <> 'ok' AND (NOT has_water OR huge) AS flagged FROM kind)"""

@@ -77,7 +77,7 @@ def specs(spark: SparkSession, base: str = DEFAULT_BASE) -> DataFrame:
         grid, arrangement = name.rsplit("_", 1)
         ni, nj = DIMENSIONS[grid]
         # W points lie over T points and share their file.
-        url = f"{base}/v0/{grid}_{'T' if arrangement == 'W' else arrangement}.atlas"
+        url = f"{base}/v0/{grid}_{'T' if arrangement == 'W' else arrangement}.grid"
         for key in (name, uid, OLD_UIDS.get(name)):
             if key:
                 rows.append((key, key != name, GRID_TYPE, grid, arrangement, ni, nj, uid, url))

@@ -58,13 +58,13 @@ def test_locator(spark):
 
 def test_store(spark, tmp_path):
     (tmp_path / "grids/tripolar/v0").mkdir(parents=True)
-    (tmp_path / "grids/tripolar/v0/a.atlas").write_text("x")
+    (tmp_path / "grids/tripolar/v0/a.grid").write_text("x")
     store = locate.GridStore([str(tmp_path / "other"), str(tmp_path)])
-    assert store.locate(spark, f"{locate.DEFAULT_BASE}/v0/a.atlas").endswith("/grids/tripolar/v0/a.atlas")
+    assert store.locate(spark, f"{locate.DEFAULT_BASE}/v0/a.grid").endswith("/grids/tripolar/v0/a.grid")
     with pytest.raises(FileNotFoundError):
-        store.locate(spark, "https://elsewhere.example.net/b.atlas")
+        store.locate(spark, "https://elsewhere.example.net/b.grid")
     with pytest.raises(NotImplementedError):
-        store.fetch("https://elsewhere.example.net/b.atlas")
+        store.fetch("https://elsewhere.example.net/b.grid")
     assert netcdf.variables("W") == ("glamt", "gphit", "tmask")
     with pytest.raises(ValueError):
         netcdf.variables("X")
