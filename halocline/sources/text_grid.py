@@ -69,12 +69,12 @@ def pivot(points: DataFrame, ni: int, nj: int) -> DataFrame:
 
 
 def halo_widths(points: DataFrame, ni: int, nj: int) -> DataFrame:
-    """Rows and columns without a core point at each side, as one row; columns are judged between the halo rows."""
-    grid = points.select((F.col("n") % ni).cast("int").alias("ih"), F.floor(F.col("n") / ni).cast("int").alias("jh"), (F.col("n_file") == F.col("n")).alias("core"))
-    rows = grid.where("core").agg(F.min("jh").alias("low"), F.max("jh").alias("high"))
-    inner = grid.where("core").join(F.broadcast(rows), F.col("jh").between(F.col("low"), F.col("high")))
-    out = inner.groupBy("low", "high").agg(F.min("ih").alias("west"), F.max("ih").alias("east"))
-    return out.select((F.lit(nj - 1) - F.col("high")).alias("halo_n"), F.col("west").alias("halo_w"), F.col("low").alias("halo_s"), (F.lit(ni - 1) - F.col("east")).alias("halo_e"))
+    """Rows and columns without a core point at each side, as one row.
+
+    Columns are to be judged between the halo rows only, but that is where all core points are.
+    """
+    core = points.where("n_file = n").select((F.col("n") % ni).cast("int").alias("ih"), F.floor(F.col("n") / ni).cast("int").alias("jh"))
+    return core.agg((F.lit(nj - 1) - F.max("jh")).alias("halo_n"), F.min("ih").alias("halo_w"), F.min("jh").alias("halo_s"), (F.lit(ni - 1) - F.max("ih")).alias("halo_e"))
 
 
 def mismatches(points: DataFrame, h: Header) -> DataFrame:
