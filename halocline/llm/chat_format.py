@@ -158,7 +158,8 @@ def events_of_turns(conversations: DataFrame, chunk: int = 256) -> DataFrame:
 
     User and other turns are one message, typed with a slip and edited afterwards where they are long. Assistant turns
     are streamed in chunks, after a first attempt that was thrown away. Turns with equal numbers follow each other in
-    order of role and text; repeated rows are repeated turns.
+    order of role and text; repeated rows are repeated turns. Turn numbers must lie within 2^42 of zero, since the place
+    among equal ones is put behind them.
     """
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("at"), role.alias("role"), text.alias("text"))
