@@ -173,25 +173,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def rare_prefixes(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """(token, key, n, shared): prefix tokens, rarest first, that two or more sets have; `shared` counts all such tokens
-    of the set, in its prefix or not."""
+    """(token, key, n, shared, place): prefix tokens, rarest first, that two or more sets have. `shared` counts all such
+    tokens of the set, in its prefix or not; `place` is the token's among all tokens of the set, from 1."""
     # One document stands for its class, so a token's rows count sets.
     rows = tokens(with_text(docs, reps), width).repartition("token").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
     by_key = Window.partitionBy("key")
     rows = rows.withColumns({"shared": F.count(F.lit(1)).over(by_key).cast("int"), "rank": F.row_number().over(by_key.orderBy("df", "token"))})
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return rows.where(F.col("rank") <= length - (F.col("n") - F.col("shared"))).select("token", "key", "n", "shared")
+    place = (F.col("n") - F.col("shared") + F.col("rank")).cast("int")
+    return rows.withColumn("place", place).where(F.col("place") <= length).select("token", "key", "n", "shared", "place")
 
 
 def within_bound(a: str, b: str, percent: int):
-    """Whether two sets (structs with n and shared) could be similar if all that they share with others were common."""
-    return F.least(f"{a}.shared", f"{b}.shared") * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent
+    """Whether two sets (structs with n, shared and place) that meet in a token could be similar.
+
+    They can't share more than either shares with others; and their first common token can't stand so late in either
+    that too few tokens follow. A similar pair passes at its first common token.
+    """
+    left = lambda x: F.least(F.col(f"{x}.shared"), F.col(f"{x}.n") - F.col(f"{x}.place") + 1)
+    return F.least(left(a), left(b)) * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent
 
 
 def with_leaders(rows: DataFrame, order, percent: int) -> DataFrame:
     """Pairs (a, b) of each set and the first by `order` among the sets of a token."""
-    leader = F.min(F.struct(order.alias("o"), "key", "n", "shared")).over(Window.partitionBy("token"))
-    pairs = rows.select(F.struct("key", "n", "shared").alias("x"), leader.alias("y")).where((F.col("x.key") != F.col("y.key")) & within_bound("x", "y", percent))
+    leader = F.min(F.struct(order.alias("o"), "key", "n", "shared", "place")).over(Window.partitionBy("token"))
+    pairs = rows.select(F.struct("key", "n", "shared", "place").alias("x"), leader.alias("y")).where((F.col("x.key") != F.col("y.key")) & within_bound("x", "y", percent))
     return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
@@ -206,13 +212,10 @@ def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int)
         found = found.withColumns({"least": F.min("c").over(by_token), "most": F.max("c").over(by_token)}).where("least <> most").drop("least", "most")
         if last:
             found = written(found, "mixed-prefixes")
-            x = found.select("token", "c", F.struct("key", "n", "shared").alias("x"))
-            y = found.select("token", F.col("c").alias("d"), F.struct("key", "n", "shared").alias("y"))
+            x = found.select("token", "c", F.struct("key", "n", "shared", "place").alias("x"))
+            y = found.select("token", F.col("c").alias("d"), F.struct("key", "n", "shared", "place").alias("y"))
             apart = (F.col("x.key") < F.col("y.key")) & (F.col("c") != F.col("d")) & within_bound("x", "y", percent)
-            met = x.join(y, "token").where(apart).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
-            # What two sets share lies in both prefixes or behind the one that ends first.
-            behind = lambda n: F.ceil(F.col(n) * percent / 100) - 1
-            pairs = met.where((F.col("met") + F.greatest(behind("na"), behind("nb"))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+            pairs = x.join(y, "token").where(apart).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
         else:
             pairs = with_leaders(found, F.xxhash64("key"), percent)
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "further-pairs")
