@@ -5,7 +5,8 @@ longest length as fit, then the binary digits of what is left, longest first. Ea
 the bucket of its length, so no sequence crosses documents and none needs padding.
 
 Tokenizing goes word by word with a memory: the tokenizer splits at white space anyway, so a text's ids are those of
-its words in turn. Texts with characters that Python and the tokenizer class differently as white space go whole.
+its words in turn. Texts with characters that Python and the tokenizer class differently as white space go whole. The
+tokenizer lower-cases; where a text's characters are such that Python does so alike, that comes before the lookup.
 
 Defined results: null or empty text gives the end id alone; repeated rows and equal texts are packed each; a null
 doc_id is passed on; an empty table gives no pieces; other columns are ignored.
@@ -13,7 +14,6 @@ doc_id is passed on; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 MAX_LENGTH, END_ID = 4096, 2
 REMEMBERED = 800_000  # words a worker keeps at most; then it starts anew
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-#: Letters (and other word characters, sorted out later), then ASCII signs that start no special token or contraction.
-LETTERS_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-^`{}~]*)")
-ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
+SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^`{}~"  # ASCII signs that start no special token or contraction
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -36,6 +35,17 @@ def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def latin(text: str) -> bool:
+    """Whether all characters are below U+0100, where lower-casing is one character for one."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Words:
     """Ids of words, kept as bytes of unsigned 32-bit numbers."""
 
@@ -52,24 +62,29 @@ class _Words:
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.encoded(text).tobytes()
+
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # fast: no offsets
 
     def learn(self, words: set[str]) -> None:
         """Words of letters alone are one run to the tokenizer, so many are encoded as one text and parted at the ids
         that close a word; ASCII signs behind letters are a run of their own."""
         known, stems, parts = self.known, set(), []
         for w in words:
-            m = LETTERS_SIGNS.fullmatch(w)
-            if m and (stem := m[1]).isalpha() and max(stem) < "\u0250" and "\u0130" not in stem:
+            stem = w.rstrip(SIGNS)
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250" and "\u0130" not in stem):
+                tail = w[len(stem) :]
                 stem = stem.lower()
-                parts.append((w, stem, m[2]))
+                if w != stem:
+                    parts.append((w, stem, tail))
                 if stem not in known:
                     stems.add(stem)
             else:
                 known[w] = self.whole(w)
         if stems:
             order = list(stems)
-            ids = np.array(self.tokenizer.encode(" ".join(order), add_special_tokens=False).ids, "<u4")
+            ids = self.encoded(" ".join(order))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(order):
                 raw, start = ids.tobytes(), 0
@@ -82,12 +97,13 @@ class _Words:
         for w, stem, tail in parts:
             if tail and tail not in known:
                 known[tail] = self.whole(tail)
-            if w != stem:
-                known[w] = known[stem] + (known[tail] if tail else b"")
+            known[w] = known[stem] + (known[tail] if tail else b"")
 
     def ids(self, text: str) -> bytes:
-        if not ODD_SPACE.isdisjoint(text):
+        if any(c in text for c in ODD_SPACE):
             return self.whole(text)
+        if latin(text) and "<|" not in text:  # special tokens are told by their case
+            text = text.lower()
         words = text.split()
         if len(self.known) > REMEMBERED:
             self.known.clear()
