@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import small_side, written
 
-RATIO, LEAST = 0.1, 5
+RATIO, LEAST = 0.01, 5  # well below the share of the commonest lines, the same at every size
 
 
 def host_of_url(url: Column) -> Column:

@@ -113,6 +113,16 @@ def test_line_dedup(spark, documents, no_documents):
     assert [r[0] for r in urls.select(line_dedup.host_of_url(F.col("url"))).collect()] == ["a.example.com", None, None]
 
 
+def test_line_dedup_drops_lines_on_a_few_hundredths_of_a_host(spark):
+    lines = lambda k: [f"own line {k}", *["on one in twenty"] * (k % 20 == 0), *["on one in fifty"] * (k % 50 == 0), *["on one in a hundred"] * (k % 100 == 0)]
+    docs = spark.createDataFrame([(k, "\n".join(lines(k)), "a") for k in range(1000)], "doc_id bigint, text string, source string")
+    for r in line_dedup.drop_boilerplate(docs, F.col("source")).collect():
+        assert r.clean_text == "\n".join(x for x in lines(r.doc_id) if x in (f"own line {r.doc_id}", "on one in a hundred"))
+    # A host's array stays below the mean lines of its documents over the ratio.
+    mean = sum(len(lines(k)) for k in range(1000)) / 1000
+    assert [len(r.lines) < mean / line_dedup.RATIO for r in line_dedup.boilerplate(docs, F.col("source")).collect()] == [True]
+
+
 # --- exact dedup -------------------------------------------------------------------------------------------------------
 
 
