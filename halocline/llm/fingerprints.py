@@ -5,9 +5,9 @@ A k-mer of code points is a closed syncmer if the smallest hash among its inner
 the anchors that overlap it. A fingerprint holds the anchors with the smallest hashes as text, `hash@position` joined
 by commas in order of hash, each hash once at its first position. Texts without any anchor get one for the whole text.
 
-Likeness matches anchors of equal hash, keeps those that agree on the most common shift of position (within SLACK),
-estimates the share of anchors in common among the smallest of both, and turns it into the share of text in common
-(0 to 1). Two empty fingerprints are alike (1), an empty and a full one are not (0).
+Likeness matches anchors of equal hash, keeps the longest chain of them that rises in position in both texts, so that
+edits may move what follows them, estimates the share of anchors in common among the smallest of both, and turns it into
+the share of text in common (0 to 1). Two empty fingerprints are alike (1), an empty and a full one are not (0).
 
 Defined results: null counts as empty text, whose fingerprint is empty; a null doc_id sorts first; rows repeated with
 one doc_id follow each other in order of text; an empty table gives an empty result; other columns are ignored.
@@ -16,7 +16,7 @@ one doc_id follow each other in order of text; an empty table gives an empty res
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-K, S, KEPT, SLACK, RANGES_A_TASK = 16, 8, 128, 2, 8
+K, S, KEPT, RANGES_A_TASK = 16, 8, 128, 8
 OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
@@ -81,6 +81,15 @@ def shown(found: tuple[np.ndarray, np.ndarray]) -> str:
     return ",".join(f"{h:08x}@{p}" for h, p in zip(found[0].tolist(), found[1].tolist(), strict=True))
 
 
+def longest_rise(places: list[int]) -> int:
+    """Length of the longest strictly rising subsequence."""
+    ends: list[int] = []  # the smallest last place of a run of each length
+    for p in places:
+        k = bisect_left(ends, p)
+        ends[k : k + 1] = [p]
+    return len(ends)
+
+
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
@@ -91,11 +100,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     limit = min(x[0][-1] for x in (a, b) if len(x[0]) == KEPT) if KEPT in (len(a[0]), len(b[0])) else max(a[0][-1], b[0][-1])
     union = len(np.union1d(a[0][a[0] <= limit], b[0][b[0] <= limit]))
     inside = a[0][i] <= limit
-    shifts = (b[1][j] - a[1][i])[inside].tolist()
-    if not shifts:
-        return 0.0
-    usual = Counter(shifts).most_common(1)[0][0]
-    same = sum(abs(x - usual) <= SLACK for x in shifts) / union
+    same = longest_rise(b[1][j][inside][np.argsort(a[1][i][inside], kind="stable")].tolist()) / union
     return 2 * same / (1 + same)
 
 

@@ -300,6 +300,26 @@ def test_fingerprints_match_brute_force(spark, sf):
     assert fingerprints.likeness(own, own) == 1.0
 
 
+def test_likeness_bears_spread_edits():
+    rng = np.random.default_rng(2)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    text = letters(6000)
+    parts = [text[k : k + 600] for k in range(0, 6000, 600)]
+    own = fingerprints.anchors(text)
+    grown, shrunk = "".join(p + letters(10) for p in parts), "".join(p[:-10] for p in parts)
+    half = "".join(p[:300] + letters(300) for p in parts)
+    for other in (grown, shrunk):
+        assert fingerprints.likeness(own, fingerprints.anchors(other)) > 0.8
+    assert 0.3 < fingerprints.likeness(own, fingerprints.anchors(half)) < 0.7
+    assert fingerprints.likeness(own, fingerprints.anchors("".join(parts[::-1]))) < 0.4  # in another order
+    for _ in range(200):
+        places = rng.integers(0, 12, int(rng.integers(0, 9))).tolist()
+        best = [0] * len(places)
+        for k, p in enumerate(places):
+            best[k] = 1 + max((best[j] for j in range(k) if places[j] < p), default=0)
+        assert fingerprints.longest_rise(places) == max(best, default=0)
+
+
 def test_fingerprint_edges(spark, documents, no_documents):
     rows = fingerprints.fingerprints(documents).collect()
     assert len(rows) == documents.count()
