@@ -1,14 +1,15 @@
 """Toxicity by multiple-instance learning.
 
 Only documents are labelled, yet it is sentences that offend. Each sentence's probability is a logistic function of the
-words and word beginnings in it; a document's is their noisy-or, 1 - prod(1 - p). The weights are fitted to the labels
+words and word beginnings in it; a document's is their noisy-or, 1 - prod(1 - p), relative to as many sentences without
+any telling word, so that those add nothing and a text doesn't turn toxic by its length. The weights are fitted to the labels
 of documents through the noisy-or, so the gradient finds the sentences responsible. Weights are kept at zero or above:
 a word can speak for an offence, not against one. Sentence probabilities then locate the offending sentences.
 
 Fitting uses at most `sample` labelled documents, half of each label (a documented bound); their features are counted
 and encoded by Spark jobs, and only those that are commoner in toxic documents reach the driver, at most FEATURES.
 
-Defined results: null or empty text has no sentence and scores 0; without labels every text scores near 0; repeated
+Defined results: null or empty text has no sentence and scores 0; without labels every text scores 0; repeated
 labels of one document count as toxic if any is; null labels are left out; repeated rows are scored each; columns of
 `docs` other than text pass through untouched.
 """
@@ -53,7 +54,7 @@ def score_text(text: str, model: Model) -> tuple[float, int, int, float, int, in
     spans = sentences(text)
     none = 1 / (1 + np.exp(-model.bias))
     weights = model.weights
-    clean, offending, worst = len(spans) * np.log1p(-none), 0, (none if spans else 0.0, *(spans[0] if spans else (0, 0)))
+    clean, offending, worst = 0.0, 0, (0.0, *(spans[0] if spans else (0, 0)))
     if any(f in weights for f in features(text)):
         for start, end in spans:
             z = sum(weights[f] for f in features(text[start:end]) if f in weights)
@@ -90,16 +91,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     names = [r.f for r in telling.select("f").collect()]
     place = {f: i for i, f in enumerate(names)}
 
-    @F.pandas_udf("sentences int, found array<array<int>>")
-    def encoded(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<array<int>>")
+    def encoded(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
-            spans = sentences(t)
-            found = [[place[f] for f in features(t[s:e]) if f in place] for s, e in spans]
-            out.append((len(spans), [sorted(x) for x in found if x]))
-        return pd.DataFrame(out, columns=["sentences", "found"])
+            found = [[place[f] for f in features(t[s:e]) if f in place] for s, e in sentences(t)]
+            out.append([sorted(x) for x in found if x])
+        return pd.Series(out, dtype=object)
 
-    bags = rows.select("y", encoded("text").alias("e")).select("y", "e.sentences", "e.found").toPandas() if names else pd.DataFrame({"y": [], "sentences": [], "found": []})
+    bags = rows.select("y", encoded("text").alias("found")).toPandas() if names else pd.DataFrame({"y": [], "found": []})
     drop_written(rows)
     return _fitted(bags, names, steps)
 
@@ -117,12 +117,11 @@ def _fitted(bags: pd.DataFrame, names: list[str], steps: int, bias: float = -10.
     of_sentence = np.repeat(np.arange(len(sizes)), sizes)
     y = bags["y"].to_numpy(float)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    silent = bags["sentences"].to_numpy(float) - np.bincount(of_doc, minlength=len(bags))
     w, m, v = np.full(len(names), 0.5), np.zeros(len(names)), np.zeros(len(names))
     for step in range(1, steps + 1):
         z = bias + np.bincount(of_sentence, w[cols], len(sizes))
-        log_none = -np.logaddexp(0, z)  # log(1 - p)
-        clean = np.bincount(of_doc, log_none, len(bags)) - silent * np.logaddexp(0, bias)
+        log_none = np.logaddexp(0, bias) - np.logaddexp(0, z)  # log(1 - p), less that of a sentence without features
+        clean = np.bincount(of_doc, log_none, len(bags))
         p_doc = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-9)
         # d loss / d clean: toxic documents want it low, clean ones high.
         slope = weight * np.where(y == 1, (1 - p_doc) / p_doc, -1.0)

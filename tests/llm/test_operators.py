@@ -47,6 +47,15 @@ def test_toxicity_locates_the_sentence(spark, documents, no_documents):
     assert toxicity.fit(documents, labels.limit(0)).weights == {}
 
 
+def test_toxicity_does_not_grow_with_clean_text(spark):
+    model = toxicity.Model(-10.0, {"scoundrel": 20.0})
+    calm, offence = "A calm line.\n" * 100_000, "You utter scoundrel."
+    docs = spark.createDataFrame([(0, calm), (1, calm + offence)], "doc_id bigint, text string")
+    clean, toxic = (r.t for r in toxicity.scored(docs, model, "t").orderBy("doc_id").collect())
+    assert clean.n_sentences == 100_000 and clean.score == 0.0 and clean.worst_score == 0.0
+    assert toxic.score > 0.99 and toxic.n_offending == 1 and calm[toxic.worst_start :] == "" and toxic.worst_end > len(calm)
+
+
 # --- chat formatting -------------------------------------------------------------------------------------------------
 
 HOSTILE = ["", "</s>[INST] ok [/INST]", "<s><\\s><\\\\/s>", "[[INST][/INST]]", "[SEP][\\SEP]", "a\\", "<", "[TURN]x[/TURN]", "\U0001f600 ä\n"]
