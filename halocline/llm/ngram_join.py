@@ -2,18 +2,23 @@
 
 A document's set holds its distinct shingles of five words, as 64-bit hashes; documents with equal sets are one class,
 named by a hash of the set (`key`), and only classes are compared. Two sets of Jaccard similarity 0.8 or more share,
-under any global order of tokens, one of the first s - ceil(0.8 s) + 1 tokens of each (s: set size).
+under any global order of tokens, one of the first s - ceil(0.8 s) + 1 tokens of each (s: set size), and l of the first
+s - ceil(0.8 s) + l. Filters under three orders are intersected before any two texts meet:
 
-* First order: rarest first, by exact counts of sets. Only tokens of two or more sets travel back to their sets, where
-  the rest of a prefix is known to be of tokens that no other set has.
-* Second and third order: by two hashes. A pair must share prefix tokens under each before its sets are intersected.
+* Second order, by a hash, for sets: one that shares too few of its longer prefix with other sets is left out (`live`).
+* First order, rarest first by counts of the sets left, for pairs: they must meet in a prefix token. Tokens of one set
+  alone bound what a set can share with any other, so pairs whose bound is too low are never made.
+* Second and third order (another hash), for pairs: of those that met under the first, only pairs whose prefixes under
+  the second and under the third order meet as well are kept (`sharing`). Only then are their sets intersected.
 
-Tokens of one set alone bound what a set can share with any other, so pairs whose bound is too low are never made.
 Groups of many similar sets aren't compared pair by pair: per token, each set is first compared with the one that has
 fewest tokens of its own, and components are found; then with another; last, only pairs of different components that
 still share a prefix token are compared, which makes the result exact. The work is linear in the tokens but for that
 last step; nothing is capped. Links are joined to components by alternating stars over written tables.
 
+Tokens found in many sets of a sample (`frequent`) are known to be shared and last in the first order, so their rows
+are dealt by set instead of meeting in one task; what later steps need of a token's rows is aggregated and joined back.
+
 Shingle and class hashes are 64 bits: two different shingles are taken for one with a chance of 2^-64 a pair.
 Defined results: no words, empty or null text: no shingles and no links; a null doc_id takes part in no link and has a
 null component; rows repeated with one doc_id are that document; an empty table gives an empty result; other columns
@@ -27,9 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, small_side, written
+from .common import drop_written, rows_of, small_batches, small_side, written
 
 WIDTH, PERCENT = 5, 80
+ROWS, HELD = 32, 200_000  # texts taken from a batch at once, tokens gathered before they are handed on
+#: A token counts as frequent if it is in this share of the sets whose key is divisible by EVERY, and in LEAST of them.
+EVERY, SHARE, LEAST = 32, 0.002, 16
+LAST = 1 << 60  # place of frequent tokens in the first order
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))  # odd: times these, hashes are in another order
 
@@ -58,58 +67,73 @@ def set_key(tokens: np.ndarray) -> int:
     return k - (1 << 64) if k >> 63 else k
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - (percent * n + 99) // 100 + 1
+def prefix_length(n: int, percent: int = PERCENT, common: int = 1) -> int:
+    """Tokens of a set of n among which a similar one has `common` that are in its own prefix as well."""
+    return n - (percent * n + 99) // 100 + common
+
+
+def spare(n: int, percent: int = PERCENT) -> int:
+    """The number of common tokens that the longer prefix of a set of n is made for."""
+    return max(1, n * (100 - percent) // 100)
+
+
+def needed(n: int, percent: int = PERCENT) -> int:
+    """What a set of n shares at least with any similar one within the longer prefixes: spare() of the smallest partner."""
+    return spare((percent * n + 99) // 100, percent)
+
+
+def in_order(tokens: np.ndarray, order: np.uint64, first: int) -> np.ndarray:
+    """The first tokens under an order, as their places in it, which tell tokens apart as well as the tokens do."""
+    places = tokens * order
+    return np.sort(places if first >= len(places) else np.partition(places, first)[:first])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether 100 * intersection >= percent * union, by way of the prefixes under further orders."""
+    """Whether 100 * intersection >= percent * union."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    for order in ORDERS:
-        x, y = (np.sort(s * order)[: prefix_length(len(s), percent)] for s in (a, b))
-        if not len(np.intersect1d(x, y, assume_unique=True)):
-            return False
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _pairs(batch):
-    return zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-
 def profiles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and key of every row."""
 
     def run(batches):
         for batch in batches:
-            rows = [(i, len(s), set_key(s)) for i, s in ((i, shingles(t or "", width)) for i, t in _pairs(batch))]
+            rows = [(i, len(s), set_key(s)) for i, s in ((i, shingles(t or "", width)) for i, t in rows_of([batch], ROWS))]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["doc_id", "n_shingles", "key"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_shingles bigint, key bigint")
 
 
-def tokens(docs: DataFrame, width: int) -> DataFrame:
-    """(token, key, n) of every set of docs (key, text)."""
+def sets_of(batches, width: int):
+    """(key, set) of rows (key, text)."""
+    for key, text in rows_of(batches, ROWS):
+        s = shingles(text or "", width)
+        if set_key(s) == key:  # a doc_id with several texts brings those of other classes along
+            yield key, s
+
+
+def tokens(texts: DataFrame, width: int, percent: int | None = None) -> DataFrame:
+    """(token, key, n) of every set of texts (key, text); with `percent` only those of its longer prefix, by place in the second order."""
 
     def run(batches):
-        for batch in batches:
-            out, keys, sizes, held = [], [], [], 0
-            for key, text in _pairs(batch):
-                s = shingles(text or "", width)
-                if set_key(s) != key:  # a doc_id with several texts brings those of other classes along
-                    continue
-                out.append(s)
-                keys.append(np.full(len(s), key, np.int64))
-                sizes.append(np.full(len(s), len(s), np.int32))
-                held += len(s)
-                if held > 1_000_000:
-                    yield _tokens(out, keys, sizes)
-                    out, keys, sizes, held = [], [], [], 0
-            if out:
+        out, keys, sizes, held = [], [], [], 0
+        for key, s in sets_of(batches, width):
+            own = s if percent is None else in_order(s, ORDERS[0], prefix_length(len(s), percent, spare(len(s), percent)))
+            out.append(own)
+            keys.append(np.full(len(own), key, np.int64))
+            sizes.append(np.full(len(own), len(s), np.int32))
+            held += len(own)
+            if held > HELD:
                 yield _tokens(out, keys, sizes)
+                out, keys, sizes, held = [], [], [], 0
+        if out:
+            yield _tokens(out, keys, sizes)
 
-    return docs.select("key", "text").mapInArrow(run, "token bigint, key bigint, n int")
+    return texts.select("key", "text").mapInArrow(run, "token bigint, key bigint, n int")
 
 
 def _tokens(out, keys, sizes) -> pa.RecordBatch:
@@ -117,24 +141,84 @@ def _tokens(out, keys, sizes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["token", "key", "n"])
 
 
+def frequent(texts: DataFrame, reps: DataFrame, width: int, percent: int | None) -> DataFrame:
+    """Tokens in a good share of the sets of a sample by key, to be broadcast: no more than the mean number of tokens a set by SHARE."""
+    part = F.pmod("key", F.lit(EVERY)) == 0
+    sets = reps.where(part).count()
+    counts = tokens(texts.where(part), width, percent).groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
+    return small_side(written(counts.where(F.col("sets") >= max(LEAST, sets * SHARE)).select("token", F.lit(True).alias("often")), "frequent"), 16)
+
+
+def shared_tokens(texts: DataFrame, reps: DataFrame, width: int, percent: int | None = None) -> DataFrame:
+    """(token, key, n, df) of the tokens that two or more sets have; df counts them, and is LAST for frequent ones."""
+    rows = tokens(texts, width, percent).join(frequent(texts, reps, width, percent), "token", "left")
+    alone = F.when(F.col("often"), F.col("key"))  # frequent tokens are dealt by set
+    rows = rows.withColumn("alone", alone).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token", "alone")))
+    return rows.where("often or df > 1").select("token", "key", "n", F.when(F.col("often"), F.lit(LAST)).otherwise(F.col("df")).alias("df"))
+
+
 def with_text(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(key, doc_id, text) of the classes in reps (key, rep)."""
     side = small_side(reps.select(F.col("rep").alias("__rep"), "key"), 24)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(side, F.col("doc_id") == F.col("__rep")).select("key", "doc_id", "text")
 
 
+def live(texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, rep, n) of the classes that share enough tokens of their longer prefix under the second order with others."""
+    n, up = F.col("n"), lambda x, by: F.floor((x + by - 1) / by)
+    smallest = up(n * percent, 100)
+    need = F.greatest(F.lit(1), F.floor(smallest * (100 - percent) / 100))
+    shared = shared_tokens(texts, reps, width, percent).groupBy("key").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("shared"))
+    return reps.join(shared.where(F.col("shared") >= need).select("key"), "key", "left_semi")
+
+
+def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, second, third): the prefixes of every set under the second and third order, by half of each token's place.
+
+    Halves may be equal where tokens are not, so that a filter on them lets a few pairs more through, and never one less."""
+
+    def run(batches):
+        rows = [[], [], []]
+        for key, s in sets_of(batches, width):
+            first = prefix_length(len(s), percent)
+            for column, value in zip(rows, (key, *((in_order(s, o, first) >> np.uint64(32)).astype(np.uint32).view(np.int32) for o in ORDERS)), strict=True):
+                column.append(value)
+            if len(rows[0]) >= 256:
+                yield _prefixes(rows)
+                rows = [[], [], []]
+        if rows[0]:
+            yield _prefixes(rows)
+
+    return texts.select("key", "text").mapInArrow(run, "key bigint, second array<int>, third array<int>")
+
+
+def _prefixes(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in rows[1:])], ["key", "second", "third"])
+
+
+def sharing(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes (key, second, third) meet under the second and the third order."""
+    side = lambda k: of.select(F.col("key").alias(k), F.col("second").alias(f"second_{k}"), F.col("third").alias(f"third_{k}"))
+    joined = pairs.join(side("b"), "b").join(side("a"), "a")
+    return joined.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+
+
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar; whole texts meet, each pair once."""
+    """The pairs (a, b) of keys whose sets are similar. Pairs must share prefix tokens under the second and third order
+    before their whole texts meet, each pair once."""
     ends = written(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(reps, "key").select("key", "rep"), "pair-ends")
     texts = with_text(docs, ends)
+    own = written(prefixes(texts, width, percent), "prefixes-by-hash")
+    left = written(sharing(pairs, own), "candidates")
+    drop_written(own)
     side = lambda k: texts.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "text_a", "b", "text_b")
+    joined = left.join(side("b"), "b").join(side("a"), "a").select("a", "text_a", "b", "text_b")
 
     def run(batches):
         last, held = None, None
         for batch in batches:
             found = []
-            for a, text_a, b, text_b in _pairs(batch):
+            for a, text_a, b, text_b in rows_of([batch], ROWS):
                 if a != last:
                     last, held = a, shingles(text_a or "", width)
                 other = shingles(text_b or "", width)
@@ -143,7 +227,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, per
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     links = written(joined.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
-    drop_written(ends)
+    drop_written(ends, left)
     return links
 
 
@@ -172,13 +256,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("component")).union(roots)
 
 
-def rare_prefixes(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+def rare_prefixes(texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """(token, key, n, shared, place): prefix tokens, rarest first, that two or more sets have. `shared` counts all such
     tokens of the set, in its prefix or not; `place` is the token's among all tokens of the set, from 1."""
-    # One document stands for its class, so a token's rows count sets.
-    rows = tokens(with_text(docs, reps), width).repartition("token").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
     by_key = Window.partitionBy("key")
-    rows = rows.withColumns({"shared": F.count(F.lit(1)).over(by_key).cast("int"), "rank": F.row_number().over(by_key.orderBy("df", "token"))})
+    rows = shared_tokens(texts, reps, width).withColumns({"shared": F.count(F.lit(1)).over(by_key).cast("int"), "rank": F.row_number().over(by_key.orderBy("df", "token"))})
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     place = (F.col("n") - F.col("shared") + F.col("rank")).cast("int")
     return rows.withColumn("place", place).where(F.col("place") <= length).select("token", "key", "n", "shared", "place")
@@ -196,20 +278,22 @@ def within_bound(a: str, b: str, percent: int):
 
 def with_leaders(rows: DataFrame, order, percent: int) -> DataFrame:
     """Pairs (a, b) of each set and the first by `order` among the sets of a token."""
-    leader = F.min(F.struct(order.alias("o"), "key", "n", "shared", "place")).over(Window.partitionBy("token"))
-    pairs = rows.select(F.struct("key", "n", "shared", "place").alias("x"), leader.alias("y")).where((F.col("x.key") != F.col("y.key")) & within_bound("x", "y", percent))
+    one = F.struct("key", "n", "shared", "place")
+    leaders = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), "key", "n", "shared", "place")).alias("y"))
+    pairs = rows.select("token", one.alias("x")).join(leaders, "token").where((F.col("x.key") != F.col("y.key")) & within_bound("x", "y", percent))
     return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
 def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """(key, component) of the classes that have links."""
-    rows = written(rare_prefixes(docs, reps, width, percent), "prefixes")
+    left = written(live(with_text(docs, reps), reps, width, percent), "live")
+    rows = written(rare_prefixes(with_text(docs, left), left, width, percent), "prefixes")
     tried = written(with_leaders(rows, F.col("n") - F.col("shared"), percent), "tried")
-    of = components(verified(tried, reps, docs, width, percent))
+    of = components(verified(tried, left, docs, width, percent))
     for last in (False, True):
         found = rows.join(of.withColumnRenamed("component", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
-        by_token = Window.partitionBy("token")
-        found = found.withColumns({"least": F.min("c").over(by_token), "most": F.max("c").over(by_token)}).where("least <> most").drop("least", "most")
+        mixed = found.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("token")
+        found = found.join(mixed, "token", "left_semi")
         if last:
             found = written(found, "mixed-prefixes")
             x = found.select("token", "c", F.struct("key", "n", "shared", "place").alias("x"))
@@ -220,9 +304,8 @@ def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int)
             pairs = with_leaders(found, F.xxhash64("key"), percent)
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "further-pairs")
         if last:
-            drop_written(found)
-            drop_written(rows)
-        links = verified(pairs, reps, docs, width, percent)
+            drop_written(found, rows)
+        links = verified(pairs, left, docs, width, percent)
         tried = tried.union(pairs)
         if not links.isEmpty():
             of = components(links.union(of.select("key", "component")))

@@ -4,7 +4,7 @@ Every document's token ids, closed by an end id, are cut into pieces whose lengt
 longest length as fit, then the binary digits of what is left, longest first. Each piece is a sequence of its own in
 the bucket of its length, so no sequence crosses documents and none needs padding.
 
-Tokenizing goes word by word with a memory: the tokenizer splits at white space anyway, so a text's ids are those of
+Tokenizing goes word by word with a memory of bounded size, which forgets the words not seen lately: the tokenizer splits at white space anyway, so a text's ids are those of
 its words in turn. Texts with characters that Python and the tokenizer class differently as white space go whole. The
 tokenizer lower-cases; where a text's characters are such that Python does so alike, that comes before the lookup.
 
@@ -22,8 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import rows_of, small_batches
+
 MAX_LENGTH, END_ID = 4096, 2
-REMEMBERED = 800_000  # words a worker keeps at most; then it starts anew
+REMEMBERED = 100_000  # words that a worker gathers before it forgets those not seen for as long
+ROWS, HELD = 32, 20_000  # texts taken from a batch at once; pieces (or ids, if they are returned) gathered before they are handed on
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^`{}~"  # ASCII signs that start no special token or contraction
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
@@ -60,6 +63,7 @@ class _Words:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that close a word
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what was known before the words gathered now
 
     def whole(self, text: str) -> bytes:
         return self.encoded(text).tobytes()
@@ -106,10 +110,14 @@ class _Words:
             text = text.lower()
         words = text.split()
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         found = list(map(self.known.get, words))
         if None in found:
-            self.learn({w for w, ids in zip(words, found, strict=True) if ids is None})
+            missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
+            again = missing & self.before.keys()
+            for w in again:
+                self.known[w] = self.before[w]
+            self.learn(missing - again)
             found = list(map(self.known.__getitem__, words))
         return b"".join(found)
 
@@ -129,25 +137,30 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = MAX_LENGTH, end_id
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest length must be a power of two")
 
-    def cut(batches):
-        for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            ids_out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(token_ids(text or "", tokenizer_path), np.array([end_id], "<u4")).astype("<u4")
-                start, raw = 0, memoryview(ids.tobytes())
-                for length in piece_lengths(len(ids), longest):
-                    for c, v in zip(cols, (doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), len(ids)), strict=True):
-                        c.append(v)
-                    if with_ids:
-                        ids_out.append(ids[start : start + length].astype(np.int32))
-                    start += length
-            arrays = [pa.array(c, pa.int64()) for c in cols]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                arrays, names = [*arrays, pa.array(ids_out, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
+    def batch_of(cols: list[list]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    def cut(batches):
+        cols, held = [[] for _ in names], 0
+        for doc_id, text in rows_of(batches, ROWS):
+            ids = np.append(token_ids(text or "", tokenizer_path), np.array([end_id], "<u4")).astype("<u4")
+            start, raw = 0, memoryview(ids.tobytes())
+            for length in piece_lengths(len(ids), longest):
+                piece = (doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), len(ids))
+                for c, v in zip(cols, (*piece, ids[start : start + length].astype(np.int32)) if with_ids else piece, strict=True):
+                    c.append(v)
+                start += length
+                held += length if with_ids else 1
+                if held >= HELD:
+                    yield batch_of(cols)
+                    cols, held = [[] for _ in names], 0
+        if held:
+            yield batch_of(cols)
+
+    small_batches(docs.sparkSession)
     pieces = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
     # One sequence per piece. The number tells its bucket too: sequences of one length have the same remainder.
     bits = longest.bit_length()

@@ -237,7 +237,42 @@ def test_filters_never_lose_a_pair():
         a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 62, int(rng.integers(0, 8))).astype(np.uint64)]))
         shared = len(np.intersect1d(a, b))
-        assert ngram_join.similar(a, b) == (100 * shared >= 80 * (len(a) + len(b) - shared))
+        alike = 100 * shared >= 80 * (len(a) + len(b) - shared)
+        assert ngram_join.similar(a, b) == alike
+        for order in ngram_join.ORDERS if alike else ():
+            short = [ngram_join.in_order(s, order, ngram_join.prefix_length(len(s))) for s in (a, b)]
+            assert len(np.intersect1d(*short))
+            longer = [ngram_join.in_order(s, order, ngram_join.prefix_length(len(s), common=ngram_join.spare(len(s)))) for s in (a, b)]
+            met = len(np.intersect1d(*longer))
+            assert all(met >= ngram_join.needed(len(s)) for s in (a, b))
+
+
+def test_filters_are_intersected_before_texts_meet(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(80)]
+    texts = [" ".join([f"x{k}_{i}" if rng.random() < k / 300 else w for i, w in enumerate(base)]) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    keyed = ngram_join.profiles(docs).join(docs, "doc_id").select("key", "text")
+    sets = {r.key: ngram_join.shingles(r.text) for r in keyed.collect()}
+    every = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a bigint, b bigint")
+    prefixes = ngram_join.prefixes(keyed, 5, 80)
+    got = {tuple(r) for r in ngram_join.sharing(every, prefixes).collect()}
+    meets = lambda a, b, order: len(np.intersect1d(*(ngram_join.in_order(sets[k], order, ngram_join.prefix_length(len(sets[k]))) for k in (a, b)))) > 0
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    by_order = [{p for p in pairs if meets(*p, order)} for order in ngram_join.ORDERS]
+    assert got == by_order[0] & by_order[1] and got < by_order[0] and got < by_order[1]
+    assert {(a, b) for a, b in pairs if ngram_join.similar(sets[a], sets[b])} <= got
+
+
+def test_frequent_tokens_are_dealt_by_set(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "EVERY", 1)
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(k, f"{base} {' '.join(f'y{k}_{j}' for j in range(k % 13))} z{k}") for k in range(60)] + [(100 + k, f"{base} {k}") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keyed = ngram_join.profiles(docs).join(docs, "doc_id").select("key", "text", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
+    shared = ngram_join.shared_tokens(keyed, keyed, 5).cache()
+    assert shared.where(F.col("df") == ngram_join.LAST).groupBy("token").count().where("count = 63").count() == 36
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()} == brute_components(rows)
 
 
 # --- token counts -------------------------------------------------------------------------------------------------------
