@@ -25,7 +25,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id bigint, turn bigint, role string, text string")
-    return chat_format.conversation_digests(chat_format.final_messages(chat_format.events_of_turns(turns.unionByName(extra))))
+    return chat_format.conversation_digests(chat_format.formatted(chat_format.events_of_turns(turns.unionByName(extra))), in_order=True)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +63,9 @@ WEIGHTS = {"domain": {"web": 3, "library": 2}, "lang": {"en": 4, "de": 2, "fr":
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.5, 2, 17
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
+def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
     """Sources src0 to src9 are taken as the web, others as a library."""
-    return docs.withColumn("domain", F.when(F.col("source").rlike("^src[0-9]$"), F.lit("web")).otherwise(F.lit("library")))
+    return docs.withColumn(name, F.when(F.col("source").rlike("^src[0-9]$"), F.lit("web")).otherwise(F.lit("library")))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
