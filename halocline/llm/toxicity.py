@@ -2,14 +2,17 @@
 
 Only documents are labelled, yet it is sentences that offend. Each sentence's probability is a logistic function of the
 words and word beginnings in it; a document's is their noisy-or, 1 - prod(1 - p), relative to as many sentences without
-any telling word, so that those add nothing and a text doesn't turn toxic by its length. The weights are fitted to the labels
-of documents through the noisy-or, so the gradient finds the sentences responsible. Weights are kept at zero or above:
-a word can speak for an offence, not against one. Sentence probabilities then locate the offending sentences.
+any telling word, so that those add nothing and a text doesn't turn toxic by its length. The weights and the bias are fitted
+to the labels of documents through the noisy-or, so the gradient finds the sentences responsible. Clean documents joined
+are a clean document too, so that groups of JOINED of them are fitted on as well, against weak evidence that adds up.
+Weights are kept at zero or above: a word can speak for an offence, not against one. Sentence probabilities then locate
+the offending sentences.
 
-Fitting uses at most `sample` labelled documents, half of each label (a documented bound); their features are counted
-and encoded by Spark jobs, and only those that are commoner in toxic documents reach the driver, at most FEATURES.
+Fitting uses at most `sample` labelled documents, half of each label (the documented bound); their features are counted
+and encoded by Spark jobs, and all that are commoner in toxic documents reach the driver, with the encoded sample.
 
-Defined results: null or empty text has no sentence and scores 0; without labels every text scores 0; repeated
+Defined results: null or empty text has no sentence and scores 0; sentences of any
+number are scored one by one, those without a telling word add nothing; without labels every text scores 0; repeated
 labels of one document count as toxic if any is; null labels are left out; repeated rows are scored each; columns of
 `docs` other than text pass through untouched.
 """
@@ -24,12 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, small_batches, written
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNING = 4  # letters of a word beginning; written with a star behind
-SAMPLE, FEATURES, LEAST = 8_000, 20_000, 4
+SAMPLE, LEAST, JOINED = 8_000, 4, 16
 SCORED = "score double, n_sentences int, n_offending int, worst_score double, worst_start int, worst_end int"
 
 
@@ -78,6 +81,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, la
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "toxic", steps: int = 400) -> Model:
     """Fit the weights to the labels through the noisy-or."""
+    small_batches(docs.sparkSession)
     rows = written(training_sample(docs, labels, sample, label), "toxicity-sample")
 
     @F.pandas_udf("array<string>")
@@ -87,8 +91,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     totals = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = lambda y: F.sum((F.col("y") == y).cast("long")) / F.lit(float(max(1, totals.get(y, 0))))
     counted = rows.select("y", F.explode(seen("text")).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), share(1).alias("toxic"), share(0).alias("clean"))
-    telling = counted.where(f"n >= {LEAST} and toxic > 3 * clean").orderBy(F.desc(F.col("toxic") - F.col("clean")), "f").limit(FEATURES)
-    names = [r.f for r in telling.select("f").collect()]
+    telling = counted.where(f"n >= {LEAST} and toxic > 3 * clean")
+    names = sorted(r.f for r in telling.select("f").collect())
     place = {f: i for i, f in enumerate(names)}
 
     @F.pandas_udf("array<array<int>>")
@@ -104,32 +108,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     return _fitted(bags, names, steps)
 
 
-def _fitted(bags: pd.DataFrame, names: list[str], steps: int, bias: float = -10.0, rate: float = 0.1, penalty: float = 0.0007) -> Model:
-    """Adam on the weighted log-likelihood of the documents; both labels weigh one half in total.
+def _fitted(bags: pd.DataFrame, names: list[str], steps: int, bias: float = -6.0, most: float = -3.0, rate: float = 0.1, penalty: float = 0.0007, joined: float = 0.1) -> Model:
+    """Adam on the weighted log-likelihood of the documents; both labels weigh one half in total, and groups of clean
+    documents have `joined` of that of the clean ones' half.
 
-    The penalty on the sum of the weights drops features that speak for a few documents of many only."""
+    The bias stays at `most` or below. The penalty on the sum of the weights drops features that speak for a few documents of many only."""
     if not names or not len(bags):
         return Model(bias, {})
-    found = [list(x) for x in bags["found"]]
-    of_doc = np.repeat(np.arange(len(bags)), [len(x) for x in found])
+    found, y = [list(x) for x in bags["found"]], bags["y"].to_numpy(float)
+    clean = [x for x, label in zip(found, y, strict=True) if not label]
+    groups = [[s for x in clean[i : i + JOINED] for s in x] for i in range(0, len(clean), JOINED)]
+    weight = np.concatenate([np.where(y == 1, 0.5 / max(1, y.sum()), (0.5 - joined) / max(1, len(clean))), np.full(len(groups), joined / max(1, len(groups)))])
+    found, y = found + groups, np.concatenate([y, np.zeros(len(groups))])
+    of_doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
     sizes = np.array([len(s) for x in found for s in x], np.int64)
     cols = np.concatenate([np.asarray(s, np.int64) for x in found for s in x]) if len(sizes) else np.empty(0, np.int64)
     of_sentence = np.repeat(np.arange(len(sizes)), sizes)
-    y = bags["y"].to_numpy(float)
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w, m, v = np.full(len(names), 0.5), np.zeros(len(names)), np.zeros(len(names))
+    now = np.append(np.full(len(names), 0.5), bias)  # the weights, then the bias
+    least, upper = np.append(np.zeros(len(names)), -np.inf), np.append(np.full(len(names), np.inf), most)
+    m, v = np.zeros(len(now)), np.zeros(len(now))
     for step in range(1, steps + 1):
-        z = bias + np.bincount(of_sentence, w[cols], len(sizes))
+        bias, z = now[-1], now[-1] + np.bincount(of_sentence, now[cols], len(sizes))
         log_none = np.logaddexp(0, bias) - np.logaddexp(0, z)  # log(1 - p), less that of a sentence without features
-        clean = np.bincount(of_doc, log_none, len(bags))
-        p_doc = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-9)
-        # d loss / d clean: toxic documents want it low, clean ones high.
-        slope = weight * np.where(y == 1, (1 - p_doc) / p_doc, -1.0)
-        dz = slope[of_doc] * -(1 / (1 + np.exp(-z)))
-        grad = np.bincount(cols, dz[of_sentence], len(names)) + penalty
+        p_doc = np.clip(-np.expm1(np.bincount(of_doc, log_none, len(found))), 1e-9, 1 - 1e-9)
+        # d loss / d log(1 - p_doc): toxic documents want it low, clean ones high.
+        slope = (weight * np.where(y == 1, (1 - p_doc) / p_doc, -1.0))[of_doc]
+        p, none = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
+        grad = np.append(np.bincount(cols, -(slope * p)[of_sentence], len(names)) + penalty, (slope * (none - p)).sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w = np.maximum(0, w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
-    return Model(bias, {f: float(x) for f, x in zip(names, w, strict=True) if x > 0.05})
+        now = np.clip(now - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8), least, upper)
+    return Model(float(now[-1]), {f: float(x) for f, x in zip(names, now, strict=False) if x > 0.05})
 
 
 def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
@@ -139,6 +147,7 @@ def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([score_text(t or "", model) for t in texts], columns=[x.split()[0] for x in SCORED.split(", ")])
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(name, run(F.col("text").cast("string")))
 
 
