@@ -7,7 +7,7 @@ the span starts and ends and whether it is valid. Spans of one kind never overla
 Base kinds (leftmost, non-overlapping; a match that fails its check is dropped and scanning goes on behind it):
 email, ip (parts at most 255), card (16 to 19 digits passing Luhn), phone (8 to 15 digits).
 Further kinds of the method: url, account (IBAN with its check digits), secret (a long value behind a cue) and
-address (a house number and a street word).
+address (a house number, one to three capitalised words of any length and a street word).
 
 Positions are code points, ends exclusive. Defined results: null or empty text has no spans; repeated rows are reported
 each; an empty table gives an empty result; other columns are ignored.
@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret", "address")
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key")
@@ -38,7 +40,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[^\s<>\"']+")
 SECRET = re.compile(r"[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([A-Za-z0-9_+/=.-]{16,})")
 IBAN = re.compile(r"[\x20:]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
-NUMBER = re.compile(r"([0-9]{1,5}) (?:[A-Z][\w'-]* ){1,3}$")
+NAME = re.compile(r"[A-Z][\w'-]*")
+NUMBER = re.compile(r"(?<![^\W_])[0-9]{1,5}")
 
 
 @lru_cache(1)
@@ -65,6 +68,21 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def address_start(text: str, at: int) -> int:
+    """Where an address starts whose street word stands at `at`; -1 if none does."""
+    end = at - 1  # of the word before, whose last place is a space
+    for _ in range(4):
+        if end < 1 or text[end] != " ":
+            return -1
+        start = text.rfind(" ", 0, end) + 1
+        if end < at - 1 and (m := NUMBER.search(text, max(start, end - 5), end)) and m.end() == end:
+            return m.start()
+        if not NAME.fullmatch(text, start, end):
+            return -1
+        end = start - 1
+    return -1
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end), by kind as listed in KINDS and then by start."""
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -104,10 +122,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         elif anchor == "account":
             if at >= behind["account"] and (m := IBAN.match(text, last + 1)):
                 take("account", m.start(1), m.end(1), iban_valid(m[1]))
-        elif (last + 1 == n or not text[last + 1].isalnum()) and (m := NUMBER.search(text[max(0, at - 80) : at])):
-            start = max(0, at - 80) + m.start(1)
-            if start >= behind["address"] and (start == 0 or not text[start - 1].isalnum()):
-                take("address", start, last + 1)
+        elif (last + 1 == n or not text[last + 1].isalnum()) and (start := address_start(text, at)) >= behind["address"]:
+            take("address", start, last + 1)
     return [(k, s, e) for k in KINDS for s, e in spans[k]]
 
 
@@ -116,15 +132,16 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, a count per base kind, base_sha256 and all spans."""
+    """One row per document: doc_id, a count per base kind, base_sha256, all spans and their number."""
 
-    @F.pandas_udf("n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    @F.pandas_udf("n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint")
     def scan(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             spans = find_spans(text or "")
             base = [s for s in spans if s[0] in BASE]
-            rows.append((*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            rows.append((*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans)))
+        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", scan(F.col("text").cast("string")).alias("found")).select("doc_id", "found.*")
