@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import rows_of, small_batches
+
 K, S, KEPT, RANGES_A_TASK = 16, 8, 128, 8
 OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
@@ -125,6 +127,7 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     the tasks hold of the ranges is a few numbers each.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ranges = RANGES_A_TASK * n
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -144,7 +147,7 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         held = None  # the document before, of the same range
         for batch in batches:
             out = []
-            for end, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for end, doc_id, text in rows_of([batch], 32):
                 text = text or ""
                 if end and held is None:
                     continue  # a further row with the doc_id of the range's end
