@@ -10,7 +10,8 @@ hosts, not lines. Counting combines before its shuffle, so a host or a line with
 
 Lines are compared trimmed of spaces and tabs; blank ones are never dropped, nor counted. Defined results: null text
 stays null; a null host is a host of its own; a document all of whose lines go keeps an empty text; repeated rows are
-documents each; an empty table gives an empty result; other columns pass through untouched.
+documents each; an empty table gives an empty result; other columns pass through untouched, and a result column whose
+name is taken gets underscores before it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import fresh, small_side, written
 
 RATIO, LEAST = 0.01, 5  # well below the share of the commonest lines, the same at every size
 
@@ -49,13 +50,14 @@ def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least:
     """`docs` with the text that is left in column `clean`, and the numbers of lines before and dropped."""
     lists = written(boilerplate(docs, host, ratio, least), "boilerplate")
     rows = lists.agg(F.sum(F.size("lines") * 20 + 100)).first()[0] or 0
-    lists = lists.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    joined = docs.join(F.broadcast(lists) if rows <= 8 << 20 else lists, host.eqNullSafe(F.col("__host")), "left")
-    lines = F.split(F.col("text"), "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__lines"), line_key(x)), F.lit(False)))
-    kept = F.when(F.col("__lines").isNull(), lines).otherwise(kept)
-    out = joined.withColumn("__kept", kept)
-    made = {clean: F.array_join("__kept", "\n")}
+    name = {k: fresh(docs.columns, k) for k in ("host", "lines", "kept", clean, *(counts or ()))}
+    lists = lists.select(F.col("host").alias(name["host"]), F.col("lines").alias(name["lines"]))
+    joined = docs.join(F.broadcast(lists) if rows <= 8 << 20 else lists, host.eqNullSafe(F.col(name["host"])), "left")
+    split, bad = F.split(F.col("text"), "\n"), F.col(name["lines"])
+    kept = F.when(bad.isNull(), split).otherwise(F.filter(split, lambda x: ~F.coalesce(F.array_contains(bad, line_key(x)), F.lit(False))))
+    out = joined.withColumn(name["kept"], kept)
+    own = F.col(name["kept"])
+    made = [F.array_join(own, "\n").alias(name[clean])]
     if counts:
-        made |= {counts[0]: F.coalesce(F.size(lines), F.lit(0)).cast("long"), counts[1]: F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long")}
-    return out.withColumns(made).drop("__host", "__lines", "__kept")
+        made += [F.coalesce(F.size(split), F.lit(0)).cast("long").alias(name[counts[0]]), F.coalesce(F.size(split) - F.size(own), F.lit(0)).cast("long").alias(name[counts[1]])]
+    return out.select(*docs.columns, *made)

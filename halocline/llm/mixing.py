@@ -12,7 +12,9 @@ No order is ever built: the prefix's end is found from token sums per leaf and h
 the one bucket in which it ends. What is joined to the documents is one row per leaf.
 
 Defined results: null text has 0 tokens; null domain, language or source is a value of its own; weights that aren't
-given are 1; leaves without tokens get no budget and none of their documents stays; repeated rows share their place in the order and are taken together; an empty table gives an empty result.
+given are 1; leaves without tokens get no budget and none of their documents stays; repeated rows share their place in
+the order and are taken together; an empty table gives an empty result; other columns pass through untouched, and a
+result column whose name is taken gets underscores before it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, fresh, small_side, written
 
 LEVELS = ("domain", "lang", "source")
 BUCKET_DIGITS = 3  # hexadecimal, of the order key
@@ -64,13 +66,13 @@ def shared_out(nodes: DataFrame, parent: tuple[str, ...], order: tuple[str, ...]
     return marked.withColumn("level", level).withColumn("budget", F.when(F.col("full"), F.col("supply")).otherwise(exact)).drop("taken", "left_weight", "full", "level")
 
 
-def leaf_budgets(leaves: DataFrame, budget: int, weights: Mapping | None = None, max_epochs: int = 1) -> DataFrame:
-    """Budgets for leaves (domain, lang, source, tokens): adds supply and budget, both decimal."""
+def leaf_budgets(leaves: DataFrame, budget: int, weights: Mapping | None = None, max_epochs: int = 1, levels: tuple[str, ...] = LEVELS) -> DataFrame:
+    """Budgets for leaves (the levels, tokens): adds supply and budget, both decimal."""
     d = "decimal(38,0)"
     base = leaves.withColumn("supply", (F.col("tokens") * max_epochs).cast(d)).where("supply > 0")
     given = None
-    for depth, level in enumerate(LEVELS, 1):
-        keys, parent = LEVELS[:depth], LEVELS[: depth - 1]
+    for depth, level in enumerate(levels, 1):
+        keys, parent = levels[:depth], levels[: depth - 1]
         nodes = base.groupBy(*keys).agg(F.sum("supply").cast(d).alias("supply")).withColumn("weight", weight_of(level, weights)).where("weight > 0")
         if given is None:
             nodes = nodes.withColumn("given", F.lit(budget).cast(d))
@@ -79,41 +81,40 @@ def leaf_budgets(leaves: DataFrame, budget: int, weights: Mapping | None = None,
             on = [F.col(k).eqNullSafe(F.col(f"up_{k}")) for k in parent]
             nodes = nodes.join(up, on).drop(*[f"up_{k}" for k in parent])
         given = shared_out(nodes, parent, (level,))
-    return given.select(*LEVELS, "supply", "budget")
+    return given.select(*levels, "supply", "budget")
 
 
-def mixed(docs: DataFrame, budget: int | None = None, share: float = 0.5, weights: Mapping | None = None, max_epochs: int = 1, seed: int = 0, tokens: Column | None = None) -> DataFrame:
-    """`docs` (with domain, lang, source and doc_id) repeated by the epochs that take them, in columns mix_epoch and
-    mix_tokens. The budget is `budget` tokens, or `share` of all."""
+def mixed(docs: DataFrame, budget: int | None = None, share: float = 0.5, weights: Mapping | None = None, max_epochs: int = 1, seed: int = 0, tokens: Column | None = None, levels: tuple[str, ...] = LEVELS) -> DataFrame:
+    """`docs` (with doc_id and the levels of the tree) repeated by the epochs that take them, in two further columns
+    mix_epoch and mix_tokens. The budget is `budget` tokens, or `share` of all."""
     count = words(F.col("text")) if tokens is None else tokens
-    light = written(docs.select("doc_id", *LEVELS, count.alias("tokens")), "mix-tokens")
-    leaves = written(light.groupBy(*LEVELS).agg(F.sum("tokens").cast("long").alias("tokens")), "mix-leaves")
+    own = [f"l{i}" for i in range(len(levels))]  # the levels' names inside
+    inside = {f"l{i}": (weights or {}).get(level, {}) for i, level in enumerate(levels)}
+    same = lambda prefix, left=own: [F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(left)]
+    named = lambda prefix: [F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(own)]
+    light = written(docs.select("doc_id", *[F.col(k).alias(o) for k, o in zip(levels, own, strict=True)], count.alias("tokens")), "mix-tokens")
+    leaves = written(light.groupBy(*own).agg(F.sum("tokens").cast("long").alias("tokens")), "mix-leaves")
     if budget is None:
         budget = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * share)
-    cut = leaf_budgets(leaves, budget, weights, max_epochs).join(leaves.select(*[F.col(k).alias(f"l_{k}") for k in LEVELS], "tokens"), [F.col(k).eqNullSafe(F.col(f"l_{k}")) for k in LEVELS]).drop(*[f"l_{k}" for k in LEVELS])
-    cut = written(cut.select(*[F.col(k).alias(f"c_{k}") for k in LEVELS], F.expr("cast(budget div tokens as int)").alias("whole"), F.expr("cast(budget % tokens as bigint)").alias("part")), "mix-cuts")
-    n = cut.count()
-    on = lambda prefix: [F.col(k).eqNullSafe(F.col(f"{prefix}_{k}")) for k in LEVELS]
-    side = F.broadcast(cut) if n * 200 <= 8 << 20 else cut
-    keyed = light.join(side, on("c")).where("part > 0").select("doc_id", *LEVELS, "tokens", "part", order_key(seed, F.col("whole"), F.col("doc_id")).alias("key"))
+    cut = leaf_budgets(leaves, budget, inside, max_epochs, tuple(own)).join(leaves.select(*named("a"), "tokens"), same("a"))
+    cut = written(cut.select(*own, F.expr("cast(budget div tokens as int)").alias("whole"), F.expr("cast(budget % tokens as bigint)").alias("part")), "mix-cuts")
+    keyed = light.join(small_side(cut.select(*named("c"), "whole", "part"), 200), same("c")).where("part > 0").select("doc_id", *own, "tokens", "part", order_key(seed, F.col("whole"), F.col("doc_id")).alias("key"))
     keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    sums = keyed.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("t"), F.first("part").alias("part"))
-    running = F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
+    sums = keyed.groupBy(*own, "bucket").agg(F.sum("tokens").alias("t"), F.first("part").alias("part"))
+    running = F.sum("t").over(Window.partitionBy(*own).orderBy("bucket"))
     # The first bucket that passes the budget, and what is left for it.
-    ends = sums.withColumn("upto", running).where("upto > part").groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("part") - F.col("upto") + F.col("t")).alias("room"))).alias("e"))
-    ends = written(ends.select(*[F.col(k).alias(f"e_{k}") for k in LEVELS], "e.bucket", "e.room"), "mix-ends")
-    end_side = F.broadcast(ends) if n * 200 <= 8 << 20 else ends
-    inside = keyed.withColumnRenamed("bucket", "own").join(end_side, on("e")).where("own = bucket")
-    upto = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("key"))  # rows of equal key count together
-    last = inside.withColumn("upto", upto).where("upto <= room").groupBy(*LEVELS).agg(F.max("key").alias("key"))
+    ends = sums.withColumn("upto", running).where("upto > part").groupBy(*own).agg(F.min(F.struct("bucket", (F.col("part") - F.col("upto") + F.col("t")).alias("room"))).alias("e"))
+    ends = written(ends.select(*own, "e.bucket", "e.room"), "mix-ends")
+    rest = keyed.withColumnRenamed("bucket", "at").join(small_side(ends.select(*named("e"), "bucket", "room"), 200), same("e")).where("at = bucket")
+    upto = F.sum("tokens").over(Window.partitionBy(*own).orderBy("key"))  # rows of equal key count together
+    last = rest.withColumn("upto", upto).where("upto <= room").groupBy(*own).agg(F.max("key").alias("key"))
     # Keys up to `stop` are taken: the last that fits, else all before the end's bucket.
-    stops = ends.join(last.select(*[F.col(k).alias(f"s_{k}") for k in LEVELS], "key"), [F.col(f"e_{k}").eqNullSafe(F.col(f"s_{k}")) for k in LEVELS], "left")
-    stops = stops.select(*[F.col(f"e_{k}").alias(f"t_{k}") for k in LEVELS], F.coalesce("key", "bucket").alias("stop"))
-    plan = cut.join(stops, [F.col(f"c_{k}").eqNullSafe(F.col(f"t_{k}")) for k in LEVELS], "left").select(*[f"c_{k}" for k in LEVELS], F.col("whole").alias("__whole"), F.col("stop").alias("__stop"))
-    plan = written(plan, "mix-plan")
-    plan = F.broadcast(plan) if n * 200 <= 8 << 20 else plan
-    joined = docs.join(plan, on("c"))
-    partly = F.coalesce(order_key(seed, F.col("__whole"), F.col("doc_id")) <= F.col("__stop"), F.lit(False))
-    times = F.col("__whole") + partly.cast("int")
-    out = joined.withColumn("__times", times).where("__times > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    return out.withColumn("mix_tokens", count).drop("__whole", "__stop", "__times", *[f"c_{k}" for k in LEVELS])
+    stops = ends.join(last.select(*named("s"), "key"), same("s"), "left").select(*named("t"), F.coalesce("key", "bucket").alias("stop"))
+    plan = written(cut.join(stops, same("t"), "left").select(*own, "whole", "stop"), "mix-plan")
+    drop_written(light, leaves, cut, ends)
+    # One row a leaf meets the documents, under names that none of their columns has.
+    name = {k: fresh(docs.columns, f"mix_{k}") for k in (*own, "whole", "stop", "times", "epoch", "tokens")}
+    joined = docs.join(small_side(plan.select(*[F.col(k).alias(name[k]) for k in (*own, "whole", "stop")]), 200), [F.col(k).eqNullSafe(F.col(name[o])) for k, o in zip(levels, own, strict=True)])
+    partly = F.coalesce(order_key(seed, F.col(name["whole"]), F.col("doc_id")) <= F.col(name["stop"]), F.lit(False))
+    out = joined.withColumn(name["times"], F.col(name["whole"]) + partly.cast("int")).where(F.col(name["times"]) > 0)
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(name["times"]) - 1)).alias(name["epoch"]), count.alias(name["tokens"]))
