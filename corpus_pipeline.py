@@ -2,58 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from halocline.llm.stages import STAGES, run
 
-from halocline.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from halocline.llm.common import read_table, written
-from halocline.llm.queries import MIX_SEED, MIX_SHARE, TOKENIZERS, WEIGHTS, with_domain
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose noisy-or score is below one half."""
-    labels = read_table(spark, sf_dir, "labels").where(~toxicity.held_out())
-    out = toxicity.scored(docs, toxicity.fit(docs, labels), "__toxicity")
-    return out.where(F.col("__toxicity.score") < 0.5).select(*docs.columns)
-
-
-def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without its source's boilerplate lines; n_chars follows the text."""
-    out = line_dedup.drop_boilerplate(docs, F.col("source"), clean="__clean", counts=None)
-    out = out.withColumns({"text": F.col("__clean"), "n_chars": F.when(F.col("__clean").isNull(), F.col("n_chars")).otherwise(F.char_length("__clean").cast("long"))})
-    return out.select(*docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return ngram_join.without_near_duplicates(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The seeded prefix of every leaf that the budget of half the words gives it, each document once at most."""
-    out = mixing.mixed(with_domain(docs), share=MIX_SHARE, weights=WEIGHTS, max_epochs=1, seed=MIX_SEED)
-    return out.select(*docs.columns)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document, one sequence each."""
-    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json")
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_boilerplate_lines),
-    ("ngram_jaccard_join", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
-]
-
-#: SQL can't express the fitted model nor the tokenizer; the tests hold the stages against brute force.
+#: SQL can't express the fitted model nor the tokenizer; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return written(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
