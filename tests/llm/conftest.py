@@ -22,7 +22,8 @@ def documents(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     from pyspark.sql import functions as F
 
-    return df.withColumns({"score": F.lit("x"), "digest": F.lit(1), "key": F.lit("k"), "token": F.lit(2), "host": F.lit("h"), "tokens": F.lit("t"), "n": F.lit(1), "range": F.lit(0), "end": F.lit(9)})
+    names = "score digest key token host tokens n range end domain c_domain l0 whole __whole mix_whole mix_epoch mix_tokens mix_l0 __host __lines __kept lines kept clean_text __clean n_lines n_dropped toxicity __toxicity t component_id n_shingles keep_id group_size seq part formatted"
+    return df.withColumns({name: F.lit(f"own {name}") for name in names.split()})
 
 
 @pytest.fixture(scope="session")

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,27 @@ def test_toxicity_locates_the_sentence(spark, documents, no_documents):
     assert toxicity.fit(documents, labels.limit(0)).weights == {}
 
 
+def test_toxicity_query_matches_plain_noisy_or(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    text = texts(spark, sf)
+    rows = queries.op1_toxicity(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(text) and model.weights
+    for r in rows:
+        assert abs(r.score - brute.noisy_or(text[r.doc_id], model.bias, model.weights)) < 1e-6
+
+
+def test_toxicity_fits_the_bias_and_joined_clean_documents(spark):
+    """A word in a few clean documents and in many toxic ones mustn't make clean ones toxic by adding up."""
+    rows = [(k, f"Calm line {k}. {'Odd word. ' if k % 10 == 0 else ''}Calm.", 0) for k in range(400)]
+    rows += [(k, f"Calm. {'Odd word. ' if k % 2 else ''}You utter scoundrel.", 1) for k in range(400, 500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert model.bias <= -3 and model.bias != -6
+    joined = " ".join(t for _, t, y in rows if not y)
+    assert toxicity.score_text(joined, model)[0] < 0.5 <= toxicity.score_text(joined + " You utter scoundrel.", model)[0]
+
+
 def test_toxicity_does_not_grow_with_clean_text(spark):
     model = toxicity.Model(-10.0, {"scoundrel": 20.0})
     calm, offence = "A calm line.\n" * 100_000, "You utter scoundrel."
@@ -207,36 +229,10 @@ def test_exact_dedup_locator_and_empty(spark, documents, no_documents, tmp_path)
 # --- n-gram Jaccard join -------------------------------------------------------------------------------------------------
 
 
-def brute_components(rows, percent=80):
-    sets = {}
-    for i, t in rows:
-        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
-        sets[i] = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
-    root = {i: i for i in sets}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(sets)
-    holders = defaultdict(list)
-    for i in ids:
-        for s in sets[i]:
-            holders[s].append(i)
-    for i in ids:
-        shared = Counter(j for s in sets[i] for j in holders[s] if j > i)
-        for j, n in shared.items():
-            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return {i: (len(sets[i]), find(i)) for i in ids}
-
-
 def test_ngram_join_matches_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()}
-    want = brute_components([(r.doc_id, r.text) for r in docs.collect()])
+    want = brute.components([(r.doc_id, r.text) for r in docs.collect()])
     assert got == want and any(c != i for i, (_, c) in want.items())
 
 
@@ -254,13 +250,13 @@ def test_ngram_join_on_chains_and_large_groups(spark):
     rows += [(2000 + k, " ".join([*base[:30], *(f"y{k}_{j}" for j in range(30))])) for k in range(60)]  # a common passage
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()}
-    assert got == brute_components(rows)
+    assert got == brute.components(rows)
 
 
 def test_ngram_join_awkward_rows(spark, documents, no_documents):
     rows = ngram_join.near_duplicates(documents).collect()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
-    want = brute_components([(r.doc_id, r.text) for r in documents.where("doc_id is not null").collect()])
+    want = brute.components([(r.doc_id, r.text) for r in documents.where("doc_id is not null").collect()])
     assert {k: v for k, v in got.items() if k is not None} == want
     assert got[None][1] is None and len(rows) == documents.count()
     assert ngram_join.near_duplicates(no_documents).count() == 0
@@ -310,7 +306,7 @@ def test_frequent_tokens_are_dealt_by_set(spark, monkeypatch):
     keyed = ngram_join.profiles(docs).join(docs, "doc_id").select("key", "text", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
     shared = ngram_join.shared_tokens(keyed, keyed, 5).cache()
     assert shared.where(F.col("df") == ngram_join.LAST).groupBy("token").count().where("count = 63").count() == 36
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()} == brute_components(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()} == brute.components(rows)
 
 
 # --- token counts -------------------------------------------------------------------------------------------------------
@@ -332,6 +328,21 @@ def test_token_counts_match_the_library(spark, sf):
         assert own.count(t) == len(library.encode(whole, add_special_tokens=False).ids), t[:50]
 
 
+def test_token_counts_of_whole_texts_match_the_library(spark, sf):
+    from sentencepiece import sentencepiece_model_pb2
+    from tokenizers import Tokenizer, models
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(PIECES, "rb") as f:
+        model.ParseFromString(f.read())
+    least = min(p.score for p in model.pieces if p.type == 1)
+    library = Tokenizer(models.Unigram([("<unk>", least), *((p.piece, p.score) for p in model.pieces if p.type == 1), *((p.piece, -1e12) for p in model.pieces if p.type == 6)], 0, True))
+    text = texts(spark, sf)
+    for r in queries.op6_token_counts(spark, sf).collect():
+        whole = "▁" + text[r.doc_id].replace(" ", "▁") if text[r.doc_id] else ""
+        assert (r.n_chars, r.n_tokens) == (len(text[r.doc_id]), len(library.encode(whole, add_special_tokens=False).ids)), r.doc_id
+
+
 def test_token_count_ties_and_edges(spark, documents, no_documents):
     v = token_counts.Vocabulary([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁", -1.0), ("abab", -4.0)])
     assert v.count_run("ab") == 1 and v.count_run("abab") == 1 and v.count_run("abb") == 2
@@ -382,6 +393,22 @@ def test_fingerprints_match_brute_force(spark, sf):
     assert fingerprints.likeness(own, own) == 1.0
 
 
+def test_fingerprints_match_plain_syncmers_and_likeness(spark, sf):
+    """Hashes are the library's; choice of anchors, kept ones, positions and likeness are not."""
+    inner = lambda x: int(fingerprints._grams(np.frombuffer(x.encode("utf-32-le"), "<u4").astype(np.uint64), len(x))[0])
+    whole = lambda x: int(fingerprints.syncmers(np.frombuffer(x.encode("utf-32-le"), "<u4").astype(np.uint64))[1][0])
+    own = lambda x: inner(x) if len(x) == fingerprints.S else whole(x)
+    read = lambda x: [(int(a.split("@")[0], 16), int(a.split("@")[1])) for a in x.split(",") if a]
+    t = texts(spark, sf)
+    rows = {r.doc_id: r for r in queries.op7_fingerprints(spark, sf).collect()}
+    ids = sorted(t)
+    for i, after in zip(ids, ids[1:] + ids[:1], strict=True):
+        if 16 <= len(t[i]) <= 1500:
+            assert read(rows[i].fingerprint) == (brute.anchors(t[i], own, fingerprints.K, fingerprints.S) or read(rows[i].fingerprint))
+        assert rows[i].near_edited == brute.likeness(read(rows[i].fingerprint), read(rows[i].edited_fingerprint))
+        assert rows[i].near_next == brute.likeness(read(rows[i].fingerprint), read(rows[after].fingerprint))
+
+
 def test_likeness_bears_spread_edits():
     rng = np.random.default_rng(2)
     letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
@@ -455,34 +482,35 @@ def test_packing_edges(spark, documents, no_documents):
 
 # --- PII -------------------------------------------------------------------------------------------------------------------
 
-PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-
-
-def brute_spans(text):
-    out = []
-    for kind, pattern in PATTERNS.items():
-        for m in re.finditer(pattern, text):
-            digits = [int(c) for c in m[0] if c in "0123456789"]
-            if kind == "ip" and max(map(int, m[0].split("."))) > 255 or kind == "phone" and not 8 <= len(digits) <= 15:
-                continue
-            if kind == "card":
-                doubled = sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(reversed(digits)))
-                if not 16 <= len(digits) <= 19 or doubled % 10:
-                    continue
-            out.append((kind, m.start(), m.end()))
-    return out
-
-
 def test_pii_base_matches_patterns(spark, sf):
     rng = np.random.default_rng(3)
     alphabet = list("01239.+-@() ax.%") + ["1.2.3.4", "256", "a@b.c", "4111 1111 1111 1111", "+1 (743) 555-3824", "\U0001f600"]
     samples = ["".join(rng.choice(alphabet, int(rng.integers(1, 60)))) for _ in range(4000)] + list(texts(spark, sf).values())
     for t in samples:
         spans = pii.find_spans(t)
-        assert [s for s in spans if s[0] in pii.BASE] == brute_spans(t), t
+        assert [s for s in spans if s[0] in pii.BASE] == brute.base_spans(t), t
         assert spans == sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
 
 
+def test_pii_query_matches_patterns(spark, sf):
+    text = texts(spark, sf)
+    rows = queries.op9_pii(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(text)
+    for r in rows:
+        base = brute.base_spans(text[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone"))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        assert r.n_spans == len([x for x in r.spans.split(",") if x]) and {f"{k}:{s}:{e}" for k, s, e in base} <= set(r.spans.split(","))
+
+
+def test_pii_addresses_of_any_length():
+    for size in (3, 70, 90, 5000):
+        t = f"at 12 {'A' * size} Long Street, 7 {'b' * size} Street"
+        assert [t[s:e] for k, s, e in pii.find_spans(t) if k == "address"] == [f"12 {'A' * size} Long Street"]
+    for t in ("x12 Oak Street", "123456 Oak Street", "1 A B C D Street", " Street", "12 Street", "12  Oak Street"):
+        assert not [s for s in pii.find_spans(t) if s[0] == "address"], t
+
+
 def test_pii_further_kinds_and_edges(spark, documents, no_documents):
     t = "see https://x.example.com/a?b=1. IBAN: GB82 WEST 1234 5698 7654 32, iban GB00WEST12345698765432; api_key = 'abcdefghijklmnop1234' at 12 Long Oak Street today"
     got = {k: t[s:e] for k, s, e in pii.find_spans(t) if k not in pii.BASE}
@@ -496,30 +524,15 @@ def test_pii_further_kinds_and_edges(spark, documents, no_documents):
 # --- mixing -----------------------------------------------------------------------------------------------------------------
 
 
-def brute_fill(given, children):
-    """children: name -> (weight, supply); largest remainder is never handed out."""
-    out, rest = {}, dict(children)
-    while True:
-        total = sum(w for w, _ in rest.values())
-        full = [k for k, (w, s) in sorted(rest.items()) if s * total <= w * given]
-        if not full:
-            return out | {k: w * given // total for k, (w, _) in rest.items()}
-        k = min(full, key=lambda k: (rest[k][1] / rest[k][0], k))
-        out[k] = rest.pop(k)[1]
-        given -= out[k]
-        if not rest:
-            return out
-
-
 def test_budgets_redistribute_among_siblings_first(spark):
     leaves = [("a", "en", "s1", 100), ("a", "en", "s2", 10), ("a", "de", "s1", 5), ("b", "en", "s1", 1000), ("b", None, "s9", 0)]
     df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens bigint")
     weights = {"domain": {"a": 3, "b": 1}, "lang": {"en": 1, "de": 1}}
     for budget in (0, 1, 40, 100, 160, 400, 5000):
         got = {(r.domain, r.lang, r.source): int(r.budget) for r in mixing.leaf_budgets(df, budget, weights, 1).collect()}
-        dom = brute_fill(budget, {"a": (3, 115), "b": (1, 1000)})
-        lang = brute_fill(dom["a"], {"de": (1, 5), "en": (1, 110)})
-        src = brute_fill(lang["en"], {"s1": (1, 100), "s2": (1, 10)})
+        dom = brute.fill(budget, {"a": (3, 115), "b": (1, 1000)})
+        lang = brute.fill(dom["a"], {"de": (1, 5), "en": (1, 110)})
+        src = brute.fill(lang["en"], {"s1": (1, 100), "s2": (1, 10)})
         assert got == {("a", "en", "s1"): src["s1"], ("a", "en", "s2"): src["s2"], ("a", "de", "s1"): lang["de"], ("b", "en", "s1"): dom["b"]}
 
 
