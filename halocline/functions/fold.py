@@ -107,6 +107,14 @@ def checkerboard(core: DataFrame, h: Header, parts: int, bands: int | None = Non
     return out.withColumn("part", (F.col("band") * each + at).cast("int")).select(*core.columns, "part")
 
 
+def regular_checkerboard(core: DataFrame, h: Header, parts: int, bands: int | None = None) -> DataFrame:
+    """Core points with the part that owns them, all parts being rectangles: bands of whole rows, cut at the same columns."""
+    bands = bands or default_bands(parts)
+    each = parts // bands
+    band, place = bucket(F.col("iy"), F.lit(h.ny), bands), bucket(F.col("ix"), F.lit(h.nx), each)
+    return core.withColumn("part", (band * each + place).cast("int"))
+
+
 def _div(a: Column, b) -> Column:
     """Whole division downwards; never null, so that joins on it need no null filters."""
     return F.coalesce(F.floor(a / b), F.lit(0)).cast("bigint")

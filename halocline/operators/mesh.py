@@ -10,10 +10,20 @@ from ..functions.geometry import normalised
 from .header import Header
 
 
-def numbered(points: DataFrame) -> DataFrame:
-    """Local points with their node number: real nodes first, then ghosts, both in row-major order."""
-    order = Window.partitionBy("mypart").orderBy("is_ghost", "iy", "ix")
-    return points.withColumn("inode", (F.row_number().over(order) - 1).cast("bigint"))
+def numbered(points: DataFrame, ghost: str, name: str) -> DataFrame:
+    """Points with a number in their part: real ones first, then ghosts, both in row-major order.
+
+    Rows of the grid are counted; a number is the count of all rows before, plus the place in the own row. So no window
+    holds more points than a row, and what is summed over a part is a count per row.
+    """
+    rows = points.groupBy("mypart", "iy").agg(F.count_if(~F.col(ghost)).alias("real"), F.count_if(ghost).alias("ghosts"))
+    part = Window.partitionBy("mypart")
+    before = part.orderBy("iy").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    offsets = rows.select("mypart", "iy", sums("real").alias("first_real"), (F.sum("real").over(part) + sums("ghosts")).alias("first_ghost"))
+    place = F.row_number().over(Window.partitionBy("mypart", "iy", ghost).orderBy("ix"))
+    first = F.when(F.col(ghost), F.col("first_ghost")).otherwise(F.col("first_real"))
+    return points.join(offsets, ["mypart", "iy"]).withColumn(name, (first + place - 1).cast("bigint")).drop("first_real", "first_ghost")
 
 
 def nodes(points: DataFrame, owner: DataFrame, h: Header, parts: int) -> DataFrame:
@@ -22,7 +32,7 @@ def nodes(points: DataFrame, owner: DataFrame, h: Header, parts: int) -> DataFra
     For ghosts, the part is that of their master's nearest core point, and remote_idx is unknown (-1) until linked;
     a single part knows it at once.
     """
-    n = numbered(points)
+    n = numbered(points, "is_ghost", "inode")
     mi, mj = core_of_linear(F.col("n_master"), h)
     ci, cj = core_periodic(clamp(mi, 0, h.nx - 1), clamp(mj, 0, h.ny - 1), h)
     n = n.withColumn("key", cj.cast("bigint") * h.nx + ci).join(owner.select(F.col("n").alias("key"), F.col("part").alias("master_part")), "key")
@@ -60,8 +70,8 @@ def with_coordinates(mesh_nodes: DataFrame, grid: DataFrame, h: Header, lon00: f
     _, mj = core_of_linear(F.col("n_master"), h)
     out = mesh_nodes.withColumn("mj", mj).join(at_master, "n_master").join(at_haloed, "glb_idx")
     out = out.join(row1.select(F.col("row").alias("mj"), F.col("lon1").alias("lon1_master")), "mj").join(row1.select(F.col("row").alias("gj"), F.col("lon1").alias("lon1_own")), "gj", "left")
-    size = Window.partitionBy("mypart")
-    out = out.withColumn("nx_local", F.max("ix").over(size) + 1)
+    widths = mesh_nodes.groupBy("mypart").agg((F.max("ix") + 1).alias("nx_local"))  # a row for each part
+    out = out.join(widths, "mypart")
     west = lambda lon1: F.when(lon1 < lon00 - 10, F.lit(lon00 - 20.0)).otherwise(F.lit(lon00 - 90.0))
     east = F.lit(lon00 + 90.0)
     lon = normalised(F.col("m_lon"), F.when(F.col("gi") < h.nx // 2, west(F.col("lon1_master"))).otherwise(east))
@@ -105,14 +115,13 @@ def cells(mesh_nodes: DataFrame, h: Header, water: bool = False) -> DataFrame:
     at = lambda k, col: F.max(F.when(F.col("c.k") == k, F.col(col)))
     flags = [F.bool_or("f_water").alias("f_water"), F.bool_or(~F.col("f_water")).alias("f_land")] if water else []
     g = dealt.groupBy("mypart", F.col("c.ix").alias("ix"), F.col("c.iy").alias("iy")).agg(*[at(k, "inode").alias(f"node{k}") for k in range(4)], at(0, "part").alias("part_sw"), at(2, "part").alias("part_ne"), at(0, "is_ghost").alias("ghost_sw"), at(0, "is_cell").alias("is_cell"), at(0, "gi").alias("gi"), at(0, "gj").alias("gj"), F.max("halo").alias("halo_max"), *flags)
-    g = g.where("is_cell")
-    order = Window.partitionBy("mypart").orderBy("ghost_sw", "iy", "ix")
+    g = numbered(g.where("is_cell"), "ghost_sw", "jcell")
     folded = F.col("gj") >= h.ny - 1
     keep = F.lit(is_patched(h)) & (F.col("gi") < h.nx // 2)
     south = F.when(F.col("gi") < 0, -F.col("gi")).when(F.col("gi") >= h.nx, F.col("gi") - (h.nx - 1)).otherwise(0)
     return g.select(
         "mypart",
-        (F.row_number().over(order) - 1).cast("bigint").alias("jcell"),
+        "jcell",
         ((F.col("gj") + h.halo_s).cast("bigint") * h.ni + F.col("gi") + h.halo_w + 1).alias("glb_idx"),
         *[F.col(f"node{k}") for k in range(4)],
         F.when(folded & ~keep, F.col("part_ne")).otherwise(F.col("part_sw")).alias("part"),
@@ -132,6 +141,24 @@ def linked(mesh_nodes: DataFrame) -> DataFrame:
     return ghost.join(owner, (F.col("asked_part") == F.col("p")) & (F.col("master_glb_idx") == F.col("m")), "left").drop("p", "m")
 
 
+def with_links(mesh_nodes: DataFrame) -> DataFrame:
+    """Nodes whose ghosts have taken over remote_idx, part and glb_idx of the node that owns them.
+
+    A ghost without an owner keeps remote_idx -1; check_links finds those.
+    """
+    found = linked(mesh_nodes).where("remote_idx is not null").select("mypart", "inode", F.col("remote_idx").alias("r_idx"), F.col("remote_part").alias("r_part"), F.col("remote_glb_idx").alias("r_glb"))
+    taken = {"remote_idx": F.coalesce("r_idx", "remote_idx"), "part": F.coalesce("r_part", "part"), "glb_idx": F.coalesce("r_glb", "glb_idx")}
+    ghosts = mesh_nodes.where("ghost").join(found, ["mypart", "inode"], "left").withColumns(taken).select(*mesh_nodes.columns)
+    return mesh_nodes.where(~F.col("ghost")).unionByName(ghosts)
+
+
+def check_links(mesh_nodes: DataFrame) -> None:
+    """Raises if a ghost has no owner or an owner is claimed twice."""
+    lost = linked(mesh_nodes).where("remote_idx is null").count()
+    if lost or not duplicate_owners(mesh_nodes).isEmpty():
+        raise ValueError(f"{lost} ghosts have no owner, or owners are claimed twice")
+
+
 def exchanged(mesh_nodes: DataFrame, values: DataFrame) -> DataFrame:
     """Halo exchange: values (mypart, inode, value) of real nodes delivered to their ghosts."""
     from_owner = values.select(F.col("mypart").alias("asked_part"), F.col("inode").alias("remote_idx"), "value")

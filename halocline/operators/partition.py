@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fold import checkerboard, core_periodic
+from ..functions.fold import checkerboard, core_periodic, regular_checkerboard
 from .header import Header
 
-PARTITIONERS = ("serial", "checkerboard")
+PARTITIONERS = ("serial", "checkerboard", "regular_checkerboard")
+DEFAULT_PARTITIONER = "regular_checkerboard"  # a grid's own choice where none is asked for
 
 
 def owners(spark: SparkSession, h: Header, parts: int, bands: int | None = None, partitioner: str = "checkerboard") -> DataFrame:
@@ -24,9 +25,20 @@ def owners(spark: SparkSession, h: Header, parts: int, bands: int | None = None,
     core = spark.range(h.nx * h.ny).select(F.col("id").alias("n"), (F.col("id") % h.nx).cast("int").alias("ix"), F.floor(F.col("id") / h.nx).cast("int").alias("iy"))
     if partitioner == "serial":
         return core.withColumn("part", F.lit(0))
+    if partitioner == "regular_checkerboard":
+        return regular_checkerboard(core, h, parts, bands)
     return checkerboard(core, h, parts, bands)
 
 
+def regular_grid(spark: SparkSession, h: Header) -> DataFrame:
+    """(n, ix, iy, lon, lat): the regular grid of the core's size that stands for it when it is cut into parts.
+
+    Latitudes from -80 to 90 degrees, both included; longitudes from 0 to 360, the end left out.
+    """
+    ix, iy = (F.col("id") % h.nx).cast("int"), F.floor(F.col("id") / h.nx).cast("int")
+    return spark.range(h.nx * h.ny).select(F.col("id").alias("n"), ix.alias("ix"), iy.alias("iy"), (ix * (360.0 / h.nx)).alias("lon"), (iy * (170.0 / max(1, h.ny - 1)) - 80.0).alias("lat"))
+
+
 def check_halo(parts: int, halo: int) -> None:
     if halo < 0 or parts == 1 and halo:
         raise ValueError("the halo must not be negative, and must be 0 for a single part")
@@ -56,7 +68,9 @@ def rectangle_points(rects: DataFrame, owner: DataFrame, h: Header, halo: int) -
         return own.withColumn("halo", F.when(F.col("is_ghost"), halo).otherwise(0)).select("mypart", "gi", "gj", "part", "halo", "is_ghost")
     r = halo - 1
     offsets = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in range(-r, r + 1) for y in range(-r, r + 1) if x or y])
-    near = own.where("part = mypart").select("mypart", "gi", "gj", F.explode(offsets).alias("o"))
-    near = near.select("mypart", (F.col("gi") - F.col("o.dx")).alias("gi"), (F.col("gj") - F.col("o.dy")).alias("gj"), F.greatest(F.abs("o.dx"), F.abs("o.dy")).alias("d")).groupBy("mypart", "gi", "gj").agg(F.min("d").alias("d"))
+    # Ghosts look around; there are few of them, as they line the rectangles.
+    asked = own.where("is_ghost").select("mypart", "gi", "gj", F.explode(offsets).alias("o")).select("mypart", "gi", "gj", (F.col("gi") + F.col("o.dx")).alias("ti"), (F.col("gj") + F.col("o.dy")).alias("tj"), F.greatest(F.abs("o.dx"), F.abs("o.dy")).alias("d"))
+    inside = own.where("part = mypart").select("mypart", F.col("gi").alias("ti"), F.col("gj").alias("tj"))
+    near = asked.join(inside, ["mypart", "ti", "tj"]).groupBy("mypart", "gi", "gj").agg(F.min("d").alias("d"))
     out = own.join(near, ["mypart", "gi", "gj"], "left")
     return out.select("mypart", "gi", "gj", "part", F.when(F.col("is_ghost"), F.coalesce("d", F.lit(halo))).otherwise(0).alias("halo"), "is_ghost")

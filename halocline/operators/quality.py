@@ -14,10 +14,11 @@ def halo_repaired(points: DataFrame) -> DataFrame:
 
     Masters of masters are themselves, so one equi-join does it whatever the order.
     """
+    away = points.where("n <> n_master").select("n", "n_master", "lon", "lat", "water")
     own = points.select(F.col("n").alias("m"), F.col("lon").alias("m_lon"), F.col("lat").alias("m_lat"), F.col("water").alias("m_water"))
-    both = points.join(own, F.col("n_master") == F.col("m"))
+    both = away.join(own, F.col("n_master") == F.col("m"))  # few points, so that this side is broadcast where it is small
     moved = g.sphere_distance((F.col("lon"), F.col("lat")), (F.col("m_lon"), F.col("m_lat")))
-    return both.select(
+    fixed = both.select(
         "n",
         "n_master",
         F.col("m_lon").alias("lon"),
@@ -25,8 +26,11 @@ def halo_repaired(points: DataFrame) -> DataFrame:
         F.col("m_water").alias("water"),
         (F.col("water") != F.col("m_water")).alias("mask_differs"),
         ((F.col("lon") != F.col("m_lon")) | (F.col("lat") != F.col("m_lat"))).alias("coordinates_differ"),
-        F.when(F.col("n") != F.col("n_master"), moved).otherwise(F.lit(0.0)).alias("metres"),
+        moved.alias("metres"),
     )
+    never = F.lit(False)
+    rest = points.where("n = n_master").select("n", "n_master", "lon", "lat", "water", never.alias("mask_differs"), never.alias("coordinates_differ"), F.lit(0.0).alias("metres"))
+    return rest.unionByName(fixed)
 
 
 CORNERS = ("sw", "se", "ne", "nw")

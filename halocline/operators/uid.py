@@ -38,7 +38,8 @@ def content_uid(points: DataFrame, arrangement: str) -> DataFrame:
                 digest.update(part)
         yield pd.DataFrame({"uid": [digest.hexdigest()]})
 
-    return chunks(points).coalesce(1).sortWithinPartitions("field", "chunk").select("bytes").mapInPandas(run, "uid string")
+    # An exchange in front, so that the packing is spread and only packed bytes reach the one task.
+    return chunks(points).repartition(1).sortWithinPartitions("field", "chunk").select("bytes").mapInPandas(run, "uid string")
 
 
 def chunked_uid(points: DataFrame, arrangement: str) -> DataFrame:
@@ -58,3 +59,14 @@ def uid_matches(points: DataFrame, arrangement: str, uid: str) -> bool:
     return content_uid(points, arrangement).first()["uid"] == uid
 
 
+def checked_uid(points: DataFrame, arrangement: str, uid: str, validate: bool = False, compute: bool = False) -> str:
+    """The hash that a grid goes by: the one given, or, if asked to, checked against the points (an error if they
+    differ) or computed from them in its place. Checking comes before computing."""
+    if not validate and not compute:
+        return uid
+    own = content_uid(points, arrangement).first()["uid"]
+    if validate and own != uid:
+        raise ValueError(f"the points have the hash {own}, not {uid}")
+    return own
+
+

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import catalog
 from ..functions import fold, geometry
 from ..operators import field, local_grid, mesh, partition, points, quality, uid
 from ..operators.header import Header, derive_headers, header_of
@@ -117,6 +118,20 @@ def yaml_spec(spark, sf_dir):
     return registry.spec_yaml(registry.specs(spark).where("not is_uid"))
 
 
+@query(f"WITH {REG} SELECT * FROM reg")
+def registry_from_text(spark, sf_dir):
+    """The registry's text, as a file would hold it, read back."""
+    entries = registry.spec_yaml(registry.specs(spark).where("not is_uid"), f"{registry.DEFAULT_BASE}/v0")
+    old = "\n".join(f"{key}: *{name}" for name, key in registry.OLD_UIDS.items())
+    return registry.parse_specs(entries.agg(F.concat(F.array_join(F.collect_list("yaml"), "\n\n"), F.lit("\n" + old)).alias("value")))
+
+
+@query(f"""WITH {REG} SELECT key, 'global' AS domain, 0.0::DOUBLE AS west, 360.0::DOUBLE AS east, (-90.0)::DOUBLE AS south, 90.0::DOUBLE AS north, grid_type AS type FROM reg""")
+def grid_domain(spark, sf_dir):
+    d = catalog.DOMAIN
+    return registry.specs(spark).select("key", F.lit(d["type"]).alias("domain"), *[F.lit(d[k]).alias(k) for k in ("west", "east", "south", "north")], F.col("grid_type").alias("type"))
+
+
 def _grids(spark: SparkSession) -> DataFrame:
     return registry.specs(spark).where("not is_uid").select(F.col("key").alias("grid"), "ni", "nj", "arrangement")
 
@@ -329,8 +344,8 @@ def cell_wet_dry(spark, sf_dir):
     return quality.cell_corners(_plain(spark), G2T).select("ih", "jh", (w[0] | w[1] | w[2] | w[3]).alias("wet"), (~(w[0] & w[1] & w[2] & w[3])).alias("has_land"))
 
 
-def _classes(spark) -> DataFrame:
-    return quality.classified(quality.cell_corners(_bent(spark), G2T), G2T, with_3d=False)
+def _classes(spark, with_3d: bool = False) -> DataFrame:
+    return quality.classified(quality.cell_corners(_bent(spark), G2T), G2T, with_3d=with_3d)
 
 
 @query(f"WITH {sql.classes(G2T)} SELECT * FROM elem WHERE element_class <> 'ok'")
@@ -353,8 +368,8 @@ def element_wet_exemption(spark, sf_dir):
     return _classes(spark).groupBy("element_class", "has_water").agg(F.count(F.lit(1)).alias("cells"), F.count_if("flagged").alias("flagged"))
 
 
-def _quad3d_sql() -> str:
-    """Corner normals of every cell on the unit sphere, and whether any pair points apart."""
+def _apart_sql() -> str:
+    """Corner normals of every cell on the unit sphere, and in `apart` the cells of which any pair points apart."""
     c = quality.CORNERS
     xyz = ", ".join(f"cos(radians(lat_{p})) * cos(radians(x_{p})) AS a{k}, cos(radians(lat_{p})) * sin(radians(x_{p})) AS b{k}, sin(radians(lat_{p})) AS c{k}" for k, p in enumerate(c))
     norm = []
@@ -363,10 +378,29 @@ def _quad3d_sql() -> str:
         d = lambda x, q: f"({x}{q} - {x}{k})"  # noqa: E731, B023
         norm.append(f"{d('b', u)} * {d('c', v)} - {d('c', u)} * {d('b', v)} AS p{k}, {d('c', u)} * {d('a', v)} - {d('a', u)} * {d('c', v)} AS q{k}, {d('a', u)} * {d('b', v)} - {d('b', u)} * {d('a', v)} AS r{k}")
     bad = " OR ".join(f"p{a} * p{b} + q{a} * q{b} + r{a} * r{b} < -1e-12" for a in range(4) for b in range(a + 1, 4))
-    return f"WITH {sql.corners(G2T, sql.BENT_LON, sql.BENT_LAT)}, s AS (SELECT ih, jh, {xyz} FROM cell), t AS (SELECT ih, jh, {', '.join(norm)} FROM s) SELECT ih, jh FROM t WHERE {bad}"
+    return f"s AS (SELECT ih, jh, {xyz} FROM cell), t AS (SELECT ih, jh, {', '.join(norm)} FROM s), apart AS (SELECT ih, jh FROM t WHERE {bad})"
+
+
+def _classes_3d_sql() -> str:
+    """All four rules: the third comes before the fourth."""
+    kind = "CASE WHEN element_class IN ('quad2d', 'diagonal') THEN element_class WHEN p.ih IS NOT NULL THEN 'quad3d' ELSE element_class END"
+    flagged = "element_class <> 'ok' AND (NOT has_water OR huge) AS flagged"
+    return f"""{sql.classes(G2T)}, {_apart_sql()}, kind3 AS (SELECT k.ih, k.jh, {kind} AS element_class, has_water, huge FROM kind k LEFT JOIN apart p ON p.ih = k.ih AND p.jh = k.jh),
+elem3 AS (SELECT ih, jh, element_class, has_water, {flagged} FROM kind3)"""
+
 
+@query(f"WITH {_classes_3d_sql()} SELECT * FROM elem3 WHERE element_class <> 'ok'")
+def element_class_all_rules(spark, sf_dir):
+    return _classes(spark, True).where("element_class <> 'ok'")
 
-@query(_quad3d_sql())
+
+@query(f"""WITH {_classes_3d_sql()} SELECT count(*) FILTER (WHERE element_class <> 'ok') AS invalid_elements, count(*) FILTER (WHERE element_class = 'quad2d') AS invalid_quads_2d, count(*) FILTER (WHERE element_class = 'quad3d') AS invalid_quads_3d,
+count(*) FILTER (WHERE element_class = 'diagonal') AS diagonal_too_large, count(*) FILTER (WHERE flagged) AS flagged, count(*) FILTER (WHERE NOT has_water) AS dry FROM elem3""")
+def element_statistics_all_rules(spark, sf_dir):
+    return quality.statistics(_classes(spark, True))
+
+
+@query(f"WITH {sql.corners(G2T, sql.BENT_LON, sql.BENT_LAT)}, {_apart_sql()} SELECT ih, jh FROM apart")
 def element_quad3d(spark, sf_dir):
     west = F.col("lon_sw") - 180.0
     p = [(F.col("lon_sw") if c == "sw" else geometry.normalised(F.col(f"lon_{c}"), west), F.col(f"lat_{c}")) for c in quality.CORNERS]
@@ -391,6 +425,20 @@ for _parts, _bands in ((2, 1), (4, 2), (6, 2), (7, 1)):
     query(f"WITH {sql.owner(G2T, _parts, _bands)} SELECT * FROM owner", f"checkerboard_partition_{_parts}")(_owner_query(_parts, _bands))
 
 
+for _parts, _bands in ((4, 2), (15, 3)):
+    query(
+        f"""WITH core AS (SELECT r AS n, (r % {G2T.nx})::INTEGER AS ix, (r // {G2T.nx})::INTEGER AS iy FROM range({G2T.nx * G2T.ny}) t(r)),
+rows AS (SELECT iy, ntile({_bands}) OVER (ORDER BY iy) - 1 AS band FROM (SELECT DISTINCT iy FROM core)), cols AS (SELECT ix, ntile({_parts // _bands}) OVER (ORDER BY ix) - 1 AS place FROM (SELECT DISTINCT ix FROM core))
+SELECT n, ix, iy, (band * {_parts // _bands} + place)::INTEGER AS part FROM core JOIN rows USING (iy) JOIN cols USING (ix)""",
+        f"regular_partition_{_parts}",
+    )(lambda spark, sf_dir, p=_parts, b=_bands: partition.owners(spark, G2T, p, b, "regular_checkerboard"))
+
+
+@query(f"""SELECT r AS n, (r % {G2T.nx})::INTEGER AS ix, (r // {G2T.nx})::INTEGER AS iy, round(r % {G2T.nx} * 360.0::DOUBLE / {G2T.nx}, 9) AS lon, round(-80 + (r // {G2T.nx}) * 170.0::DOUBLE / {G2T.ny - 1}, 9) AS lat FROM range({G2T.nx * G2T.ny}) t(r)""")
+def regular_grid(spark, sf_dir):
+    return partition.regular_grid(spark, G2T).select("n", "ix", "iy", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
+
+
 class Decomposition:
     """The relations from owners to mesh of one grid, number of parts and halo, each derived from the one before."""
 
@@ -411,8 +459,11 @@ _LOCAL = "mypart, ix, iy, gi, gj, hi, hj, n_haloed, n_master, part, halo, is_gho
 _NODE = "mypart, inode, gi, gj, glb_idx, master_glb_idx, remote_idx, part, ghost, halo"
 
 
+QUARTER = (G025, 6, 2, 1)
+
+
 def _decomposed(name: str, oracle: str, pick: Callable[[Decomposition], DataFrame], case: str) -> None:
-    query(oracle, name + case)(lambda spark, sf_dir: pick(Decomposition(spark, *CASES[case])))
+    query(oracle, name + case)(lambda spark, sf_dir: pick(Decomposition(spark, *(QUARTER if case == "_quarter_degree" else CASES[case]))))
 
 
 for _case, _c in CASES.items():
@@ -425,6 +476,7 @@ for _case, _c in CASES.items():
     if _c[1] > 1:
         _decomposed("remote_index", f"WITH {sql.links(*_c)} SELECT * FROM link", lambda d: mesh.linked(d.nodes), _case)
 
+_decomposed("mesh_numbers", f"WITH {sql.nodes(G025, 6, 2, 1)} SELECT mypart, is_ghost, min(inode) AS first_node, max(inode) AS last_node, count(*) AS nodes, sum(inode * ((gi + 7) * 31 + gj + 11) % 1000003)::BIGINT AS digest FROM node GROUP BY ALL", lambda d: d.nodes.groupBy("mypart", "is_ghost").agg(F.min("inode").alias("first_node"), F.max("inode").alias("last_node"), F.count(F.lit(1)).alias("nodes"), F.sum(F.col("inode") * ((F.col("gi") + 7) * 31 + F.col("gj") + 11) % 1000003).alias("digest")), "_quarter_degree")
 _C4 = CASES["_wide"]
 _decomposed("rect_halo_distance", f"WITH {sql.rectangle_points(*_C4)} SELECT mypart, halo, count(*) AS points FROM rect_point GROUP BY ALL", lambda d: d.rect_points.groupBy("mypart", "halo").agg(F.count(F.lit(1)).alias("points")), "_wide")
 _decomposed("local_ghosts", f"WITH {sql.local_points(*_C4)} SELECT mypart, gi, gj, is_ghost FROM loc WHERE is_ghost_own_halo", lambda d: d.local.where("is_ghost_own_halo").select("mypart", "gi", "gj", "is_ghost"), "_wide")
@@ -433,6 +485,13 @@ _COUNTS = """SELECT mypart, count(*) AS nodes, count(*) FILTER (WHERE NOT is_gho
 count(*) FILTER (WHERE is_cell AND NOT is_ghost) AS real_cells, count(*) FILTER (WHERE is_cell AND is_ghost) AS ghost_cells FROM loc GROUP BY mypart"""
 for _case in ("", "_wide"):
     _decomposed("local_counts", f"WITH {sql.local_points(*CASES[_case])} {_COUNTS}", lambda d: local_grid.counters(d.local), _case)
+_decomposed(
+    "mesh_nodes_linked",
+    f"""WITH {sql.links(*_C4)} SELECT n.mypart, n.inode, coalesce(l.remote_idx, n.remote_idx) AS remote_idx, coalesce(l.remote_part, n.part) AS part, coalesce(l.remote_glb_idx, n.glb_idx) AS glb_idx, n.ghost
+FROM node n LEFT JOIN link l ON l.mypart = n.mypart AND l.inode = n.inode AND l.remote_idx IS NOT NULL""",
+    lambda d: mesh.with_links(d.nodes).select("mypart", "inode", "remote_idx", "part", "glb_idx", "ghost"),
+    "_wide",
+)
 _decomposed("remote_index_unresolved", f"WITH {sql.links(*_C4)} SELECT count(*) FILTER (WHERE remote_idx IS NULL) AS unresolved, count(*) AS ghosts FROM link", lambda d: mesh.linked(d.nodes).agg(F.count_if(F.col("remote_idx").isNull()).alias("unresolved"), F.count(F.lit(1)).alias("ghosts")), "_wide")
 _decomposed("owner_uniqueness", f"WITH {sql.nodes(*_C4)} SELECT count(*) AS owners, count(DISTINCT (mypart, master_glb_idx)) AS distinct_owners FROM node WHERE NOT ghost", lambda d: d.nodes.where("not ghost").agg(F.count(F.lit(1)).alias("owners"), F.countDistinct("mypart", "master_glb_idx").alias("distinct_owners")), "_wide")
 _decomposed("node_numbering", f"WITH {sql.nodes(*CASES[''])} SELECT mypart, is_ghost, min(inode) AS first_node, max(inode) AS last_node, count(*) AS nodes FROM node GROUP BY ALL", lambda d: d.nodes.groupBy("mypart", "is_ghost").agg(F.min("inode").alias("first_node"), F.max("inode").alias("last_node"), F.count(F.lit(1)).alias("nodes")), "")
@@ -523,17 +582,21 @@ def _points_sql(version: int, lines: list[str]) -> str:
     return f"{_lines_sql(lines)}, words AS (SELECT line_no, regexp_split_to_array(trim(value), '\\s+') AS w FROM raw), pt AS (SELECT line_no - 1 AS n, {cols} FROM words WHERE line_no > 0)"
 
 
-_FIXED = f"""{_points_sql(2, V2)}, fx AS (SELECT * REPLACE (CASE WHEN core = 0 AND I = I_master AND J = J_master THEN 1 WHEN core <> 0 AND (I <> I_master OR J <> J_master) THEN 0 ELSE core END AS core,
+def _fixed_sql(lines: list[str]) -> str:
+    return f"""{_points_sql(2, lines)}, fx AS (SELECT * REPLACE (CASE WHEN core = 0 AND I = I_master AND J = J_master THEN 1 WHEN core <> 0 AND (I <> I_master OR J <> J_master) THEN 0 ELSE core END AS core,
  CASE WHEN lat <> lat_master AND J_master <> 0 THEN lat_master ELSE lat END AS lat, CASE WHEN lon <> lon_master AND J_master <> 0 THEN lon_master ELSE lon END AS lon) FROM pt),
 fm AS (SELECT *, CASE WHEN core <> 0 THEN n WHEN (I_master - 1) + (J_master - 1)::BIGINT * {TINY.ni} < 0 THEN -1 ELSE (I_master - 1) + (J_master - 1)::BIGINT * {TINY.ni} END AS n_file FROM fx)"""
 
 
+_FIXED = _fixed_sql(V2)
+
+
 def _text(spark, lines: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(lines)), "line_no bigint, value string")
 
 
-def _fixed(spark) -> DataFrame:
-    return text_grid.file_master(text_grid.repaired(text_grid.parse_points(_text(spark, V2), 2)), TINY.ni)
+def _fixed(spark, lines: list[str] = V2) -> DataFrame:
+    return text_grid.file_master(text_grid.repaired(text_grid.parse_points(_text(spark, lines), 2)), TINY.ni)
 
 
 @query(f"WITH {_points_sql(1, V1)} SELECT * FROM pt", "text_v1_parse")
@@ -567,14 +630,38 @@ def text_pivot(spark, sf_dir):
     return text_grid.pivot(_fixed(spark), TINY.ni, TINY.nj)
 
 
-@query(f"""WITH {_FIXED}, p AS (SELECT n, n_file, core, (n % {TINY.ni})::INTEGER AS ih, (n // {TINY.ni})::INTEGER AS jh FROM fm WHERE n // {TINY.ni} > {TINY.halo_s}), {sql.fold("p", "pf", TINY)},
+def _wrong_lines() -> list[str]:
+    """The same grid with masters that don't fit: none, one beyond the pivot, one at the end of the pivot's row, another
+    core point; and a point that is taken for core as its master is itself."""
+    t, lines = TINY, list(V2)
+    for (i, j), (mi, mj) in {(3, 3): (-1, -1), (4, 3): (2, 7), (5, 3): (t.ni - 1, int(t.pivot_j)), (6, 3): (2, 2), (2, 7): (2, 7)}.items():
+        w = lines[1 + j * t.ni + i].split()
+        w[3] = str(int((i, j) == (mi, mj)))
+        w[6:8] = str(mi + 1), str(mj + 1)
+        lines[1 + j * t.ni + i] = " ".join(w)
+    return lines
+
+
+WRONG = _wrong_lines()
+
+
+def _validate_sql(lines: list[str]) -> str:
+    return f"""WITH {_fixed_sql(lines)}, p AS (SELECT n, n_file, core, (n % {TINY.ni})::INTEGER AS ih, (n // {TINY.ni})::INTEGER AS jh FROM fm WHERE n // {TINY.ni} > {TINY.halo_s}), {sql.fold("p", "pf", TINY)},
 q AS (SELECT *, mj::BIGINT * {TINY.ni} + mi AS n_master, n_file % {TINY.ni} AS fi, n_file // {TINY.ni} AS fj FROM pf)
 SELECT n, n_master, n_file, CASE WHEN n_master <> n_file THEN CASE WHEN n_file < 0 THEN 'no_master' WHEN fj > {TINY.pivot_j} THEN 'beyond_pivot' WHEN fj = {TINY.pivot_j} AND fi >= {TINY.ni - 2} THEN 'on_pivot_row' ELSE 'other' END END AS kind,
-(core = 0) <> (n_master <> n) AS wrong_ghost FROM q WHERE n_master <> n_file OR (core = 0) <> (n_master <> n)""")
+(core = 0) <> (n_master <> n) AS wrong_ghost FROM q WHERE n_master <> n_file OR (core = 0) <> (n_master <> n)"""
+
+
+@query(_validate_sql(V2))
 def text_validate(spark, sf_dir):
     return text_grid.mismatches(_fixed(spark), TINY)
 
 
+@query(_validate_sql(WRONG))
+def text_validate_mismatches(spark, sf_dir):
+    return text_grid.mismatches(_fixed(spark, WRONG), TINY)
+
+
 @query(f"WITH {sql.masters(G2T)}, g AS (SELECT n, {sql.LON} AS lon, {sql.LAT} AS lat FROM grid) SELECT count(*) AS points, count(*) = {G2T.size} AND min(n) = 0 AND max(n) = {G2T.size - 1} AND count(DISTINCT n) = {G2T.size} AS complete, count(*) FILTER (WHERE lon IS NULL OR lat IS NULL) AS missing FROM g")
 def check_setup(spark, sf_dir):
     return record.check_points(_plain(spark), G2T)

@@ -81,7 +81,40 @@ def specs(spark: SparkSession, base: str = DEFAULT_BASE) -> DataFrame:
         for key in (name, uid, OLD_UIDS.get(name)):
             if key:
                 rows.append((key, key != name, GRID_TYPE, grid, arrangement, ni, nj, uid, url))
-    return spark.createDataFrame(rows, "key string, is_uid boolean, grid_type string, grid_name string, arrangement string, ni int, nj int, uid string, data_url string")
+    return spark.createDataFrame(rows, SPEC)
+
+
+SPEC = "key string, is_uid boolean, grid_type string, grid_name string, arrangement string, ni int, nj int, uid string, data_url string"
+
+
+def parse_specs(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Specs in the text of registry files, a file a row: anchored entries as spec_yaml writes them, and aliases of them.
+
+    An alias that names no entry has no row.
+    """
+    text = F.regexp_replace(column, r"\r", "")
+    block = F.explode(F.regexp_extract_all(text, F.lit(r"(?m)^(\S+: *&\S+ *(?:\n[ \t]+\S.*)*)"), 1)).alias("block")
+    field = lambda name: F.trim(F.regexp_extract("block", rf"(?m)^[ \t]+{name}: *(.*?) *$", 1))
+    size = lambda k: F.regexp_extract("block", r"(?m)^[ \t]+dimensions: *\[ *([0-9]+) *, *([0-9]+) *\]", k).cast("int")
+    own = texts.select(block).select(
+        F.regexp_extract("block", r"^(\S+): *&", 1).alias("key"),
+        F.regexp_extract("block", r"&(\S+)", 1).alias("anchor"),
+        *[field(k).alias(c) for k, c in (("type", "grid_type"), ("orca_name", "grid_name"), ("orca_arrangement", "arrangement"))],
+        size(1).alias("ni"),
+        size(2).alias("nj"),
+        field("uid").alias("uid"),
+        field("data").alias("data_url"),
+    )
+    line = F.explode(F.regexp_extract_all(text, F.lit(r"(?m)^(\S+: *\*\S+)"), 1)).alias("line")
+    other = texts.select(line).select(F.regexp_extract("line", r"^(\S+):", 1).alias("alias"), F.regexp_extract("line", r"\*(\S+)", 1).alias("anchor"))
+    cols = ["grid_type", "grid_name", "arrangement", "ni", "nj", "uid", "data_url"]
+    rows = own.select("key", F.lit(False).alias("is_uid"), *cols)
+    return rows.unionByName(other.join(own.drop("key"), "anchor").select(F.col("alias").alias("key"), F.col("alias").rlike("^[0-9a-f]{32}$").alias("is_uid"), *cols))
+
+
+def read_specs(spark: SparkSession, path: str) -> DataFrame:
+    """The specs of registry files (a file, a folder or a pattern)."""
+    return parse_specs(spark.read.text(path, wholetext=True))
 
 
 def spec_name(grid_name: Column, arrangement: Column, otherwise: Column) -> Column:

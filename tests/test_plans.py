@@ -30,3 +30,18 @@ def test_scans_and_sums(spark, name):
 def test_plans_stay_small(spark, name):
     """Index maps once grew to hundreds of thousands of characters and beyond what can be compiled."""
     assert max(map(len, plan(spark, name).splitlines())) < 12_000
+
+
+@pytest.mark.parametrize("name", ["mesh_nodes_serial", "mesh_cells_serial", "mesh_nodes_wide"])
+def test_numbering_holds_no_part_in_one_window(spark, name):
+    """Points are ranked within a row of the grid; what a window holds of a whole part are counts per row."""
+    windows = [x for x in plan(spark, name).splitlines() if "Window [" in x]
+    assert windows
+    for w in windows:
+        by = w.split("],")[1]
+        assert "iy" in by or "row_number" not in w, w
+
+
+def test_hash_packs_before_its_one_task(spark):
+    p = plan(spark, "content_uid")
+    assert p.index("SinglePartition" if "SinglePartition" in p else "RoundRobinPartitioning(1)") < p.index("FlatMapGroupsInPandas")

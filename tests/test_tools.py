@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from halocline import catalog
-from halocline.operators import locator, quality
+from halocline.operators import locator, mesh, partition, quality, uid
 from halocline.operators.header import Header, header_of
 from halocline.plans import convert, roster
-from halocline.sources import locate, mesh_text, netcdf, record
+from halocline.sources import locate, mesh_text, netcdf, record, registry
 from halocline.streaming import observations
 
 
@@ -29,6 +29,11 @@ def test_convert_text_grid(spark, tmp_path):
     assert (h.ni, h.nj, h.halo_n, h.halo_w, h.halo_s, h.halo_e, h.pivot_j) == (t.ni, t.nj, 1, 1, 1, 1, t.pivot_j)
     assert back.count() == t.size and back.where("invalid").count() == out["statistics"]["flagged"] and len(out["uid"]) == 32
     assert convert.spec_of(spark, out, "tiny", "T", "g").startswith("tiny_T: &tiny_T\n    type: ")
+    assert out["pivot"] == [5.0, 6.0] and convert.format_of("a.NC") == "netcdf" and convert.format_of("folder") == "record"
+    again = convert.convert(spark, str(tmp_path / "g"), "tiny", "T", str(tmp_path / "g2"))
+    assert again == out and record.read_record(spark, str(tmp_path / "g2"))[1].exceptAll(back).isEmpty()
+    with pytest.raises(ValueError):
+        convert.format_of("a.nc", "picture")
     (tmp_path / "v1.txt").write_text("\n".join(roster.V1) + "\n")
     h1, _ = convert.read_text_grid(spark, str(tmp_path / "v1.txt"), "tiny", 1, (5.0, 6.0))
     assert (h1.halo_n, h1.halo_e, h1.pivot_i) == (1, 1, 5.0)
@@ -36,6 +41,52 @@ def test_convert_text_grid(spark, tmp_path):
         convert.read_text_grid(spark, str(tmp_path / "v1.txt"), "tiny", 1)
 
 
+def test_catalog_reads_registry_files_and_options(spark, tmp_path):
+    built_in = registry.specs(spark)
+    text = "### grids\n\n" + "\n\n".join(r.yaml for r in registry.spec_yaml(built_in.where("not is_uid"), f"{registry.DEFAULT_BASE}/v0").orderBy("name").collect())
+    text += "\n\n" + "".join(f"{old}: *{name}\n" for name, old in registry.OLD_UIDS.items()) + "0123456789abcdef0123456789abcdef: *nobody\n"
+    (tmp_path / "grids.yaml").write_text(text)
+    own = f"tiny_T: &tiny_T\n    type: {registry.GRID_TYPE}\n    orca_arrangement: T\n    orca_name: tiny\n    dimensions: [10,8]\n    uid: {'0' * 32}\n    data: tiny.grid\n{'0' * 32}: *tiny_T\n"
+    (tmp_path / "own.yaml").write_text(own + "other: &other\n    type: ELSE\n    orca_arrangement: T\n    orca_name: other\n    dimensions: [4,4]\n    uid: 1\n    data: x\n")
+    assert registry.read_specs(spark, str(tmp_path / "grids.yaml")).exceptAll(built_in).isEmpty() and registry.read_specs(spark, str(tmp_path / "grids.yaml")).count() == 74
+    plain = roster._plain(spark, roster.TINY).withColumn("invalid", F.lit(False))
+    record.write_record(plain, roster.TINY, str(tmp_path / "tiny.grid"))
+    spark.conf.set("halocline.grids.path", str(tmp_path / "*.yaml"))
+    spark.conf.set("halocline.search.path", str(tmp_path))
+    try:
+        assert catalog.install(spark).count() == 77 and catalog.grid(spark, "orca2_t") == header_of("ORCA2_T", 182, 149, "T")
+        with pytest.raises(KeyError):
+            catalog.grid(spark, "other")
+        with pytest.raises(KeyError):
+            catalog.generate_mesh(spark, roster.TINY, generator="other")
+        h, points, digest = catalog.load(spark, "0" * 32)
+        assert (h, points.count(), digest) == (roster.TINY, 80, "0" * 32)
+        real = uid.content_uid(points, "T").first()[0]
+        spark.conf.set("halocline.compute.uid", "true")
+        assert catalog.load(spark, "0" * 32)[2] == real and uid.checked_uid(points, "T", real, validate=True) == real
+        spark.conf.set("halocline.validate.uid", "true")
+        with pytest.raises(ValueError):
+            catalog.load(spark, "0" * 32)
+    finally:
+        for name in ("grids.path", "search.path", "compute.uid", "validate.uid"):
+            spark.conf.unset(f"halocline.{name}")
+
+
+def test_regular_parts_and_links(spark):
+    h = header_of("g", 42, 31, "T")
+    owner = partition.owners(spark, h, 6, partitioner="regular_checkerboard")
+    rects = partition.rectangles(owner, 0).collect()
+    assert len(rects) == 6 and all((r.ix_max - r.ix_min) * (r.iy_max - r.iy_min) == r.n_owned for r in rects)
+    m = catalog.generate_mesh(spark, h, 6, 1)
+    nodes = m["nodes"].cache()
+    owners = nodes.where("not ghost").select(F.col("mypart").alias("part"), F.col("inode").alias("remote_idx"), F.col("glb_idx").alias("own"))
+    met = nodes.where("ghost").join(owners, ["part", "remote_idx"])
+    assert met.count() == nodes.where("ghost").count() > 0 and met.where("glb_idx <> own").count() == 0
+    assert {r.real_points for r in m["real_points"].collect()} and m["metadata"]["halo"] == 1
+    grid = partition.regular_grid(spark, h).agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    assert (grid[0], round(grid[1], 9), grid[2], round(grid[3], 9)) == (-80.0, 90.0, 0.0, 351.0)
+
+
 def test_mesh_text(spark, tmp_path):
     h = header_of("g", 20, 15, "T")
     m = catalog.generate_mesh(spark, h)
