@@ -231,6 +231,13 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, per
     return links
 
 
+def all_stars(edges: DataFrame) -> bool:
+    """Whether every edge (u, v) hangs a node that has no other edge on one that hangs on none."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("hangs")), F.struct(F.col("v").alias("node"), F.lit(0).alias("hangs"))))
+    nodes = edges.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.hangs").alias("hangs"), F.min("e.hangs").alias("least"))
+    return nodes.where("hangs > 1 or hangs = 1 and least = 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(key, component): the smallest key reachable, for every key in an edge (a, b), by alternating large and small stars.
 
@@ -238,8 +245,7 @@ def components(edges: DataFrame) -> DataFrame:
     node with very many neighbours; the small star that follows only sees the few smaller ones of a node.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    told = None
-    while True:
+    while not all_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -248,10 +254,6 @@ def components(edges: DataFrame) -> DataFrame:
         new = written(small, "edges")
         drop_written(edges)
         edges = new
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == told:
-            break
-        told = now
     roots = edges.select(F.col("v").alias("key")).distinct().select("key", F.col("key").alias("component"))
     return edges.select(F.col("u").alias("key"), F.col("v").alias("component")).union(roots)
 
@@ -305,6 +307,8 @@ def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int)
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "further-pairs")
         if last:
             drop_written(found, rows)
+        if pairs.isEmpty():
+            continue
         links = verified(pairs, left, docs, width, percent)
         tried = tried.union(pairs)
         if not links.isEmpty():
