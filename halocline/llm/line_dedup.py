@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_side, written
+from .common import drop_written, fresh, small_side, written
 
 RATIO, LEAST = 0.01, 5  # well below the share of the commonest lines, the same at every size
 
@@ -43,12 +43,14 @@ def boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least: int
     counted = written(rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {least} or length(line) = 0"), "line-counts")
     total = counted.where("length(line) = 0").select(F.col("host").alias("h"), F.col("n").alias("total"))
     over = counted.where("length(line) > 0").join(small_side(total, 120), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > F.lit(ratio) * F.col("total"))
-    return over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    lists = written(over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines")), "boilerplate")
+    drop_written(counted)
+    return lists
 
 
 def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST, clean: str = "clean_text", counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
     """`docs` with the text that is left in column `clean`, and the numbers of lines before and dropped."""
-    lists = written(boilerplate(docs, host, ratio, least), "boilerplate")
+    lists = boilerplate(docs, host, ratio, least)
     rows = lists.agg(F.sum(F.size("lines") * 20 + 100)).first()[0] or 0
     name = {k: fresh(docs.columns, k) for k in ("host", "lines", "kept", clean, *(counts or ()))}
     lists = lists.select(F.col("host").alias(name["host"]), F.col("lines").alias(name["lines"]))

@@ -291,6 +291,7 @@ def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int)
     left = written(live(with_text(docs, reps), reps, width, percent), "live")
     rows = written(rare_prefixes(with_text(docs, left), left, width, percent), "prefixes")
     tried = written(with_leaders(rows, F.col("n") - F.col("shared"), percent), "tried")
+    done = [left, tried]
     of = components(verified(tried, left, docs, width, percent))
     for last in (False, True):
         found = rows.join(of.withColumnRenamed("component", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
@@ -305,6 +306,7 @@ def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int)
         else:
             pairs = with_leaders(found, F.xxhash64("key"), percent)
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "further-pairs")
+        done.append(pairs)
         if last:
             drop_written(found, rows)
         if pairs.isEmpty():
@@ -313,6 +315,8 @@ def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int)
         tried = tried.union(pairs)
         if not links.isEmpty():
             of = components(links.union(of.select("key", "component")))
+        drop_written(links)
+    drop_written(*done)
     return of
 
 
