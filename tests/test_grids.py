@@ -157,3 +157,10 @@ def test_quads(spark):
     folded = (lit(0, 0), lit(1, 0), lit(0, 1), lit(1, 1))
     r = spark.range(1).select(geometry.invalid_quad_2d(*good).alias("a"), geometry.invalid_quad_2d(*folded).alias("b"), geometry.invalid_quad_3d(*good).alias("c"), geometry.invalid_quad_3d(*folded).alias("d"), geometry.diagonal_too_large(*good, 1.0).alias("e"), geometry.diagonal_too_large(*good, 0).alias("f")).first()
     assert tuple(r) == (False, True, False, True, True, False)
+
+
+def test_validation_and_classes_have_every_kind(spark):
+    kinds = {r.kind for r in roster.QUERIES["text_validate_mismatches"](spark, None).collect()}
+    assert kinds == {"no_master", "beyond_pivot", "on_pivot_row", "other"}
+    found = roster.QUERIES["element_statistics_all_rules"](spark, None).first()
+    assert min(found.invalid_quads_2d, found.invalid_quads_3d, found.diagonal_too_large) > 0
