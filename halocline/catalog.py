@@ -19,6 +19,7 @@ from .operators.header import Header, header_of
 from .sources import locate, record, registry
 
 VERSION = "0.1.0"
+REVISION = ""  # a build may put the commit here
 DOMAIN = {"type": "global", "west": 0.0, "east": 360.0, "south": -90.0, "north": 90.0}
 
 #: Builders of headers by grid type, each given a row of the registry; generators of meshes by name.
@@ -47,6 +48,10 @@ def version_number(version: str = VERSION) -> int:
     return 10000 * major + 100 * minor + patch
 
 
+def revision(count: int = 40) -> str:
+    return REVISION[: min(count, 40)] or "not available"
+
+
 def specs(spark: SparkSession, base: str = registry.DEFAULT_BASE) -> DataFrame:
     """The registry: the files of halocline.grids.path, or else the built-in one."""
     path = option(spark, "grids.path")

@@ -76,3 +76,9 @@ def counters(points: DataFrame) -> DataFrame:
     n = lambda c: F.count_if(c)
     g = F.col("is_ghost")
     return points.groupBy("mypart").agg(n(F.col("is_node")).alias("nodes"), n(F.col("is_node") & ~g).alias("real_nodes"), n(F.col("is_node") & g).alias("ghost_nodes"), n("is_ghost_own_halo").alias("ghost_flags"), n(F.col("is_cell") & ~g).alias("real_cells"), n(F.col("is_cell") & g).alias("ghost_cells"))
+
+
+def with_index(local: DataFrame) -> DataFrame:
+    """Local points with n_local, their place in row-major order of the local grid."""
+    widths = local.groupBy("mypart").agg((F.max("ix") + 1).alias("nx_local"))  # a row for each part
+    return local.join(widths, "mypart").withColumn("n_local", F.col("iy").cast("bigint") * F.col("nx_local") + F.col("ix")).drop("nx_local")

@@ -400,6 +400,15 @@ def element_statistics_all_rules(spark, sf_dir):
     return quality.statistics(_classes(spark, True))
 
 
+@query(f"""WITH {_classes_3d_sql()} SELECT '{G2T.grid}' AS grid, '360/{G2T.nx}' AS resolution, '[{G2T.ni},{G2T.nj}]' AS dimensions, '[{G2T.halo_n},{G2T.halo_w},{G2T.halo_s},{G2T.halo_e}]' AS halo, {G2T.pivot_i}::DOUBLE AS pivot_i, {G2T.pivot_j}::DOUBLE AS pivot_j,
+count(*) FILTER (WHERE element_class <> 'ok') AS invalid_elements, count(*) FILTER (WHERE element_class = 'quad2d') AS invalid_quads_2d, count(*) FILTER (WHERE element_class = 'quad3d') AS invalid_quads_3d, count(*) FILTER (WHERE element_class = 'diagonal') AS diagonal_too_large FROM elem3""")
+def conversion_summary(spark, sf_dir):
+    """What the conversion tool reports of a grid, but for its hash."""
+    h = G2T
+    told = {"grid": h.grid, "resolution": f"360/{h.nx}", "dimensions": f"[{h.ni},{h.nj}]", "halo": f"[{h.halo_n},{h.halo_w},{h.halo_s},{h.halo_e}]", "pivot_i": h.pivot_i, "pivot_j": h.pivot_j}
+    return quality.statistics(_classes(spark, True)).select(*[F.lit(v).alias(k) for k, v in told.items()], "invalid_elements", "invalid_quads_2d", "invalid_quads_3d", "diagonal_too_large")
+
+
 @query(f"WITH {sql.corners(G2T, sql.BENT_LON, sql.BENT_LAT)}, {_apart_sql()} SELECT ih, jh FROM apart")
 def element_quad3d(spark, sf_dir):
     west = F.col("lon_sw") - 180.0
@@ -477,6 +486,7 @@ for _case, _c in CASES.items():
         _decomposed("remote_index", f"WITH {sql.links(*_c)} SELECT * FROM link", lambda d: mesh.linked(d.nodes), _case)
 
 _decomposed("mesh_numbers", f"WITH {sql.nodes(G025, 6, 2, 1)} SELECT mypart, is_ghost, min(inode) AS first_node, max(inode) AS last_node, count(*) AS nodes, sum(inode * ((gi + 7) * 31 + gj + 11) % 1000003)::BIGINT AS digest FROM node GROUP BY ALL", lambda d: d.nodes.groupBy("mypart", "is_ghost").agg(F.min("inode").alias("first_node"), F.max("inode").alias("last_node"), F.count(F.lit(1)).alias("nodes"), F.sum(F.col("inode") * ((F.col("gi") + 7) * 31 + F.col("gj") + 11) % 1000003).alias("digest")), "_quarter_degree")
+_decomposed("local_index", f"WITH {sql.local_points(*CASES['_wide'])} SELECT mypart, gi, gj, iy::BIGINT * (max(ix) OVER (PARTITION BY mypart) + 1) + ix AS n_local FROM loc", lambda d: local_grid.with_index(d.local).select("mypart", "gi", "gj", "n_local"), "_wide")
 _C4 = CASES["_wide"]
 _decomposed("rect_halo_distance", f"WITH {sql.rectangle_points(*_C4)} SELECT mypart, halo, count(*) AS points FROM rect_point GROUP BY ALL", lambda d: d.rect_points.groupBy("mypart", "halo").agg(F.count(F.lit(1)).alias("points")), "_wide")
 _decomposed("local_ghosts", f"WITH {sql.local_points(*_C4)} SELECT mypart, gi, gj, is_ghost FROM loc WHERE is_ghost_own_halo", lambda d: d.local.where("is_ghost_own_halo").select("mypart", "gi", "gj", "is_ghost"), "_wide")

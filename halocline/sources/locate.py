@@ -6,9 +6,10 @@ handful of paths.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .registry import CACHE_FOLDER, DEFAULT_BASE
+from .registry import CACHE_FOLDER, DEFAULT_BASE, cached_path
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -16,6 +17,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def report(spark: SparkSession, urls: DataFrame, folder: str, known: tuple[str, ...] = (DEFAULT_BASE,)) -> DataFrame:
+    """(data_url, path, found, bytes) of urls (data_url): what of them lies below a folder, listed by Spark."""
+    wanted = urls.select("data_url", cached_path(F.col("data_url"), list(known)).alias("path")).distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    there = files.select(F.regexp_extract("path", f"({CACHE_FOLDER}/.*)$", 1).alias("path"), F.col("length").alias("bytes"))
+    return wanted.join(there, "path", "left").select("data_url", "path", F.col("bytes").isNotNull().alias("found"), "bytes")
+
+
 class GridStore:
     """Known URL prefixes, and the folders in which their files may be found."""
 

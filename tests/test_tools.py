@@ -18,7 +18,7 @@ def test_catalog(spark):
         catalog.grid(spark, "nothing")
     m = catalog.generate_mesh(spark, header_of("g", 20, 15, "T"))
     assert m["nodes"].count() == 300 and m["cells"].count() == 19 * 14
-    assert catalog.version_number("1.2.3") == 10203
+    assert catalog.version_number("1.2.3") == 10203 and catalog.revision() == "not available"
 
 
 def test_convert_text_grid(spark, tmp_path):
@@ -112,6 +112,9 @@ def test_store(spark, tmp_path):
     (tmp_path / "grids/tripolar/v0/a.grid").write_text("x")
     store = locate.GridStore([str(tmp_path / "other"), str(tmp_path)])
     assert store.locate(spark, f"{locate.DEFAULT_BASE}/v0/a.grid").endswith("/grids/tripolar/v0/a.grid")
+    urls = spark.createDataFrame([(f"{locate.DEFAULT_BASE}/v0/a.grid",), (f"{locate.DEFAULT_BASE}/v0/b.grid",)], "data_url string")
+    seen = {r.data_url[-6:]: (r.found, r.bytes) for r in locate.report(spark, urls, str(tmp_path)).collect()}
+    assert seen == {"a.grid": (True, 1), "b.grid": (False, None)}
     with pytest.raises(FileNotFoundError):
         store.locate(spark, "https://elsewhere.example.net/b.grid")
     with pytest.raises(NotImplementedError):
