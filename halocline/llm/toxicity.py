@@ -14,7 +14,7 @@ and encoded by Spark jobs, and all that are commoner in toxic documents reach th
 Defined results: null or empty text has no sentence and scores 0; sentences of any
 number are scored one by one, those without a telling word add nothing; without labels every text scores 0; repeated
 labels of one document count as toxic if any is; null labels are left out; repeated rows are scored each; columns of
-`docs` other than text pass through untouched.
+`docs` other than text pass through untouched, and a result column whose name is taken gets underscores before it.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, small_batches, written
+from .common import drop_written, fresh, small_batches, written
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W\d_]+")
@@ -148,7 +148,7 @@ def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
         return pd.DataFrame([score_text(t or "", model) for t in texts], columns=[x.split()[0] for x in SCORED.split(", ")])
 
     small_batches(docs.sparkSession)
-    return docs.withColumn(name, run(F.col("text").cast("string")))
+    return docs.withColumn(fresh(docs.columns, name), run(F.col("text").cast("string")))
 
 
 def held_out():

@@ -42,7 +42,7 @@ def test_toxicity_locates_the_sentence(spark, documents, no_documents):
             assert r.text[r.t.worst_start : r.t.worst_end].strip() == "You utter scoundrel."
     out = toxicity.scored(documents, model, "t")
     assert out.count() == documents.count() and set(documents.columns) < set(out.columns)
-    assert {r.t.score for r in out.where("text is null or text = ''").collect()} == {0.0}
+    assert {(r["t"], r["_t"].score) for r in out.where("text is null or text = ''").collect()} == {("own t", 0.0)}
     assert toxicity.scored(no_documents, model).count() == 0
     assert toxicity.fit(no_documents, labels).weights == {}
     assert toxicity.fit(documents, labels.limit(0)).weights == {}
@@ -555,6 +555,6 @@ def test_mixing_takes_prefixes_of_epochs(spark, documents, no_documents):
     assert sorted((r.doc_id, r.mix_epoch) for r in again) == sorted((r.doc_id, r.mix_epoch) for r in out)
     awkward = queries.with_domain(documents)
     everything = mixing.mixed(awkward, share=1.0, max_epochs=1)
-    assert everything.where("mix_tokens > 0").count() == awkward.where(mixing.words(F.col("text")) > 0).count()
+    assert everything.where("_mix_tokens > 0 and mix_tokens = 'own mix_tokens'").count() == awkward.where(mixing.words(F.col("text")) > 0).count()
     assert set(awkward.columns) < set(everything.columns)
     assert mixing.mixed(queries.with_domain(no_documents)).count() == 0
