@@ -11,10 +11,10 @@ s - ceil(0.8 s) + l. Filters under three orders are intersected before any two t
 * Second and third order (another hash), for pairs: of those that met under the first, only pairs whose prefixes under
   the second and under the third order meet as well are kept (`sharing`). Only then are their sets intersected.
 
-Groups of many similar sets aren't compared pair by pair: per token, each set is first compared with the one that has
-fewest tokens of its own, and components are found; then with another; last, only pairs of different components that
-still share a prefix token are compared, which makes the result exact. The work is linear in the tokens but for that
-last step; nothing is capped. Links are joined to components by alternating stars over written tables.
+Groups of many similar sets aren't compared pair by pair: each set is first compared with one other of its most
+widespread prefix token; then per token with the set that has fewest tokens of its own, then with another, always across
+the components found so far; last, all pairs of different components that still share a prefix token are compared,
+which makes the result exact. The work is linear in the tokens but for that last step; nothing is capped. Links are joined to components by alternating stars over written tables.
 
 Tokens found in many sets of a sample (`frequent`) are known to be shared and last in the first order, so their rows
 are dealt by set instead of meeting in one task; what later steps need of a token's rows is aggregated and joined back.
@@ -268,56 +268,71 @@ def rare_prefixes(texts: DataFrame, reps: DataFrame, width: int, percent: int) -
     return rows.withColumn("place", place).where(F.col("place") <= length).select("token", "key", "n", "shared", "place")
 
 
-def within_bound(a: str, b: str, percent: int):
+def within_bound(a: str, b: str, percent: int, first: bool = True):
     """Whether two sets (structs with n, shared and place) that meet in a token could be similar.
 
     They can't share more than either shares with others; and their first common token can't stand so late in either
-    that too few tokens follow. A similar pair passes at its first common token.
+    that too few tokens follow. A similar pair passes at its first common token, and with `first` unset at any.
     """
-    left = lambda x: F.least(F.col(f"{x}.shared"), F.col(f"{x}.n") - F.col(f"{x}.place") + 1)
+    left = lambda x: F.least(F.col(f"{x}.shared"), F.col(f"{x}.n") - F.col(f"{x}.place") + 1) if first else F.col(f"{x}.shared")
     return F.least(left(a), left(b)) * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent
 
 
-def with_leaders(rows: DataFrame, order, percent: int) -> DataFrame:
-    """Pairs (a, b) of each set and the first by `order` among the sets of a token."""
-    one = F.struct("key", "n", "shared", "place")
-    leaders = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), "key", "n", "shared", "place")).alias("y"))
-    pairs = rows.select("token", one.alias("x")).join(leaders, "token").where((F.col("x.key") != F.col("y.key")) & within_bound("x", "y", percent))
+ONE = ("key", "n", "shared", "place", "c")  # what pairs need to know of a set at a token; c is its component so far
+
+
+def with_leaders(members: DataFrame, rows: DataFrame, order, percent: int, first: bool = True) -> DataFrame:
+    """Pairs (a, b) of each member and the first by `order` among the sets of its token, if they aren't in one component."""
+    leaders = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), *ONE)).alias("y"))
+    pairs = members.select("token", F.struct(*ONE).alias("x")).join(leaders, "token").where((F.col("x.c") != F.col("y.c")) & within_bound("x", "y", percent, first))
     return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
+def widest(rows: DataFrame) -> DataFrame:
+    """The row of each set whose token is in the prefixes of the most sets."""
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
+    best = F.max(F.struct("sets", "token", *ONE[1:])).alias("b")
+    return rows.join(counts, "token").groupBy("key").agg(best).select("b.token", "key", *[f"b.{c}" for c in ONE[1:]])
+
+
 def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, component) of the classes that have links."""
+    """(key, component) of the classes that have links.
+
+    In four steps, each for pairs across the components that those before have found: every set with the leader of its
+    most widespread token, which joins large groups with one pair a set; with the leaders of all its tokens, twice; last
+    with all other sets of its tokens.
+    """
     left = written(live(with_text(docs, reps), reps, width, percent), "live")
     rows = written(rare_prefixes(with_text(docs, left), left, width, percent), "prefixes")
-    tried = written(with_leaders(rows, F.col("n") - F.col("shared"), percent), "tried")
-    done = [left, tried]
-    of = components(verified(tried, left, docs, width, percent))
-    for last in (False, True):
-        found = rows.join(of.withColumnRenamed("component", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
-        mixed = found.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("token")
-        found = found.join(mixed, "token", "left_semi")
-        if last:
-            found = written(found, "mixed-prefixes")
-            x = found.select("token", "c", F.struct("key", "n", "shared", "place").alias("x"))
-            y = found.select("token", F.col("c").alias("d"), F.struct("key", "n", "shared", "place").alias("y"))
-            apart = (F.col("x.key") < F.col("y.key")) & (F.col("c") != F.col("d")) & within_bound("x", "y", percent)
-            pairs = x.join(y, "token").where(apart).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    done, of, tried = [left, rows], None, None
+    for step in ("widest", "fewest", "hashed", "all"):
+        if of is None:
+            found = rows.withColumn("c", F.col("key"))
+        else:
+            found = rows.join(of.withColumnRenamed("component", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
+            mixed = found.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("token")
+            found = written(found.join(mixed, "token", "left_semi"), "mixed-prefixes")
+            done.append(found)
+        if step == "widest":
+            pairs = with_leaders(widest(found), found, F.col("n") - F.col("shared"), percent, first=False)
+        elif step == "fewest":
+            pairs = with_leaders(found, found, F.col("n") - F.col("shared"), percent)
+        elif step == "hashed":
+            pairs = with_leaders(found, found, F.xxhash64("key"), percent)
         else:
-            pairs = with_leaders(found, F.xxhash64("key"), percent)
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "further-pairs")
+            one = F.struct(*ONE)
+            apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & within_bound("x", "y", percent)
+            pairs = found.select("token", one.alias("x")).join(found.select("token", one.alias("y")), "token").where(apart).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         done.append(pairs)
-        if last:
-            drop_written(found, rows)
-        if pairs.isEmpty():
-            continue
-        links = verified(pairs, left, docs, width, percent)
-        tried = tried.union(pairs)
-        if not links.isEmpty():
-            of = components(links.union(of.select("key", "component")))
-        drop_written(links)
+        tried = pairs if tried is None else tried.union(pairs)
+        if not pairs.isEmpty():
+            links = verified(pairs, left, docs, width, percent)
+            if not links.isEmpty():
+                of = components(links if of is None else links.union(of.select("key", "component")))
+            drop_written(links)
     drop_written(*done)
-    return of
+    return of if of is not None else reps.select("key", F.col("key").alias("component")).limit(0)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
