@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import rows_of, small_batches
 
 MAX_LENGTH, END_ID = 4096, 2
-REMEMBERED = 100_000  # words that a worker gathers before it forgets those not seen for as long
+REMEMBERED = 200_000  # words that a worker gathers before it forgets those not seen for as long
 ROWS, HELD = 32, 20_000  # texts taken from a batch at once; pieces (or ids, if they are returned) gathered before they are handed on
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^`{}~"  # ASCII signs that start no special token or contraction
