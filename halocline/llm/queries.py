@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, pii, token_counts, toxicity
+from . import chat_format, divergence, exact_dedup, filter_audit, fingerprints, line_dedup, mixing, ngram_join, packing, pii, simhash, token_counts, toxicity
 from .common import read_table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -74,8 +74,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "lang", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("tokens"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_chat_format, op3_line_dedup, op4_exact_dedup, op5_ngram_join, op6_token_counts, op7_fingerprints, op8_packing, op9_pii, op10_mixing]
+    own = [op1_toxicity, op2_chat_format, op3_line_dedup, op4_exact_dedup, op5_ngram_join, op6_token_counts, op7_fingerprints, op8_packing, op9_pii, op10_mixing, op11_simhash, op12_source_divergence, op13_filter_audit]
     return {f.__name__: f for f in own}
 
 
@@ -139,5 +151,50 @@ SELECT doc_id, domain, lang, source, unnest(range(whole + CASE WHEN part > 0 AND
 """
 
 
+DIVERGENCE_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+              regexp_extract_all({_NORM}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+found AS (SELECT id, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM found GROUP BY ALL HAVING count(DISTINCT id) >= {divergence.LEAST}),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN counted USING (lang, source) GROUP BY ALL),
+shares AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + ((coalesce(n, 0) + 1)::HUGEINT * {divergence.SCALE}) // (total + v) AS p,
+           1 + ((lang_n + 1)::HUGEINT * {divergence.SCALE}) // (lang_total + v) AS q
+           FROM groups JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+         FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM shares WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+FILTERS_SQL = rf"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+failed AS (SELECT doc_id, part, CASE WHEN len(words) < {filter_audit.MIN_WORDS} THEN 'A' ELSE '' END
+           || CASE WHEN 100 * len(list_distinct(words)) < {filter_audit.PERCENT_DISTINCT} * len(words) THEN 'B' ELSE '' END
+           || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > {filter_audit.PERCENT_CAPITALS} * length(text) THEN 'C' ELSE '' END
+           || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+           || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails FROM texts),
+known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS toxic FROM failed LEFT JOIN known USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+           WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS filter, substr(filter_order, 1, step - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+counted AS (SELECT part, filter_order, step::INTEGER AS step, filter,
+       coalesce(sum(n) FILTER (WHERE translate(fails, before || filter, '') = fails), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (WHERE contains(fails, filter) AND translate(fails, before, '') = fails), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (WHERE contains(fails, filter) AND translate(fails, before, '') <> fails), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (WHERE fails = filter), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (WHERE contains(fails, filter) AND translate(fails, before, '') = fails), 0)::BIGINT AS good_lost,
+       coalesce(sum(toxic) FILTER (WHERE contains(fails, filter) AND translate(fails, before, '') = fails), 0)::BIGINT AS toxic_lost
+       FROM cells, steps GROUP BY ALL)
+SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINES_SQL, "op4_exact_dedup": EXACT_SQL, "op10_mixing": MIXING_SQL}
+    return {"op3_line_dedup": LINES_SQL, "op4_exact_dedup": EXACT_SQL, "op10_mixing": MIXING_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_filter_audit": FILTERS_SQL}
