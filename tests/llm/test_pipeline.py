@@ -91,7 +91,8 @@ def test_stages_on_awkward_rows(spark, documents, no_documents, sf):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     df = queries.queries()[name](spark, sf)
     got = con.execute(queries.oracle_sql()[name])
     cols = [c[0] for c in got.description]
