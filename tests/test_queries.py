@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from halocline.plans import roster
+from halocline.plans import observed, roster  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def rows_of(cols, rows):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("lineitem", "events", "documents"):
+    for t in ("lineitem", "events", "documents", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
