@@ -30,8 +30,9 @@ def along_rows(points: DataFrame, nx: int) -> DataFrame:
     """Points (i, j, marked) with `r`, columns away from the nearest marked point of the row, whose ends meet."""
     row = Window.partitionBy("j")
     at = F.when(F.col("marked"), F.col("i"))
-    before = F.last(at, ignorenulls=True).over(row.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    behind = F.first(at, ignorenulls=True).over(row.orderBy("i").rowsBetween(0, Window.unboundedFollowing))
+    # Both windows grow from their start: one that shrinks towards its end would be gone through again for every row.
+    last = lambda order: F.last(at, ignorenulls=True).over(row.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    before, behind = last(F.asc("i")), last(F.desc("i"))
     ends = F.max(at).over(row) - nx, F.min(at).over(row) + nx
     r = F.least(F.col("i") - F.coalesce(before, ends[0]), F.coalesce(behind, ends[1]) - F.col("i"))
     return points.withColumn("r", F.coalesce(r, F.lit(FAR)).cast("int"))

@@ -30,7 +30,7 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _located_sql(h: Header) -> str:
-    """CTE `found`: events with ih and jh, each tried against every cell whose box holds it."""
+    """CTE `found`: events with ih and jh, each tried against every cell of the rows that hold its latitude."""
     lon = lambda di, dj: f"73.0::DOUBLE + (ih + {di} - 1) * {360.0 / h.nx}::DOUBLE + 3.0::DOUBLE * ((jh + {dj}) / {float(h.nj)}::DOUBLE)"
     lat = lambda dj: f"-78.0::DOUBLE + 166.0::DOUBLE * ((jh + {dj}) / {float(h.nj)}::DOUBLE) * (2.0::DOUBLE - ((jh + {dj}) / {float(h.nj)}::DOUBLE))"
     corner = {"sw": (0, 0), "se": (1, 0), "ne": (1, 1), "nw": (0, 1)}
@@ -41,7 +41,8 @@ def _located_sql(h: Header) -> str:
   (SELECT ih, jh, {xy} FROM pts WHERE ih BETWEEN {h.halo_w} AND {h.halo_w + h.nx - 1} AND jh BETWEEN {h.halo_s} AND {int(h.pivot_j) - 1})),
 e AS (SELECT event_id, (event_id * 7919 % 3600000) / 10000.0::DOUBLE AS lon, (event_id * 104729 % 1700000) / 10000.0::DOUBLE - 80.0::DOUBLE AS lat, round(value * 100)::BIGINT AS cents FROM events),
 turns AS (SELECT event_id, lat, lon + 360.0::DOUBLE * k AS px FROM e, range(2) t(k)),
-hits AS (SELECT event_id, min(jh * 100000 + ih) AS place FROM turns JOIN cells ON px >= x0 - 1e-9 AND px <= x1 AND lat >= y0 AND lat <= y1 WHERE {inside} GROUP BY event_id),
+rows AS (SELECT DISTINCT jh, y0, y1 FROM cells), met AS (SELECT event_id, lat, px, jh FROM turns JOIN rows ON lat >= y0 AND lat <= y1),
+hits AS (SELECT event_id, min(jh * 100000 + ih) AS place FROM met JOIN cells USING (jh) WHERE px >= x0 - 1e-9 AND px <= x1 AND {inside} GROUP BY event_id),
 found AS (SELECT e.*, (place % 100000)::INTEGER AS ih, (place // 100000)::INTEGER AS jh FROM e LEFT JOIN hits USING (event_id))"""
 
 
