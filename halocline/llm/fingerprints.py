@@ -2,8 +2,9 @@
 
 A k-mer of code points is a closed syncmer if the smallest hash among its inner s-mers lies at its first or last place
 (the leftmost smallest counts). Whether a k-mer is chosen depends on its own characters alone, so an edit disturbs only
-the anchors that overlap it. A fingerprint holds the anchors with the smallest hashes as text, `hash@position` joined
-by commas in order of hash, each hash once at its first position. Texts without any anchor get one for the whole text.
+the anchors that overlap it. A fingerprint holds the anchors whose hashes lie below a fixed threshold, a share of all that grows
+with the text, and at least the KEPT smallest, as text: `hash@position` joined by commas in order of hash, each hash once
+at its first position. Texts without any anchor get one for the whole text.
 
 Likeness matches anchors of equal hash, keeps the longest chain of them that rises in position in both texts, so that
 edits may move what follows them, estimates the share of anchors in common among the smallest of both, and turns it into
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import rows_of, small_batches
 
 K, S, KEPT, RANGES_A_TASK = 16, 8, 128, 8
+THRESHOLD = 1 << 28  # of 32-bit hashes: one anchor of 16
 OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
@@ -76,7 +78,13 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
         digest = hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
         return np.frombuffer(digest[:4], "<u4").astype(np.uint32), np.zeros(1, np.int64)
     hashes, index = np.unique(hashes, return_index=True)
-    return hashes[:KEPT], at[index[:KEPT]]
+    size = max(KEPT, int(np.searchsorted(hashes, THRESHOLD)))
+    return hashes[:size], at[index[:size]]
+
+
+def known_below(hashes: np.ndarray) -> int:
+    """Below which hash a fingerprint has all anchors of its text."""
+    return 1 << 32 if len(hashes) < KEPT else max(int(hashes[-1]) + 1, THRESHOLD)
 
 
 def shown(found: tuple[np.ndarray, np.ndarray]) -> str:
@@ -98,10 +106,10 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(i):
         return 0.0
-    # Both sides keep the smallest hashes, so beyond the smaller of the last ones a side may know more than the other.
-    limit = min(x[0][-1] for x in (a, b) if len(x[0]) == KEPT) if KEPT in (len(a[0]), len(b[0])) else max(a[0][-1], b[0][-1])
-    union = len(np.union1d(a[0][a[0] <= limit], b[0][b[0] <= limit]))
-    inside = a[0][i] <= limit
+    # Beyond what both sides know, one may lack anchors that its text has.
+    limit = min(known_below(a[0]), known_below(b[0]))
+    union = len(np.union1d(a[0][a[0] < limit], b[0][b[0] < limit]))
+    inside = a[0][i] < limit
     same = longest_rise(b[1][j][inside][np.argsort(a[1][i][inside], kind="stable")].tolist()) / union
     return 2 * same / (1 + same)
 

@@ -48,8 +48,11 @@ def boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least: int
     return lists
 
 
-def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST, clean: str = "clean_text", counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
-    """`docs` with the text that is left in column `clean`, and the numbers of lines before and dropped."""
+def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST, clean: str = "clean_text", counts: tuple[str, str] | None = ("n_lines", "n_dropped"), most: float = 1.0) -> DataFrame:
+    """`docs` with the text that is left in column `clean`, and the numbers of lines before and dropped.
+
+    A document that would lose more than the share `most` of its characters loses none: where a text is copied to many
+    pages, all its lines are as frequent as boilerplate, yet they are what the pages are about."""
     lists = boilerplate(docs, host, ratio, least)
     rows = lists.agg(F.sum(F.size("lines") * 20 + 100)).first()[0] or 0
     name = {k: fresh(docs.columns, k) for k in ("host", "lines", "kept", clean, *(counts or ()))}
@@ -57,6 +60,9 @@ def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least:
     joined = docs.join(F.broadcast(lists) if rows <= 8 << 20 else lists, host.eqNullSafe(F.col(name["host"])), "left")
     split, bad = F.split(F.col("text"), "\n"), F.col(name["lines"])
     kept = F.when(bad.isNull(), split).otherwise(F.filter(split, lambda x: ~F.coalesce(F.array_contains(bad, line_key(x)), F.lit(False))))
+    if most < 1:
+        left = F.char_length(F.array_join(kept, "\n"))
+        kept = F.when(left < F.char_length("text") * (1 - most), split).otherwise(kept)
     out = joined.withColumn(name["kept"], kept)
     own = F.col(name["kept"])
     made = [F.array_join(own, "\n").alias(name[clean])]

@@ -6,14 +6,15 @@ take is shared among its siblings by weight first; only what a whole subtree can
 since the subtree's supply was the limit there. All sums are whole numbers.
 
 A leaf's documents are put in a seeded random order for each epoch. It takes whole epochs while its budget holds them,
-then the longest prefix of the next epoch's order whose tokens fit.
+then the first tokens of the next epoch's order, to the token: the document in which the budget ends is taken in part, so that
+every leaf spends what it was given.
 
 No order is ever built: the prefix's end is found from token sums per leaf and hash bucket, then among the documents of
 the one bucket in which it ends. What is joined to the documents is one row per leaf.
 
 Defined results: null text has 0 tokens; null domain, language or source is a value of its own; weights that aren't
 given are 1; leaves without tokens get no budget and none of their documents stays; repeated rows share their place in
-the order and are taken together; an empty table gives an empty result; other columns pass through untouched, and a
+the order and are taken together, in equal parts (rounded down) where the budget ends in them; an empty table gives an empty result; other columns pass through untouched, and a
 result column whose name is taken gets underscores before it.
 """
 
@@ -86,7 +87,7 @@ def leaf_budgets(leaves: DataFrame, budget: int, weights: Mapping | None = None,
 
 def mixed(docs: DataFrame, budget: int | None = None, share: float = 0.5, weights: Mapping | None = None, max_epochs: int = 1, seed: int = 0, tokens: Column | None = None, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """`docs` (with doc_id and the levels of the tree) repeated by the epochs that take them, in two further columns
-    mix_epoch and mix_tokens. The budget is `budget` tokens, or `share` of all."""
+    mix_epoch and mix_tokens (those taken: of one document a leaf, only the first). The budget is `budget` tokens, or `share` of all."""
     count = words(F.col("text")) if tokens is None else tokens
     own = [f"l{i}" for i in range(len(levels))]  # the levels' names inside
     inside = {f"l{i}": (weights or {}).get(level, {}) for i, level in enumerate(levels)}
@@ -107,14 +108,30 @@ def mixed(docs: DataFrame, budget: int | None = None, share: float = 0.5, weight
     ends = written(ends.select(*own, "e.bucket", "e.room"), "mix-ends")
     rest = keyed.withColumnRenamed("bucket", "at").join(small_side(ends.select(*named("e"), "bucket", "room"), 200), same("e")).where("at = bucket")
     upto = F.sum("tokens").over(Window.partitionBy(*own).orderBy("key"))  # rows of equal key count together
-    last = rest.withColumn("upto", upto).where("upto <= room").groupBy(*own).agg(F.max("key").alias("key"))
+    rest = rest.groupBy(*own, "key", "room").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).withColumn("upto", upto)
+    # The last key that fits, and the next one, in which the budget ends, with the tokens a row that are left for it.
+    edge = F.min(F.when(F.col("upto") > F.col("room"), F.struct("key", F.floor((F.col("room") - F.col("upto") + F.col("tokens")) / F.col("rows")).cast("bigint").alias("cut"))))
+    last = rest.groupBy(*own).agg(F.max(F.when(F.col("upto") <= F.col("room"), F.col("key"))).alias("key"), edge.alias("edge"))
     # Keys up to `stop` are taken: the last that fits, else all before the end's bucket.
-    stops = ends.join(last.select(*named("s"), "key"), same("s"), "left").select(*named("t"), F.coalesce("key", "bucket").alias("stop"))
-    plan = written(cut.join(stops, same("t"), "left").select(*own, "whole", "stop"), "mix-plan")
+    stops = ends.join(last.select(*named("s"), "key", "edge"), same("s"), "left").select(*named("t"), F.coalesce("key", "bucket").alias("stop"), F.col("edge.key").alias("at"), F.col("edge.cut").alias("cut"))
+    plan = written(cut.join(stops, same("t"), "left").select(*own, "whole", "stop", "at", "cut"), "mix-plan")
     drop_written(light, leaves, cut, ends)
     # One row a leaf meets the documents, under names that none of their columns has.
-    name = {k: fresh(docs.columns, f"mix_{k}") for k in (*own, "whole", "stop", "times", "epoch", "tokens")}
-    joined = docs.join(small_side(plan.select(*[F.col(k).alias(name[k]) for k in (*own, "whole", "stop")]), 200), [F.col(k).eqNullSafe(F.col(name[o])) for k, o in zip(levels, own, strict=True)])
-    partly = F.coalesce(order_key(seed, F.col(name["whole"]), F.col("doc_id")) <= F.col(name["stop"]), F.lit(False))
-    out = joined.withColumn(name["times"], F.col(name["whole"]) + partly.cast("int")).where(F.col(name["times"]) > 0)
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(name["times"]) - 1)).alias(name["epoch"]), count.alias(name["tokens"]))
+    name = {k: fresh(docs.columns, f"mix_{k}") for k in (*own, "whole", "stop", "at", "cut", "key", "times", "epoch", "tokens")}
+    joined = docs.join(small_side(plan.select(*[F.col(k).alias(name[k]) for k in (*own, "whole", "stop", "at", "cut")]), 240), [F.col(k).eqNullSafe(F.col(name[o])) for k, o in zip(levels, own, strict=True)])
+    keyed = joined.withColumn(name["key"], order_key(seed, F.col(name["whole"]), F.col("doc_id")))
+    partly = F.coalesce((F.col(name["key"]) == F.col(name["at"])) & (F.col(name["cut"]) > 0), F.lit(False))
+    times = F.col(name["whole"]) + (F.coalesce(F.col(name["key"]) <= F.col(name["stop"]), F.lit(False)) | partly).cast("int")
+    out = keyed.withColumn(name["times"], times).where(F.col(name["times"]) > 0)
+    out = out.select("*", F.explode(F.sequence(F.lit(0), F.col(name["times"]) - 1)).alias(name["epoch"]))
+    taken = F.when(partly & (F.col(name["epoch"]) == F.col(name["whole"])), F.least(count, F.col(name["cut"]))).otherwise(count)
+    return out.select(*docs.columns, name["epoch"], taken.alias(name["tokens"]))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """A text's beginning with its first n words (n >= 1); the whole text if it has no more."""
+    space = r"[ \t\n\x0B\f\r]+"
+    # What a split into n + 1 pieces leaves for the last is all behind n words; white space in front makes a piece of its own.
+    leading = text.rlike(f"^{space}").cast("int")
+    behind = F.element_at(F.split(text, space, (n + leading + 1).cast("int")), -1)
+    return F.when(words(text) > n, F.regexp_replace(F.substring(text, F.lit(1), F.char_length(text) - F.char_length(behind)), f"{space}$", "")).otherwise(text)

@@ -147,7 +147,8 @@ total AS (SELECT floor(sum(tokens) * {MIX_SHARE})::BIGINT AS budget FROM sums),
 cut AS (SELECT domain, lang, source, c.budget // s.tokens AS whole, c.budget % s.tokens AS part FROM c JOIN sums s USING (domain, lang, source)),
 keyed AS (SELECT d.*, whole, part, md5('{MIX_SEED}:' || whole || ':' || doc_id) AS k FROM docs d JOIN cut USING (domain, lang, source)),
 ran AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY k) AS upto FROM keyed)
-SELECT doc_id, domain, lang, source, unnest(range(whole + CASE WHEN part > 0 AND upto <= part THEN 1 ELSE 0 END))::INTEGER AS epoch, tokens FROM ran
+SELECT doc_id, domain, lang, source, unnest(range(whole))::INTEGER AS epoch, tokens FROM ran
+UNION ALL SELECT doc_id, domain, lang, source, whole::INTEGER AS epoch, least(tokens, part - upto + tokens)::BIGINT AS tokens FROM ran WHERE part > 0 AND (upto <= part OR upto - tokens < part)
 """
 
 

@@ -5,7 +5,8 @@ stage return the columns they were given, those others unchanged, whatever their
 results for awkward rows, those of its operator:
 
 * drop_toxic: null and empty texts score 0 and stay; repeated rows are judged each; without labels all rows stay.
-* drop_boilerplate_lines: null texts stay null; a document all of whose lines go stays with an empty text.
+* drop_boilerplate_lines: null texts stay null; a document that would lose more than half of its characters is a copy
+  rather than a page with boilerplate, and stays whole for the next stage.
 * drop_near_duplicates: rows without words and rows with a null doc_id stay; rows repeated with one doc_id stay or go together.
 * mix_sources: a null language or source is a leaf of its own; rows of leaves without words go.
 * pack_sequences: null and empty texts give the end id alone; repeated rows are packed each.
@@ -32,9 +33,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without its source's boilerplate lines; n_chars follows the text."""
+    """Every document, without its source's boilerplate lines where they are no more than half of it; n_chars follows the text."""
     clean = fresh(docs.columns, "clean_text")
-    out = line_dedup.drop_boilerplate(docs, F.col("source"), clean=clean, counts=None)
+    out = line_dedup.drop_boilerplate(docs, F.col("source"), clean=clean, counts=None, most=0.5)
     size = F.when(F.col(clean).isNull(), F.col("n_chars")).otherwise(F.char_length(clean).cast("long"))
     return out.withColumns({"text": F.col(clean), "n_chars": size}).select(*docs.columns)
 
@@ -45,11 +46,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The seeded prefix of every leaf that the budget of half the words gives it, each document once at most."""
+    """The seeded prefix of every leaf that the budget of half the words gives it, each document once at most and one of
+    each leaf cut to the words that are left for it; n_chars follows the text."""
     domain = fresh(docs.columns, "domain")
     levels = {domain: WEIGHTS["domain"], "lang": WEIGHTS["lang"], "source": WEIGHTS["source"]}
     out = mixing.mixed(with_domain(docs, domain), share=MIX_SHARE, weights=levels, max_epochs=1, seed=MIX_SEED, levels=tuple(levels))
-    return out.select(*docs.columns)
+    taken = F.col(out.columns[-1])
+    cut = mixing.words(F.col("text")) > taken
+    text = F.when(cut, mixing.first_words(F.col("text"), taken)).otherwise(F.col("text"))
+    size = F.when(cut, F.char_length(text).cast("bigint")).otherwise(F.col("n_chars"))
+    return out.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,10 @@ are a clean document too, so that groups of JOINED of them are fitted on as well
 Weights are kept at zero or above: a word can speak for an offence, not against one. Sentence probabilities then locate
 the offending sentences.
 
+Weak evidence (sentences below SURE) counts only as far as it exceeds what clean text of as many sentences holds: the mean a
+sentence of the clean documents fitted on. Clean text of any length therefore scores near 0, and a sure sentence in it
+counts in full.
+
 Fitting uses at most `sample` labelled documents, half of each label (the documented bound); their features are counted
 and encoded by Spark jobs, and all that are commoner in toxic documents reach the driver, with the encoded sample.
 
@@ -33,6 +37,7 @@ SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNING = 4  # letters of a word beginning; written with a star behind
 SAMPLE, LEAST, JOINED = 8_000, 4, 16
+SURE = 0.6  # sentence probability from which evidence counts in full
 SCORED = "score double, n_sentences int, n_offending int, worst_score double, worst_start int, worst_end int"
 
 
@@ -40,6 +45,7 @@ SCORED = "score double, n_sentences int, n_offending int, worst_score double, wo
 class Model:
     bias: float
     weights: dict[str, float]  # words, and beginnings with a star behind
+    usual: float = 0.0  # weak evidence of a sentence of clean text, as -log(1 - p) above that of a silent one
 
 
 def features(text: str) -> list[str]:
@@ -57,17 +63,19 @@ def score_text(text: str, model: Model) -> tuple[float, int, int, float, int, in
     spans = sentences(text)
     none = 1 / (1 + np.exp(-model.bias))
     weights = model.weights
-    clean, offending, worst = 0.0, 0, (0.0, *(spans[0] if spans else (0, 0)))
+    sure, weak, offending, worst = 0.0, 0.0, 0, (0.0, *(spans[0] if spans else (0, 0)))
     if any(f in weights for f in features(text)):
         for start, end in spans:
             z = sum(weights[f] for f in features(text[start:end]) if f in weights)
             if z:
                 p = min(1 / (1 + np.exp(-model.bias - z)), 1 - 1e-12)
-                clean += np.log1p(-p) - np.log1p(-none)
+                evidence = np.log1p(-none) - np.log1p(-p)
+                sure, weak = (sure + evidence, weak) if p >= SURE else (sure, weak + evidence)
                 offending += p >= 0.5
                 if p > worst[0]:
                     worst = p, start, end
-    return float(-np.expm1(clean)), len(spans), offending, float(worst[0]), worst[1], worst[2]
+    clean = sure + max(0.0, weak - model.usual * len(spans))
+    return max(0.0, float(-np.expm1(-clean))), len(spans), offending, float(worst[0]), worst[1], worst[2]
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "toxic") -> DataFrame:
@@ -95,15 +103,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     names = sorted(r.f for r in telling.select("f").collect())
     place = {f: i for i, f in enumerate(names)}
 
-    @F.pandas_udf("array<array<int>>")
-    def encoded(texts: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("n int, found array<array<int>>")
+    def encoded(texts: pd.Series) -> pd.DataFrame:
+        sizes, out = [], []
         for t in texts:
             found = [[place[f] for f in features(t[s:e]) if f in place] for s, e in sentences(t)]
+            sizes.append(len(found))
             out.append([sorted(x) for x in found if x])
-        return pd.Series(out, dtype=object)
+        return pd.DataFrame({"n": sizes, "found": out})
 
-    bags = rows.select("y", encoded("text").alias("found")).toPandas() if names else pd.DataFrame({"y": [], "found": []})
+    bags = rows.select("y", encoded("text").alias("x")).select("y", "x.n", "x.found").toPandas() if names else pd.DataFrame({"y": [], "n": [], "found": []})
     drop_written(rows)
     return _fitted(bags, names, steps)
 
@@ -115,7 +124,7 @@ def _fitted(bags: pd.DataFrame, names: list[str], steps: int, bias: float = -6.0
     The bias stays at `most` or below. The penalty on the sum of the weights drops features that speak for a few documents of many only."""
     if not names or not len(bags):
         return Model(bias, {})
-    found, y = [list(x) for x in bags["found"]], bags["y"].to_numpy(float)
+    found, y, own = [list(x) for x in bags["found"]], bags["y"].to_numpy(float), len(bags)
     clean = [x for x, label in zip(found, y, strict=True) if not label]
     groups = [[s for x in clean[i : i + JOINED] for s in x] for i in range(0, len(clean), JOINED)]
     weight = np.concatenate([np.where(y == 1, 0.5 / max(1, y.sum()), (0.5 - joined) / max(1, len(clean))), np.full(len(groups), joined / max(1, len(groups)))])
@@ -137,7 +146,12 @@ def _fitted(bags: pd.DataFrame, names: list[str], steps: int, bias: float = -6.0
         grad = np.append(np.bincount(cols, -(slope * p)[of_sentence], len(names)) + penalty, (slope * (none - p)).sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         now = np.clip(now - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8), least, upper)
-    return Model(float(now[-1]), {f: float(x) for f, x in zip(names, now, strict=False) if x > 0.05})
+    weights = np.where(now[:-1] > 0.05, now[:-1], 0.0)
+    z = now[-1] + np.bincount(of_sentence, weights[cols], len(sizes))
+    weak = (1 / (1 + np.exp(-z)) < SURE) & (of_doc < own) & (y[of_doc] == 0)
+    evidence = np.where(weak, np.logaddexp(0, z) - np.logaddexp(0, now[-1]), 0.0).sum()
+    usual = evidence / max(1, bags["n"].to_numpy()[y[:own] == 0].sum())
+    return Model(float(now[-1]), {f: float(x) for f, x in zip(names, weights, strict=True) if x}, float(usual))
 
 
 def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:

@@ -6,15 +6,19 @@ import re
 from collections import Counter, defaultdict
 
 
-def noisy_or(text, bias, weights):
-    """1 - prod((1 - p) / (1 - p of a sentence without a telling word)) over sentences."""
-    silent, clean = 1 / (1 + math.exp(-bias)), 1.0
+def noisy_or(text, bias, weights, usual=0.0):
+    """1 - prod((1 - p) / (1 - p of a sentence without a telling word)) over sentences; of those below 0.6 what exceeds the usual."""
+    silent, sure, weak = 1 / (1 + math.exp(-bias)), 1.0, 1.0
     for sentence in re.split(r"(?<=[.!?])(?![.!?])|\n", text or ""):
         words = {w for w in re.findall(r"[^\W\d_]+", sentence.lower())}
         found = [*words, *(w[:4] + "*" for w in words if len(w) >= 4)]
         if any(f in weights for f in found):
-            clean *= (1 - 1 / (1 + math.exp(-bias - sum(weights.get(f, 0.0) for f in found)))) / (1 - silent)
-    return 1 - clean
+            p = 1 / (1 + math.exp(-bias - sum(weights.get(f, 0.0) for f in found)))
+            if p >= 0.6:
+                sure *= (1 - p) / (1 - silent)
+            else:
+                weak *= (1 - p) / (1 - silent)
+    return 1 - sure * min(1.0, weak * math.exp(usual * len(re.findall(r"[^.!?\n]+", text or ""))))
 
 
 def components(rows, percent=80):
@@ -44,8 +48,8 @@ def components(rows, percent=80):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def without_boilerplate(rows, ratio, least):
-    """doc_id -> text that is left, of rows (doc_id, text, host); doc_ids are distinct."""
+def without_boilerplate(rows, ratio, least, most=1.0):
+    """doc_id -> text that is left, of rows (doc_id, text, host); doc_ids are distinct. Texts that would lose more than `most` stay."""
     pages, total = defaultdict(set), Counter()
     key = lambda line: line.strip(" \t\r")
     for i, t, host in rows:
@@ -53,7 +57,8 @@ def without_boilerplate(rows, ratio, least):
         for line in (t or "").split("\n"):
             pages[host, key(line)].add(i)
     stays = lambda host, line: not key(line) or len(pages[host, key(line)]) < least or len(pages[host, key(line)]) <= ratio * total[host]
-    return {i: None if t is None else "\n".join(x for x in t.split("\n") if stays(host, x)) for i, t, host in rows}
+    left = {i: None if t is None else "\n".join(x for x in t.split("\n") if stays(host, x)) for i, t, host in rows}
+    return {i: t if most < 1 and t is not None and len(left[i]) < (1 - most) * len(t) else left[i] for i, t, host in rows}
 
 
 def fill(given, children):
@@ -71,7 +76,7 @@ def fill(given, children):
 
 
 def mixed(rows, share, weights, seed, epochs=1):
-    """Counter of doc_ids taken, of rows (doc_id, text, leaf) with a leaf of three levels; weights: a mapping a level."""
+    """doc_id -> tokens taken of it in each epoch, of rows (doc_id, text, leaf) with a leaf of three levels; weights: a mapping a level."""
     size = {i: len(re.findall(r"[^ \t\n\x0b\f\r]+", t or "")) for i, t, _ in rows}
     leaves = defaultdict(list)
     for i, _, leaf in rows:
@@ -84,16 +89,18 @@ def mixed(rows, share, weights, seed, epochs=1):
         for leaf in leaves:
             supply[leaf[:depth]] += tokens[leaf] * epochs
         budgets = {n: b for up, given in budgets.items() for n, b in fill(given, {n: (own.get(n[-1], 1), s) for n, s in supply.items() if n[:-1] == up}).items()}
-    taken = Counter()
+    taken = defaultdict(list)
     for leaf, ids in leaves.items():
         whole, part = divmod(budgets[leaf], tokens[leaf])
-        taken.update(i for i in ids for _ in range(whole))
+        for i in ids:
+            taken[i] += [size[i]] * whole
         for i in sorted(ids, key=lambda i: hashlib.md5(f"{seed}:{whole}:{i}".encode()).hexdigest()):
             if size[i] > part:
+                taken[i] += [part] * (part > 0)
                 break
             part -= size[i]
-            taken[i] += part >= 0
-    return +taken
+            taken[i].append(size[i])
+    return {i: t for i, t in taken.items() if t}
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -115,20 +122,21 @@ def base_spans(text):
 
 
 def anchors(text, hash_of, k, s):
-    """Closed syncmers [(hash, position)]: the 128 smallest distinct hashes, each at its first position."""
+    """Closed syncmers [(hash, position)]: the distinct hashes below 2^28, or the 128 smallest if that is more, each at its first position."""
     first = {}
     for at in range(len(text) - k + 1):
         inner = [hash_of(text[at + i : at + i + s]) for i in range(k - s + 1)]
         if inner.index(min(inner)) in (0, k - s):
             first.setdefault(hash_of(text[at : at + k]), at)
-    return sorted(first.items())[:128]
+    found = sorted(first.items())
+    return found[: max(128, sum(h < 1 << 28 for h, _ in found))]
 
 
 def likeness(a, b, kept=128):
     """Of two fingerprints [(hash, position)], by trying all chains of matching anchors."""
     if not a or not b:
         return float(not a and not b)
-    limit = min([x[-1][0] for x in (a, b) if len(x) == kept] or [max(a[-1][0], b[-1][0])])
+    limit = min([max(x[-1][0], (1 << 28) - 1) for x in (a, b) if len(x) >= kept] or [max(a[-1][0], b[-1][0])])
     of_a, of_b = ({h: p for h, p in x if h <= limit} for x in (a, b))
     places = [of_b[h] for h in sorted(of_a.keys() & of_b.keys(), key=lambda h: (of_a[h], h))]
     best = []

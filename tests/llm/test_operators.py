@@ -55,7 +55,7 @@ def test_toxicity_query_matches_plain_noisy_or(spark, sf):
     rows = queries.op1_toxicity(spark, sf).collect()
     assert sorted(r.doc_id for r in rows) == sorted(text) and model.weights
     for r in rows:
-        assert abs(r.score - brute.noisy_or(text[r.doc_id], model.bias, model.weights)) < 1e-6
+        assert abs(r.score - brute.noisy_or(text[r.doc_id], model.bias, model.weights, model.usual)) < 1e-6
 
 
 def test_toxicity_fits_the_bias_and_joined_clean_documents(spark):
@@ -69,6 +69,20 @@ def test_toxicity_fits_the_bias_and_joined_clean_documents(spark):
     assert toxicity.score_text(joined, model)[0] < 0.5 <= toxicity.score_text(joined + " You utter scoundrel.", model)[0]
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_fitted_toxicity_does_not_grow_with_clean_text(spark, sf):
+    """All held-out clean documents as one text are clean, and one toxic document among them is found."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    held = docs.join(labels.where(toxicity.held_out()), "doc_id").select("text", "toxic").collect()
+    clean = "\n".join(r.text or "" for r in held if not r.toxic)
+    assert model.usual > 0 and toxicity.score_text(clean, model)[0] < 0.5
+    offending = [s for s in (toxicity.score_text(r.text or "", model) + (r.text,) for r in held if r.toxic) if s[3] >= 0.9]
+    assert offending and all(toxicity.score_text(f"{clean}\n{s[6][s[4] : s[5]]}", model)[0] >= 0.5 for s in offending[:10])
+    right = sum((toxicity.score_text(r.text or "", model)[0] >= 0.5) == (r.toxic == 1) for r in held)
+    assert right / len(held) >= (0.99 if sf == "sf0.1" else 0.97)
+
+
 def test_toxicity_does_not_grow_with_clean_text(spark):
     model = toxicity.Model(-10.0, {"scoundrel": 20.0})
     calm, offence = "A calm line.\n" * 100_000, "You utter scoundrel."
@@ -511,6 +525,48 @@ def test_pii_addresses_of_any_length():
         assert not [s for s in pii.find_spans(t) if s[0] == "address"], t
 
 
+def iban(country, rng):
+    """A valid account number of a country, by trying check digits."""
+    body = "".join(rng.choice(list("0123456789ABCXYZ"), pii.IBAN_LENGTHS[country] - 4))
+    number = lambda t: int("".join(str(int(c, 36)) for c in t))
+    return next(f"{country}{k:02d}{body}" for k in range(98) if number(f"{body}{country}{k:02d}") % 97 == 1)
+
+
+def test_pii_accounts_of_every_country_whatever_follows():
+    rng = np.random.default_rng(9)
+    for country in pii.IBAN_LENGTHS:
+        own = iban(country, rng)
+        for shown in (own, " ".join(own[k : k + 4] for k in range(0, len(own), 4))):
+            for before in ("IBAN ", "iban: ", "Iban:"):
+                for behind in ("", " 99", " OK now", ".", ", x", "\n7"):
+                    t = f"ä {before}{shown}{behind}"
+                    assert [t[s:e] for k, s, e in pii.find_spans(t) if k == "account"] == [shown], t
+        wrong = own[:-1] + ("1" if own[-1] != "1" else "2")
+        for t in (f"IBAN {wrong}", f"IBAN {own}7", f"IBAN {own[:-1]}", f"{own}"):
+            assert not [s for s in pii.find_spans(t) if s[0] == "account"], t
+
+
+def test_pii_cues_in_four_languages():
+    found = {
+        "er wohnt in der Hauptstrasse 12 dort": "Hauptstrasse 12", "Am Marktplatz 5b, Ulm": "Marktplatz 5b", "Bahnhofstr. 7": "Bahnhofstr. 7", "au rue 5": "rue 5",
+        "12 Main St.": "12 Main St.", "12 rue de la Paix, Paris": "12 rue de la Paix", "calle del Sol 44": "calle del Sol 44", "Avenida Reina Sofía, 3": "Avenida Reina Sofía, 3",
+    }
+    for t, want in found.items():
+        assert [t[s:e] for k, s, e in pii.find_spans(t) if k == "address"] == [want], t
+    for t in ("hauptstrasse 12", "die Strasse", "la rue verte", "true 5", "calle abajo"):
+        assert not [s for s in pii.find_spans(t) if s[0] == "address"], t
+    said = {"password is hunter2hunter2hunter2": "hunter2hunter2hunter2", "das Passwort lautet abc12345x": "abc12345x", "mot de passe est zz99zz99": "zz99zz99", "la contraseña es k3k3k3k3k3": "k3k3k3k3k3"}
+    for t, want in said.items():
+        assert [t[s:e] for k, s, e in pii.find_spans(t) if k == "secret"] == [want], t
+    assert not [s for s in pii.find_spans("the secret is outstanding and the token is 123456789") if s[0] == "secret"]
+
+
+def test_pii_urls_match_a_pattern(spark, sf):
+    plain = re.compile(r"(?:https?|ftp)://[^\s<>\"']*[^\s<>\"'.,;:!?)\]}]")
+    for t in texts(spark, sf).values():
+        assert [(s, e) for k, s, e in pii.find_spans(t) if k == "url"] == [m.span() for m in plain.finditer(t)]
+
+
 def test_pii_further_kinds_and_edges(spark, documents, no_documents):
     t = "see https://x.example.com/a?b=1. IBAN: GB82 WEST 1234 5698 7654 32, iban GB00WEST12345698765432; api_key = 'abcdefghijklmnop1234' at 12 Long Oak Street today"
     got = {k: t[s:e] for k, s, e in pii.find_spans(t) if k not in pii.BASE}
@@ -544,13 +600,14 @@ def test_mixing_takes_prefixes_of_epochs(spark, documents, no_documents):
     for leaf, budget in budgets.items():
         own = [(k, 1 + k % 7) for k, _, lang, source in rows if (lang, source) == leaf]
         whole, part = divmod(budget, sum(t for _, t in own))
-        want = Counter(k for k, _ in own for _ in range(whole))
+        want = Counter((k, t) for k, t in own for _ in range(whole))
         for k, t in sorted(own, key=lambda x: hashlib.md5(f"4:{whole}:{x[0]}".encode()).hexdigest()):
+            want[k, min(t, part)] += part > 0
             if t > part:
                 break
             part -= t
-            want[k] += 1
-        assert Counter(r.doc_id for r in out if (r.lang, r.source) == leaf) == +want
+        own = [r for r in out if (r.lang, r.source) == leaf]
+        assert Counter((r.doc_id, r.mix_tokens) for r in own) == +want and sum(r.mix_tokens for r in own) == budget
     again = mixing.mixed(docs.repartition(5), share=1.4, weights={"source": {"src0": 5}}, max_epochs=3, seed=4).collect()
     assert sorted((r.doc_id, r.mix_epoch) for r in again) == sorted((r.doc_id, r.mix_epoch) for r in out)
     awkward = queries.with_domain(documents)
