@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import clamp, core_of_linear, core_periodic
 from ..functions.geometry import normalised
+from ..sources.shared import written
 from .header import Header
 
 
@@ -14,8 +15,10 @@ def numbered(points: DataFrame, ghost: str, name: str) -> DataFrame:
     """Points with a number in their part: real ones first, then ghosts, both in row-major order.
 
     Rows of the grid are counted; a number is the count of all rows before, plus the place in the own row. So no window
-    holds more points than a row, and what is summed over a part is a count per row.
+    holds more points than a row, and what is summed over a part is a count per row. The points are used for both and
+    written once, so that what made them isn't computed again, twice as often with every numbering.
     """
+    points = written(points, "unnumbered")
     rows = points.groupBy("mypart", "iy").agg(F.count_if(~F.col(ghost)).alias("real"), F.count_if(ghost).alias("ghosts"))
     part = Window.partitionBy("mypart")
     before = part.orderBy("iy").rowsBetween(Window.unboundedPreceding, -1)
@@ -168,5 +171,3 @@ def exchanged(mesh_nodes: DataFrame, values: DataFrame) -> DataFrame:
 def duplicate_owners(mesh_nodes: DataFrame) -> DataFrame:
     """Owner keys that more than one node claims; there must be none."""
     return mesh_nodes.where(~F.col("ghost")).groupBy("mypart", "master_glb_idx").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
-
-

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.fold import core_of_linear
 from ..operators import balance, distance, locator, merkle, partition, points, quality, stencil
 from ..operators.header import Header
-from ..sources import prefixes
+from ..sources import prefixes, text_grid
+from ..sources.shared import scratch_path
 from . import sql
 from .roster import G2T, G025, _values, _values_sql, query
 
@@ -207,3 +208,17 @@ FROM (SELECT DISTINCT url FROM pages WHERE starts_with(url, 'http')) GROUP BY AL
 def page_urls_by_host(spark, sf_dir):
     """The distinct URLs of each host."""
     return prefixes.by_host(spark.read.parquet(f"{sf_dir}/pages.parquet").select("url"))
+
+
+# --- text files ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_values_sql(G2T)} SELECT n, coalesce(cents, 0)::BIGINT AS cents, cents IS NOT NULL AS observed, n = n_master AS core FROM grid LEFT JOIN vals USING (n_master)")
+def obs_text_files(spark, sf_dir):
+    """The observed sums on all points, written as a text grid of several files and scanned back."""
+    grid = points.with_master(points.spine(spark, G2T), G2T).join(_values(spark, sf_dir, G2T), "n_master", "left")
+    rows = grid.select("n", F.coalesce("cents", F.lit(0)).alias("lat"), F.col("n").alias("lon"), F.col("cents").isNotNull().alias("water"), (F.col("n") == F.col("n_master")).alias("core"))
+    path = scratch_path(spark, "text-grid")
+    text_grid.write_points(rows, G2T, path, files=7)
+    back = text_grid.parse_points(text_grid.read_lines(spark, path), 1)
+    return back.where("lon = n").select("n", F.col("lat").cast("bigint").alias("cents"), (F.col("water") != 0).alias("observed"), (F.col("core") != 0).alias("core"))

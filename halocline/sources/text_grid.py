@@ -3,8 +3,9 @@
 Version 1: header `ni nj periodicity E W S N`, points `lat lon water core`; the pivot is given by the user.
 Version 2: header `ni nj`, points `lat lon water core I J I_master J_master lat_master lon_master`, indices from 1.
 
-A point's place is that of its line. Spark splits text files by bytes, so line numbers come from counts per partition:
-one pass counts lines, the second adds each partition's offset; no data goes to the driver.
+A point's place is that of its line, of one file or of several in order of their names. Spark splits text files by bytes
+into blocks and may do so differently each time, so lines are written once with their file, block and place in the block, and
+both the counts per block and the numbers come from that table: retried tasks and other splits can't disagree.
 """
 
 from __future__ import annotations
@@ -14,17 +15,27 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import master
 from ..operators.header import Header
+from .shared import small_side, written
 
 FIELDS = {1: ("lat", "lon", "water", "core"), 2: ("lat", "lon", "water", "core", "I", "J", "I_master", "J_master", "lat_master", "lon_master")}
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value), numbered from 0 in file order."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("id"))
-    parts = lines.groupBy(F.shiftright("id", 33).alias("p")).agg(F.count(F.lit(1)).alias("lines"))
-    before = F.coalesce(F.sum("lines").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
-    offsets = parts.select("p", before.alias("before"))
-    return lines.withColumn("p", F.shiftright("id", 33)).join(F.broadcast(offsets), "p").select((F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("line_no"), "value")
+    """(line_no, value) of a file, a folder or a pattern, numbered from 0 in order of file names and lines."""
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = written(read, "text-lines")
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("lines").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per block
+    offsets = small_side(blocks.select("file", "block", (before - F.col("first")).alias("shift")), 300)
+    return lines.join(offsets, ["file", "block"]).select((F.col("id") + F.col("shift")).alias("line_no"), "value")
+
+
+def write_points(points: DataFrame, h: Header, path: str, files: int) -> None:
+    """Points (n, lat, lon, water, core) as a version 1 grid of several files, whose names are in order of the points."""
+    head = points.sparkSession.createDataFrame([(-1, f"{h.ni} {h.nj} 0 {h.halo_e} {h.halo_w} {h.halo_s} {h.halo_n}")], "n bigint, value string")
+    flag = lambda c: F.col(c).cast("int").cast("string")
+    rows = points.select("n", F.concat_ws(" ", F.col("lat").cast("string"), F.col("lon").cast("string"), flag("water"), flag("core")).alias("value"))
+    head.unionByName(rows).repartitionByRange(files, "n").sortWithinPartitions("n").select("value").write.text(path)
 
 
 def header_fields(lines: DataFrame, version: int) -> DataFrame:

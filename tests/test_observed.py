@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from halocline.operators import balance, distance, locator, merkle, partition, points, quality, stencil
 from halocline.operators.header import Header, header_of
 from halocline.plans import observed, roster
-from halocline.sources import prefixes
+from halocline.sources import prefixes, text_grid
 
 TINY = Header("tiny", 10, 8, 1, 1, 1, 1, 5.0, 6.0)
 
@@ -248,3 +248,30 @@ def test_longest_prefix_of_many(spark):
 def test_points_of_the_whole_grid_have_owners(spark):
     got = {(r.ih, r.jh): (r.mi, r.mj) for r in points.with_master(points.spine(spark, TINY), TINY).collect()}
     assert got == {p: master_of(*p, TINY) for p in got}
+
+
+# --- text files and numbering --------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("bytes_a_split", [64, 1 << 20])
+def test_lines_of_several_files_are_numbered_in_order(spark, tmp_path, bytes_a_split):
+    want = []
+    for k, name in enumerate(("a.txt", "b.txt", "c.txt")):
+        lines = [f"{name} {i} {'x' * (i % 40)}" for i in range(100 * k + 1)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        want += lines
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(bytes_a_split))
+    try:
+        found = text_grid.read_lines(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)  # what comes later may split differently
+        got = found.orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.line_no for r in got] == list(range(len(want))) and [r.value for r in got] == want
+
+
+@pytest.mark.parametrize("name", ["mesh_nodes_wide", "mesh_cells_wide"])
+def test_numbering_computes_its_points_once(spark, name):
+    text = roster.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Range (") <= 1
