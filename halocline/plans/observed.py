@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fold import core_of_linear
 from ..operators import balance, distance, locator, merkle, partition, points, quality, stencil
 from ..operators.header import Header
-from ..sources import prefixes, text_grid
+from ..sources import bands, prefixes, text_grid
 from ..sources.shared import scratch_path
 from . import sql
 from .roster import G2T, G025, _values, _values_sql, query
@@ -222,3 +222,15 @@ def obs_text_files(spark, sf_dir):
     text_grid.write_points(rows, G2T, path, files=7)
     back = text_grid.parse_points(text_grid.read_lines(spark, path), 1)
     return back.where("lon = n").select("n", F.col("lat").cast("bigint").alias("cents"), (F.col("water") != 0).alias("observed"), (F.col("core") != 0).alias("core"))
+
+
+# --- fields as a data source ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_values_sql(G025)} SELECT n_master AS n, (n_master // {G025.ni})::INTEGER AS jh, cents FROM vals WHERE n_master // {G025.ni} BETWEEN 400 AND 600")
+def obs_band_rows(spark, sf_dir):
+    """A third of the rows of the observed sums, read back from a field written in bands."""
+    own = _values(spark, sf_dir, G025).select(F.col("n_master").alias("n"), F.floor(F.col("n_master") / G025.ni).cast("int").alias("jh"), "cents")
+    path = scratch_path(spark, "bands")
+    bands.write_bands(own, path, rows=4096)
+    return spark.read.format(bands.FORMAT).load(path).where("jh between 400 and 600")

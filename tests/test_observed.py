@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from halocline.operators import balance, distance, locator, merkle, partition, points, quality, stencil
 from halocline.operators.header import Header, header_of
 from halocline.plans import observed, roster
-from halocline.sources import prefixes, text_grid
+from halocline.sources import bands, prefixes, text_grid
 
 TINY = Header("tiny", 10, 8, 1, 1, 1, 1, 5.0, 6.0)
 
@@ -275,3 +275,30 @@ def test_lines_of_several_files_are_numbered_in_order(spark, tmp_path, bytes_a_s
 def test_numbering_computes_its_points_once(spark, name):
     text = roster.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Range (") <= 1
+
+
+# --- data source ------------------------------------------------------------------------------------------------------------------
+
+
+def test_bands_round_trip_and_filters_choose_bands(spark, tmp_path):
+    field = spark.range(2000).select(F.col("id").alias("n"), F.floor(F.col("id") / 20).cast("int").alias("jh"), (F.col("id") * 3).alias("value"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("note"))
+    path = str(tmp_path / "f")
+    bands.write_bands(field, path, rows=100)
+    back = spark.read.format(bands.FORMAT).load(path)
+    assert back.schema.simpleString() == field.schema.simpleString() and back.exceptAll(field).isEmpty() and back.count() == 2000
+    read = lambda df: df.rdd.getNumPartitions()  # noqa: E731  a partition for each band
+    whole = read(back)
+    assert whole >= 20
+    one = back.where("jh = 42")
+    assert read(one) <= 2 and sorted(r.n for r in one.collect()) == list(range(840, 860))
+    assert read(back.where("n between 300 and 350")) <= 2 and back.where("n >= 300 and n < 351").count() == 51
+    assert read(back.where("jh in (0, 99)")) == whole and back.where("jh in (0, 99)").count() == 40
+    assert back.where("jh > 5000").count() == 0 and back.where("value = 30").count() == 1
+    bands.write_bands(field.where("n < 10"), path)
+    assert spark.read.format(bands.FORMAT).load(path).count() == 10
+    field.where("n >= 10").write.format(bands.FORMAT).mode("append").save(path)
+    assert spark.read.format(bands.FORMAT).load(path).count() == 2000
+    with pytest.raises(Exception, match="need the columns"):
+        field.drop("jh").write.format(bands.FORMAT).mode("overwrite").save(path)
+    with pytest.raises(Exception, match="a row without jh"):
+        field.withColumn("jh", F.lit(None).cast("int")).write.format(bands.FORMAT).mode("overwrite").save(path)
