@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fold import core_of_linear
-from ..operators import balance, distance, locator, merkle, partition, points, quality, stencil
+from ..operators import balance, distance, locator, merkle, mesh, partition, points, quality, stencil
 from ..operators.header import Header
 from ..sources import bands, prefixes, text_grid
 from ..sources.shared import scratch_path
 from . import sql
-from .roster import G2T, G025, _values, _values_sql, query
+from .roster import CASES, G2T, G025, Decomposition, _bent_lat, _bent_lon, _values, _values_sql, query
 
 # --- events in cells ---------------------------------------------------------------------------------------------------
 
@@ -234,3 +234,86 @@ def obs_band_rows(spark, sf_dir):
     path = scratch_path(spark, "bands")
     bands.write_bands(own, path, rows=4096)
     return spark.read.format(bands.FORMAT).load(path).where("jh between 400 and 600")
+
+
+# --- grid and mesh operators on the observed field ----------------------------------------------------------------------------------
+
+_VALS = _values_sql(G2T)[len(sql.masters(G2T)) :]  # the CTE of the values alone
+_OBSERVED = "LEFT JOIN vals USING (n_master)"
+_FIELD = f"{_values_sql(G2T)}, geo AS (SELECT grid.*, coalesce(cents, 0) AS cents, coalesce(n_obs, 0) AS n_obs, cents IS NOT NULL AS water FROM grid {_OBSERVED})"
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points of the two-degree grid with the observed sums of their masters; water where there are any."""
+    grid = points.with_master(points.spine(spark, G2T), G2T).join(_values(spark, sf_dir, G2T), "n_master", "left")
+    return grid.withColumns({"water": F.col("cents").isNotNull(), "cents": F.coalesce("cents", F.lit(0)), "n_obs": F.coalesce("n_obs", F.lit(0))})
+
+
+@query(f"""WITH {_FIELD}, off AS (SELECT n, n_master, cents + CASE WHEN n <> n_master AND (ih * 7 + jh * 13) % 97 = 0 THEN 5 ELSE 0 END AS cents, n_obs,
+water <> (n <> n_master AND (ih * 7 + jh * 13) % 89 = 0) AS water FROM geo)
+SELECT a.n, a.n_master, b.cents::BIGINT AS cents, b.n_obs::BIGINT AS n_obs, b.water, a.water <> b.water AS mask_differs, a.cents <> b.cents AS coordinates_differ FROM off a JOIN off b ON b.n = a.n_master""")
+def obs_halo_repair(spark, sf_dir):
+    """The observed field, off at some ghosts, repaired from the masters."""
+    away, mark = F.col("n") != F.col("n_master"), F.col("ih") * 7 + F.col("jh") * 13
+    off = _observed(spark, sf_dir).select("n", "n_master", (F.col("cents") + F.when(away & (mark % 97 == 0), 5).otherwise(0)).cast("double").alias("lon"), F.col("n_obs").cast("double").alias("lat"), (F.col("water") != (away & (mark % 89 == 0))).alias("water"))
+    fixed = quality.halo_repaired(off)
+    return fixed.select("n", "n_master", F.col("lon").cast("bigint").alias("cents"), F.col("lat").cast("bigint").alias("n_obs"), "water", "mask_differs", "coordinates_differ")
+
+
+@query(f"""WITH {_FIELD} SELECT a.ih, a.jh, (a.cents + b.cents + c.cents + d.cents)::BIGINT AS cents, (a.n_obs + b.n_obs + c.n_obs + d.n_obs)::BIGINT AS n_obs, a.water OR b.water OR c.water OR d.water AS wet,
+NOT (a.water AND b.water AND c.water AND d.water) AS has_land FROM geo a JOIN geo b ON b.n = a.n + 1 AND b.jh = a.jh JOIN geo d ON d.n = a.n + {G2T.ni} JOIN geo c ON c.n = a.n + {G2T.ni + 1} AND c.jh = a.jh + 1""")
+def obs_cell_sums(spark, sf_dir):
+    """The observed sums over the corners of every cell."""
+    cells = quality.cell_corners(_observed(spark, sf_dir).select("ih", "jh", F.col("cents").alias("lon"), F.col("n_obs").alias("lat"), "water"), G2T)
+    total = lambda c: sum((F.col(f"{c}_{k}") for k in quality.CORNERS[1:]), F.col(f"{c}_sw"))
+    any_of = lambda f: f("water_sw") | f("water_se") | f("water_ne") | f("water_nw")
+    return cells.select("ih", "jh", total("lon").alias("cents"), total("lat").alias("n_obs"), any_of(F.col).alias("wet"), any_of(lambda c: ~F.col(c)).alias("has_land"))
+
+
+_OBSERVED_CLASSES = sql.classes(G2T).replace(",\ngeo AS", f"{_VALS},\ngeo AS").replace(f"{sql.WATER} AS water FROM grid", f"cents IS NOT NULL AS water FROM grid {_OBSERVED}")
+
+
+@query(f"WITH {_OBSERVED_CLASSES} SELECT element_class, has_water, count(*) AS cells, count(*) FILTER (WHERE flagged) AS flagged FROM elem GROUP BY ALL")
+def obs_element_classes(spark, sf_dir):
+    """Classes of the bent grid's elements, wet where there are observations."""
+    grid = _observed(spark, sf_dir).withColumns({"lon": _bent_lon(), "lat": _bent_lat()})
+    found = quality.classified(quality.cell_corners(grid, G2T), G2T, with_3d=False)
+    return found.groupBy("element_class", "has_water").agg(F.count(F.lit(1)).alias("cells"), F.count_if("flagged").alias("flagged"))
+
+
+def _node_values(spark: SparkSession, sf_dir: str) -> tuple[Decomposition, DataFrame, DataFrame]:
+    """A mesh in four parts with a halo of two, the observed sums on its real nodes and those that its ghosts receive."""
+    d = Decomposition(spark, *CASES["_wide"])
+    own = d.nodes.where("not ghost").select("mypart", "inode", (F.col("master_glb_idx") - 1).alias("n_master"))
+    values = own.join(_values(spark, sf_dir, G2T), "n_master").select("mypart", "inode", F.col("cents").alias("value"))
+    return d, values, mesh.exchanged(d.nodes, values)
+
+
+_LINKS, _CELLS = sql.links(*CASES["_wide"]), sql.cells(*CASES["_wide"], mesh.is_patched(G2T))
+
+
+@query(f"WITH {_LINKS}, {_values_sql(G2T)} SELECT g.mypart, g.inode, cents AS value FROM link g JOIN node o ON o.mypart = g.asked_part AND o.inode = g.remote_idx JOIN vals ON vals.n_master = o.master_glb_idx - 1")
+def obs_mesh_exchange(spark, sf_dir):
+    """The observed sums that the ghosts of a mesh receive from the nodes that own them."""
+    return _node_values(spark, sf_dir)[2]
+
+
+@query(f"""WITH {_CELLS}, {_values_sql(G2T)}, corner AS (SELECT mypart, jcell, part, halo, unnest([node0, node1, node2, node3]) AS inode FROM cell)
+SELECT c.mypart, jcell, c.part, c.halo, coalesce(sum(cents), 0)::BIGINT AS cents, count(cents) AS observed FROM corner c JOIN node n ON n.mypart = c.mypart AND n.inode = c.inode LEFT JOIN vals ON vals.n_master = n.master_glb_idx - 1 GROUP BY ALL""")
+def obs_mesh_cell_sums(spark, sf_dir):
+    """The observed sums over the corners of a mesh's cells, ghosts by exchange."""
+    d, own, received = _node_values(spark, sf_dir)
+    corner = F.explode(F.array(*[F.col(f"node{k}") for k in range(4)])).alias("inode")
+    corners = mesh.cells(d.nodes, d.h).select("mypart", "jcell", "part", "halo", corner)
+    met = corners.join(own.unionByName(received), ["mypart", "inode"], "left")
+    return met.groupBy("mypart", "jcell", "part", "halo").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("cents"), F.count("value").alias("observed"))
+
+
+@query(f"""WITH {sql.owner(G2T, 6, 2)}, {_values_sql(G2T)}, load AS (SELECT n_master % {G2T.ni} - {G2T.halo_w} AS ix, n_master // {G2T.ni} - {G2T.halo_s} AS iy, n_obs FROM vals)
+SELECT part, count(*) AS points, coalesce(sum(n_obs), 0)::BIGINT AS load, min(o.ix) AS ix_min, max(o.ix) AS ix_max, min(o.iy) AS iy_min, max(o.iy) AS iy_max FROM owner o LEFT JOIN load ON load.ix = o.ix AND load.iy = o.iy GROUP BY part""")
+def obs_part_loads(spark, sf_dir):
+    """Bounds, points and observations of the parts of a checkerboard, which is cut by points alone."""
+    i, j = core_of_linear(F.col("n_master"), G2T)
+    load = _values(spark, sf_dir, G2T).select(i.alias("ix"), j.alias("iy"), F.col("n_obs").alias("load"))
+    owner = partition.owners(spark, G2T, 6, 2).join(load, ["ix", "iy"], "left").withColumn("load", F.coalesce("load", F.lit(0)))
+    return balance.summary(owner)

@@ -49,7 +49,9 @@ def test_located_matches_trying_every_cell(spark, limit, deepest, hot):
     where += [(110 + k, float(x), max(corner[-1][3]) + d) for k, (x, d) in enumerate([(80, 0.0), (80, -1e-7), (80, 1e-7), (260, -0.5), (260, 1.0)])]  # at the last row before the fold
     where += [(200 + k, 80.0 + k / 1000, 10.0) for k in range(20)]  # a hot tile
     where += [(300, None, 1.0), (301, 1.0, float("nan")), (302, float("inf"), 0.0), (303, corner[5][2][0], corner[5][3][0])]
-    got = {r.id: (r.jh, r.ih) for r in locator.located(spark.createDataFrame(where, "id int, lon double, lat double"), cells, limit, deepest, hot).collect()}
+    found = locator.located(spark.createDataFrame(where, "id int, lon double, lat double"), cells, limit, deepest, hot)
+    assert not re.search("CartesianProduct|NestedLoop", found._jdf.queryExecution().executedPlan().toString())
+    got = {r.id: (r.jh, r.ih) for r in found.collect()}
     assert len(got) == len(where)
     for k, lon, lat in where:
         known = lon is not None and np.isfinite(lon) and np.isfinite(lat)
