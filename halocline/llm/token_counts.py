@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from .common import small_batches
 
 MARK = "▁"  # stands for a space; one is put before every text
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 400_000
+REMEMBERED, LONGEST = 400_000, 64  # words whose counts are kept, and the characters of those that are
 RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -94,10 +95,14 @@ class Vocabulary:
         words = [MARK + w for w in text[1:].split(MARK)] if MARK * 2 not in text and text[-1] != MARK else RUN.findall(text)
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        total = 0
         for w in words:
             if w not in self.known:
-                self.known[w] = self.count_run(w)
-        return sum(map(self.known.__getitem__, words))
+                if len(w) <= LONGEST:
+                    self.known[w] = self.count_run(w)
+                else:  # a text without spaces can be a word of megabytes, which isn't kept
+                    total += self.count_run(w)
+        return total + sum(map(self.known.get, words, repeat(0)))
 
 
 @lru_cache(2)

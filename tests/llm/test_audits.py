@@ -56,8 +56,7 @@ def clustered(seed, unrelated, near, flips):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk", [4, 50, 8192])
-@pytest.mark.parametrize("flips", [3, 9])
+@pytest.mark.parametrize("chunk, flips", [(4, 9), (50, 3), (8192, 9)])
 def test_simhash_components_with_split_buckets(spark, chunk, flips):
     """Buckets of more than `chunk` members are split and still find every link."""
     items = clustered(chunk, 300, 250, flips)
@@ -80,8 +79,6 @@ def test_simhash_more_slices_agree_for_more_fingerprints(spark):
         assert len(bounds) == 5 + agree and bounds[0] == 0 and bounds[-1] == 64
         x = rng.getrandbits(63)
         rows = [(x, x ^ sum(1 << b for b in rng.sample(range(63), 4))) for _ in range(20)]
-        keys = [simhash.bucket_keys(c, n) for c in (spark.range(1)["id"],)]  # the number of choices
-        assert keys
         df = spark.createDataFrame(rows, "a bigint, b bigint")
         shared = df.select(simhash.bucket_keys(df.a, n).alias("a"), simhash.bucket_keys(df.b, n).alias("b")).selectExpr("size(array_intersect(a, b)) AS n")
         assert all(r.n > 0 for r in shared.collect())

@@ -496,6 +496,13 @@ def test_packing_edges(spark, documents, no_documents):
 
 # --- PII -------------------------------------------------------------------------------------------------------------------
 
+def test_token_counts_keep_no_long_words():
+    vocabulary = token_counts.Vocabulary([("\u2581", -1.0), ("a", -2.0), ("ab", -2.5), ("\u2581ab", -3.0)])
+    long = "ab" * 2_500_000
+    assert vocabulary.count(f"ab {long} ab a{'b' * 70} a{'b' * 70}") == vocabulary.count("ab") * 2 + vocabulary.count(long) + 2 * vocabulary.count(f"a{'b' * 70}")
+    assert max(map(len, vocabulary.known)) <= token_counts.LONGEST
+
+
 def test_pii_base_matches_patterns(spark, sf):
     rng = np.random.default_rng(3)
     alphabet = list("01239.+-@() ax.%") + ["1.2.3.4", "256", "a@b.c", "4111 1111 1111 1111", "+1 (743) 555-3824", "\U0001f600"]
