@@ -1,7 +1,7 @@
 """N-gram Jaccard join with prefix filters under several global token orders.
 
-A document's set holds its distinct shingles of five words, as 64-bit hashes; documents with equal sets are one class,
-named by a hash of the set (`key`), and only classes are compared. Two sets of Jaccard similarity 0.8 or more share,
+A document's set holds its distinct shingles of five words, as 64-bit hashes; documents whose sets have the same 128-bit
+digest are one class, which gets a number (`key`) in a written table, and only classes are compared. Two sets of Jaccard similarity 0.8 or more share,
 under any global order of tokens, one of the first s - ceil(0.8 s) + 1 tokens of each (s: set size), and l of the first
 s - ceil(0.8 s) + l. Filters under three orders are intersected before any two texts meet:
 
@@ -19,7 +19,7 @@ which makes the result exact. The work is linear in the tokens but for that last
 Tokens found in many sets of a sample (`frequent`) are known to be shared and last in the first order, so their rows
 are dealt by set instead of meeting in one task; what later steps need of a token's rows is aggregated and joined back.
 
-Shingle and class hashes are 64 bits: two different shingles are taken for one with a chance of 2^-64 a pair.
+Two different shingles are taken for one with a chance of 2^-64 a pair, two different sets with one of 2^-128.
 Defined results: no words, empty or null text: no shingles and no links; a null doc_id takes part in no link and has a
 null component; rows repeated with one doc_id are that document; an empty table gives an empty result; other columns
 are ignored.
@@ -60,11 +60,11 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
-def set_key(tokens: np.ndarray) -> int:
-    from xxhash import xxh3_64_intdigest
+def set_digest(tokens: np.ndarray) -> bytes:
+    """16 bytes that name a set."""
+    from xxhash import xxh3_128_digest
 
-    k = xxh3_64_intdigest(tokens.tobytes())
-    return k - (1 << 64) if k >> 63 else k
+    return xxh3_128_digest(tokens.tobytes())
 
 
 def prefix_length(n: int, percent: int = PERCENT, common: int = 1) -> int:
@@ -97,27 +97,36 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def profiles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles and key of every row."""
+    """doc_id, n_shingles and digest of every row."""
 
     def run(batches):
         for batch in batches:
-            rows = [(i, len(s), set_key(s)) for i, s in ((i, shingles(t or "", width)) for i, t in rows_of([batch], ROWS))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["doc_id", "n_shingles", "key"])
+            rows = [(i, len(s), set_digest(s)) for i, s in ((i, shingles(t or "", width)) for i, t in rows_of([batch], ROWS))]
+            kinds = [pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], ["doc_id", "n_shingles", "digest"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_shingles bigint, key bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary")
+
+
+def classes(own: DataFrame) -> DataFrame:
+    """(key, digest, rep, n) of the classes of profiles: a number, the digest, the smallest doc_id and the size of the set.
+
+    Numbers depend on the order of rows, so they hold only as written here; which documents are linked doesn't depend on them."""
+    found = own.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").cast("int").alias("n"))
+    return written(found.select(F.monotonically_increasing_id().alias("key"), "digest", "rep", "n"), "classes")
 
 
 def sets_of(batches, width: int):
-    """(key, set) of rows (key, text)."""
-    for key, text in rows_of(batches, ROWS):
+    """(key, set) of rows (key, digest, text)."""
+    for key, digest, text in rows_of(batches, ROWS):
         s = shingles(text or "", width)
-        if set_key(s) == key:  # a doc_id with several texts brings those of other classes along
+        if set_digest(s) == digest:  # a doc_id with several texts brings those of other classes along
             yield key, s
 
 
 def tokens(texts: DataFrame, width: int, percent: int | None = None) -> DataFrame:
-    """(token, key, n) of every set of texts (key, text); with `percent` only those of its longer prefix, by place in the second order."""
+    """(token, key, n) of every set of texts (key, digest, text); with `percent` only those of its longer prefix, by place in the second order."""
 
     def run(batches):
         out, keys, sizes, held = [], [], [], 0
@@ -133,7 +142,7 @@ def tokens(texts: DataFrame, width: int, percent: int | None = None) -> DataFram
         if out:
             yield _tokens(out, keys, sizes)
 
-    return texts.select("key", "text").mapInArrow(run, "token bigint, key bigint, n int")
+    return texts.select("key", "digest", "text").mapInArrow(run, "token bigint, key bigint, n int")
 
 
 def _tokens(out, keys, sizes) -> pa.RecordBatch:
@@ -158,13 +167,13 @@ def shared_tokens(texts: DataFrame, reps: DataFrame, width: int, percent: int |
 
 
 def with_text(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, doc_id, text) of the classes in reps (key, rep)."""
-    side = small_side(reps.select(F.col("rep").alias("__rep"), "key"), 24)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(side, F.col("doc_id") == F.col("__rep")).select("key", "doc_id", "text")
+    """(key, digest, text) of the classes in reps (key, digest, rep)."""
+    side = small_side(reps.select(F.col("rep").alias("__rep"), "key", "digest"), 56)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(side, F.col("doc_id") == F.col("__rep")).select("key", "digest", "text")
 
 
 def live(texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, rep, n) of the classes that share enough tokens of their longer prefix under the second order with others."""
+    """(key, digest, rep, n) of the classes that share enough tokens of their longer prefix under the second order with others."""
     n, up = F.col("n"), lambda x, by: F.floor((x + by - 1) / by)
     smallest = up(n * percent, 100)
     need = F.greatest(F.lit(1), F.floor(smallest * (100 - percent) / 100))
@@ -189,7 +198,7 @@ def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
         if rows[0]:
             yield _prefixes(rows)
 
-    return texts.select("key", "text").mapInArrow(run, "key bigint, second array<int>, third array<int>")
+    return texts.select("key", "digest", "text").mapInArrow(run, "key bigint, second array<int>, third array<int>")
 
 
 def _prefixes(rows) -> pa.RecordBatch:
@@ -206,23 +215,24 @@ def sharing(pairs: DataFrame, of: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of keys whose sets are similar. Pairs must share prefix tokens under the second and third order
     before their whole texts meet, each pair once."""
-    ends = written(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(reps, "key").select("key", "rep"), "pair-ends")
+    ends = written(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(reps, "key").select("key", "digest", "rep"), "pair-ends")
     texts = with_text(docs, ends)
     own = written(prefixes(texts, width, percent), "prefixes-by-hash")
     left = written(sharing(pairs, own), "candidates")
     drop_written(own)
-    side = lambda k: texts.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}"))
-    joined = left.join(side("b"), "b").join(side("a"), "a").select("a", "text_a", "b", "text_b")
+    side = lambda k: texts.select(F.col("key").alias(k), F.struct("digest", "text").alias(f"own_{k}"))
+    columns = ["a", "own_a.digest", "own_a.text", "b", "own_b.digest", "own_b.text"]
+    joined = left.join(side("b"), "b").join(side("a"), "a").select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
 
     def run(batches):
         last, held = None, None
         for batch in batches:
             found = []
-            for a, text_a, b, text_b in rows_of([batch], ROWS):
-                if a != last:
+            for a, digest_a, text_a, b, digest_b, text_b in rows_of([batch], ROWS):
+                if a != last or set_digest(held) != digest_a:
                     last, held = a, shingles(text_a or "", width)
                 other = shingles(text_b or "", width)
-                if set_key(held) == a and set_key(other) == b and similar(held, other, percent):
+                if set_digest(held) == digest_a and set_digest(other) == digest_b and similar(held, other, percent):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
@@ -338,13 +348,12 @@ def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int)
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
     own = written(profiles(docs, width), "profiles")
-    classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").cast("int").alias("n"))
-    reps = written(classes, "classes")
-    named = reps.join(class_components(docs, reps, width, percent), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
+    reps = classes(own)
+    named = reps.join(class_components(docs, reps, width, percent), "key", "left").select("digest", "rep", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_key = named.join(least, "component").select("key", "component_id")
+    of_digest = named.join(least, "component").select("digest", "component_id")
     # Only classes of several documents or with links need the join; the others are their own component.
-    out = own.join(of_key, "key", "left")
+    out = own.join(of_digest, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 

@@ -300,7 +300,7 @@ def test_filters_are_intersected_before_texts_meet(spark):
     base = [f"w{k}" for k in range(80)]
     texts = [" ".join([f"x{k}_{i}" if rng.random() < k / 300 else w for i, w in enumerate(base)]) for k in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    keyed = ngram_join.profiles(docs).join(docs, "doc_id").select("key", "text")
+    keyed = ngram_join.with_text(docs, ngram_join.classes(ngram_join.profiles(docs)))
     sets = {r.key: ngram_join.shingles(r.text) for r in keyed.collect()}
     every = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a bigint, b bigint")
     prefixes = ngram_join.prefixes(keyed, 5, 80)
@@ -312,13 +312,28 @@ def test_filters_are_intersected_before_texts_meet(spark):
     assert {(a, b) for a, b in pairs if ngram_join.similar(sets[a], sets[b])} <= got
 
 
+def test_classes_are_told_apart_by_whole_digests(spark, monkeypatch):
+    """Digests that agree in their first half are different sets; rows of one doc_id with several texts stay apart."""
+    digest = ngram_join.set_digest
+    assert len(digest(ngram_join.shingles("a b c d e f"))) == 16
+    monkeypatch.setattr(ngram_join, "set_digest", lambda tokens: b"8 bytes." + digest(tokens)[8:])
+    rows = [(k, " ".join(f"{'v' if k % 2 else 'w'}{k // 4}_{j}" for j in range(30))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    reps = ngram_join.classes(ngram_join.profiles(docs))
+    assert reps.count() == 20 and reps.select("key").distinct().count() == 20
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()} == brute.components(rows)
+    monkeypatch.undo()
+    twice = spark.createDataFrame([(5, rows[0][1]), (5, rows[1][1]), (6, rows[0][1] + " more"), (7, rows[1][1] + " more"), (8, rows[8][1])], "doc_id bigint, text string")
+    assert {(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(twice).collect()} == {(5, 5), (6, 5), (7, 5), (8, 8)}
+
+
 def test_frequent_tokens_are_dealt_by_set(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "EVERY", 1)
     base = " ".join(f"w{k}" for k in range(40))
     rows = [(k, f"{base} {' '.join(f'y{k}_{j}' for j in range(k % 13))} z{k}") for k in range(60)] + [(100 + k, f"{base} {k}") for k in range(3)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    keyed = ngram_join.profiles(docs).join(docs, "doc_id").select("key", "text", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
-    shared = ngram_join.shared_tokens(keyed, keyed, 5).cache()
+    reps = ngram_join.classes(ngram_join.profiles(docs))
+    shared = ngram_join.shared_tokens(ngram_join.with_text(docs, reps), reps, 5).cache()
     assert shared.where(F.col("df") == ngram_join.LAST).groupBy("token").count().where("count = 63").count() == 36
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()} == brute.components(rows)
 
