@@ -4,8 +4,8 @@ Every document's token ids, closed by an end id, are cut into pieces whose lengt
 longest length as fit, then the binary digits of what is left, longest first. Each piece is a sequence of its own in
 the bucket of its length, so no sequence crosses documents and none needs padding.
 
-Tokenizing goes word by word with a memory of bounded size, which forgets the words not seen lately: the tokenizer splits at white space anyway, so a text's ids are those of
-its words in turn. Texts with characters that Python and the tokenizer class differently as white space go whole. The
+Tokenizing goes word by word with a memory of bounded size, which forgets the words not seen lately and never keeps long
+ones: the tokenizer splits at white space anyway, so a text's ids are those of its words in turn. Texts with characters that Python and the tokenizer class differently as white space go whole. The
 tokenizer lower-cases; where a text's characters are such that Python does so alike, that comes before the lookup.
 
 Defined results: null or empty text gives the end id alone; repeated rows and equal texts are packed each; a null
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import rows_of, small_batches
 
 MAX_LENGTH, END_ID = 4096, 2
-REMEMBERED = 200_000  # words that a worker gathers before it forgets those not seen for as long
+#: Words that a worker gathers before it forgets those not seen for as long, and the characters of the longest it keeps.
+REMEMBERED, LONGEST = 200_000, 64
 ROWS, HELD = 32, 20_000  # texts taken from a batch at once; pieces (or ids, if they are returned) gathered before they are handed on
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^`{}~"  # ASCII signs that start no special token or contraction
@@ -117,8 +118,9 @@ class _Words:
             again = missing & self.before.keys()
             for w in again:
                 self.known[w] = self.before[w]
-            self.learn(missing - again)
-            found = list(map(self.known.__getitem__, words))
+            long = {w: self.whole(w) for w in missing if len(w) > LONGEST}  # a text without spaces can be a word of megabytes
+            self.learn(missing - again - long.keys())
+            found = [long[w] if w in long else self.known[w] for w in words] if long else list(map(self.known.__getitem__, words))
         return b"".join(found)
 
 

@@ -499,6 +499,18 @@ def test_words_are_tokenized_as_in_their_text():
             assert packing.token_ids(t, BPE).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_packing_keeps_no_long_words():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BPE)
+    words = packing._Words(BPE)
+    long = ["a" * 65 + ".", "Ab1" * 300_000, "wort" * 100_000, "x" * 64]
+    text = " ".join([*long, "short", *long, "words."])
+    for _ in range(2):
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert "short" in words.known and max(map(len, words.known)) == packing.LONGEST
+
+
 def test_packing_edges(spark, documents, no_documents):
     assert packing.piece_lengths(4096 * 2 + 5) == [4096, 4096, 4, 1] and packing.piece_lengths(1) == [1]
     rows = packing.pack(documents, BPE).collect()
