@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fold import core_of_linear
-from ..operators import balance, distance, locator, merkle, mesh, partition, points, quality, stencil
+from ..functions import geometry
+from ..functions.fold import bucket, core_of_linear, linear
+from ..operators import balance, distance, locator, merkle, mesh, partition, points, quality, stencil, tracks
 from ..operators.header import Header
 from ..sources import bands, prefixes, text_grid
 from ..sources.shared import scratch_path
 from . import sql
-from .roster import CASES, G2T, G025, Decomposition, _bent_lat, _bent_lon, _values, _values_sql, query
+from .roster import CASES, G2T, G025, Decomposition, _bent_lat, _bent_lon, _classes_3d_sql, _lat, _lon, _node_flags_sql, _values, _values_sql, query
 
 # --- events in cells ---------------------------------------------------------------------------------------------------
 
@@ -317,3 +318,98 @@ def obs_part_loads(spark, sf_dir):
     load = _values(spark, sf_dir, G2T).select(i.alias("ix"), j.alias("iy"), F.col("n_obs").alias("load"))
     owner = partition.owners(spark, G2T, 6, 2).join(load, ["ix", "iy"], "left").withColumn("load", F.coalesce("load", F.lit(0)))
     return balance.summary(owner)
+
+
+_DECOMPOSED = "_wide"
+
+
+@query(f"""WITH {sql.local_points(*CASES[_DECOMPOSED])}, {_values_sql(G2T)} SELECT mypart, halo, is_ghost, count(*) AS points, count(cents) AS observed, coalesce(sum(cents), 0)::BIGINT AS cents
+FROM loc LEFT JOIN vals USING (n_master) GROUP BY mypart, halo, is_ghost""")
+def obs_local_sums(spark, sf_dir):
+    """The observed sums that each part holds, by distance to its own points and for ghosts and others."""
+    local = Decomposition(spark, *CASES[_DECOMPOSED]).local
+    met = local.join(_values(spark, sf_dir, G2T), "n_master", "left")
+    return met.groupBy("mypart", "halo", "is_ghost").agg(F.count(F.lit(1)).alias("points"), F.count("cents").alias("observed"), F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"))
+
+
+def _observed_water(text: str) -> str:
+    """SQL over test points, made to take water from the observations."""
+    masters = sql.masters(G2T)
+    assert text.count(masters) == 1 and text.count(f"{sql.WATER} AS water FROM grid") == 1
+    return text.replace(masters, masters + _VALS).replace(f"{sql.WATER} AS water FROM grid", f"cents IS NOT NULL AS water FROM grid {_OBSERVED}")
+
+
+@query(f"""WITH {_observed_water(_classes_3d_sql())} SELECT count(*) FILTER (WHERE element_class <> 'ok') AS invalid_elements, count(*) FILTER (WHERE element_class = 'quad2d') AS invalid_quads_2d,
+count(*) FILTER (WHERE element_class = 'quad3d') AS invalid_quads_3d, count(*) FILTER (WHERE element_class = 'diagonal') AS diagonal_too_large, count(*) FILTER (WHERE flagged) AS flagged, count(*) FILTER (WHERE NOT has_water) AS dry FROM elem3""")
+def obs_element_statistics(spark, sf_dir):
+    """Statistics of the bent grid's elements by all rules, wet where there are observations."""
+    grid = _observed(spark, sf_dir).withColumns({"lon": _bent_lon(), "lat": _bent_lat()})
+    return quality.statistics(quality.classified(quality.cell_corners(grid, G2T), G2T))
+
+
+@query(f"WITH flagged AS ({_observed_water(_node_flags_sql(_DECOMPOSED))}) SELECT * FROM flagged")
+def obs_mesh_node_flags(spark, sf_dir):
+    """Places and flags of a mesh's nodes, water where there are observations."""
+    grid = _observed(spark, sf_dir).withColumns({"lon": _lon(), "lat": _lat()})
+    placed = mesh.with_coordinates(Decomposition(spark, *CASES[_DECOMPOSED]).nodes, grid, G2T, 73.0)
+    return placed.select("mypart", "inode", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "f_ghost", "f_periodic", "f_east", "f_west", "f_bc", "f_land", "f_water")
+
+
+# --- tracks of users over the grid --------------------------------------------------------------------------------------------------
+
+TRACK_PARTS, TRACK_BANDS = 16, 4
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A move of up to 20 columns and 15 rows for each event, on its user's track."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    return e.select(F.col("user_id").alias("track"), F.col("event_id").alias("id"), F.col("ts").alias("at"), (F.col("event_id") * 7919 % 41 - 20).alias("di"), (F.col("event_id") * 104_729 % 31 - 15).alias("dj"))
+
+
+def _tracks(spark: SparkSession, sf_dir: str, h: Header) -> DataFrame:
+    return tracks.positions(_moves(spark, sf_dir), F.col("track") * 37 % h.nx, F.col("track") * 53 % h.ny, h)
+
+
+def _tracks_sql(h: Header) -> str:
+    """CTE `track`: every event's points before and after its move, by sums over all of its user's events."""
+    upto = lambda c, to: f"coalesce(sum({c}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND {to}), 0)::BIGINT"
+    at = lambda c, start, n, to: f"user_id * {start} % {n} + {upto(c, to)}"
+    up = lambda y: sql.wrapped(y, 2 * (h.ny - 1))
+    xy = ", ".join(f"{at('di', 37, h.nx, to)} AS x{k}, {up(at('dj', 53, h.ny, to))} AS y{k}" for k, to in enumerate(("1 PRECEDING", "CURRENT ROW")))
+    return f"""moved AS (SELECT event_id, user_id, ts, event_id * 7919 % 41 - 20 AS di, event_id * 104729 % 31 - 15 AS dj FROM events),
+placed AS (SELECT event_id, user_id, {xy} FROM moved), {sql.turned("placed", "turn0", h, "x0", "y0", "from_i", "from_j")}, {sql.turned("turn0", "track", h, "x1", "y1", "to_i", "to_j")}"""
+
+
+@query(f"WITH {_tracks_sql(G025)} SELECT event_id, user_id, from_i, from_j, to_i, to_j, (to_j + {G025.halo_s})::BIGINT * {G025.ni} + to_i + {G025.halo_w} AS n FROM track")
+def event_tracks(spark, sf_dir):
+    """The points of the quarter-degree grid between which each event moves its user."""
+    found = _tracks(spark, sf_dir, G025)
+    return found.select(F.col("id").alias("event_id"), F.col("track").alias("user_id"), "from_i", "from_j", "to_i", "to_j", linear(F.col("to_i"), F.col("to_j"), G025).alias("n"))
+
+
+def _part(i, j, h: Header):
+    return (bucket(j, F.lit(h.ny), TRACK_BANDS) * (TRACK_PARTS // TRACK_BANDS) + bucket(i, F.lit(h.nx), TRACK_PARTS // TRACK_BANDS)).cast("int")
+
+
+def _part_sql(i: str, j: str, h: Header) -> str:
+    return f"({_slice(j, h.ny, TRACK_BANDS)} * {TRACK_PARTS // TRACK_BANDS} + {_slice(i, h.nx, TRACK_PARTS // TRACK_BANDS)})::INTEGER"
+
+
+@query(f"""WITH {_tracks_sql(G025)} SELECT {_part_sql("from_i", "from_j", G025)} AS from_part, {_part_sql("to_i", "to_j", G025)} AS to_part, count(*) AS moves, count(DISTINCT user_id) AS tracks FROM track GROUP BY ALL""")
+def event_part_crossings(spark, sf_dir):
+    """How many moves lead from part to part of a decomposition into 16, and on how many tracks."""
+    at = lambda end: _part(F.col(f"{end}_i"), F.col(f"{end}_j"), G025)
+    return tracks.crossings(_tracks(spark, sf_dir, G025), at("from"), at("to"))
+
+
+_TRACK_LON, _TRACK_LAT = f"{{}}_i * {360.0 / G025.nx}::DOUBLE", f"{{}}_j * {170.0 / (G025.ny - 1)}::DOUBLE - 80.0::DOUBLE"
+
+
+@query(f"""WITH {_tracks_sql(G025)}, ends AS (SELECT user_id, {", ".join(f"{_TRACK_LON.format(e)} AS lon_{e}, {_TRACK_LAT.format(e)} AS lat_{e}" for e in ("from", "to"))} FROM track),
+far AS (SELECT user_id, round(2 * {geometry.EARTH_RADIUS} * asin(sqrt(least(pow(sin(radians(lat_to - lat_from) / 2), 2) + cos(radians(lat_from)) * cos(radians(lat_to)) * pow(sin(radians(lon_to - lon_from) / 2), 2), 1.0))))::BIGINT AS metres FROM ends)
+SELECT user_id, count(*) AS moves, sum(metres)::BIGINT AS metres, max(metres) AS longest FROM far GROUP BY user_id""")
+def event_track_lengths(spark, sf_dir):
+    """How far each user comes on the sphere, over the regular grid of the core's size."""
+    place = lambda end: (F.col(f"{end}_i") * F.lit(360.0 / G025.nx), F.col(f"{end}_j") * F.lit(170.0 / (G025.ny - 1)) - F.lit(80.0))
+    far = _tracks(spark, sf_dir, G025).select(F.col("track").alias("user_id"), F.round(geometry.sphere_distance(place("from"), place("to"))).cast("bigint").alias("metres"))
+    return far.groupBy("user_id").agg(F.count(F.lit(1)).alias("moves"), F.sum("metres").alias("metres"), F.max("metres").alias("longest"))
