@@ -19,7 +19,7 @@ from .operators.header import Header, header_of
 from .sources import locate, record, registry
 
 VERSION = "0.1.0"
-REVISION = ""  # a build may put the commit here
+REVISION = "$Format:%H$"  # git puts the commit here when it exports the tree (.gitattributes)
 DOMAIN = {"type": "global", "west": 0.0, "east": 360.0, "south": -90.0, "north": 90.0}
 
 #: Builders of headers by grid type, each given a row of the registry; generators of meshes by name.
@@ -49,7 +49,7 @@ def version_number(version: str = VERSION) -> int:
 
 
 def revision(count: int = 40) -> str:
-    return REVISION[: min(count, 40)] or "not available"
+    return "not available" if REVISION.startswith("$") else REVISION[: min(count, 40)]
 
 
 def specs(spark: SparkSession, base: str = registry.DEFAULT_BASE) -> DataFrame:

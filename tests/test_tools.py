@@ -107,6 +107,47 @@ def test_locator(spark):
     assert got[1] == got[2] == (1, 69) and got[3][0] == 141 and got[4] == (None, None)
 
 
+def test_unsound_records_are_found_and_discarded(spark, tmp_path):
+    h = Header("tiny", 6, 5, 1, 1, 1, 1, 3.0, 3.0)
+    flags = {c: F.lit(False) for c in ("ghost", "water", "invalid")}
+    points = spark.range(h.size).select(F.col("id").alias("n"), F.col("id").cast("double").alias("lon"), F.lit(0.0).alias("lat")).withColumns(flags)
+    at = lambda name: tmp_path / "grids/tripolar/v0" / f"{name}.grid"
+    for name in ("sound", "header", "dimensions", "points", "repeated", "unasked"):
+        record.write_record(points, h, str(at(name)))
+    for f in (at("header") / "header").glob("part-*.parquet"):
+        f.write_bytes(b"not a record" * 20)
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    spark.createDataFrame([(n, 0.0, 0.0, 0) for n in range(h.size - 1)], record.POINTS).write.mode("overwrite").parquet(str(at("points") / "points"))
+    spark.createDataFrame([(n % (h.size - 1), 0.0, 0.0, 0) for n in range(h.size)], record.POINTS).write.mode("overwrite").parquet(str(at("repeated") / "points"))
+    url = lambda name: f"{locate.DEFAULT_BASE}/v0/{name}.grid"
+    rows = [(url(n), 7 if n == "dimensions" else h.ni, h.nj) for n in ("sound", "header", "dimensions", "points", "repeated", "absent", "sound")]
+    wanted = spark.createDataFrame([*rows, (None, 1, 1)], "data_url string, ni int, nj int")
+    seen = locate.inspected(spark, wanted, str(tmp_path)).cache()
+    got = {r.data_url.rpartition("/")[2][:-5]: (r.points, r.problem) for r in seen.collect()}
+    n = h.size
+    assert seen.count() == 6 and got == {"sound": (n, None), "header": (n, "header"), "dimensions": (n, "dimensions"), "points": (n - 1, "points"), "repeated": (n, "points"), "absent": (0, "missing")}
+    assert locate.discard_unsound(spark, seen, str(tmp_path)) == sorted(map(url, ("header", "dimensions", "points", "repeated")))
+    assert at("sound").exists() and at("unasked").exists() and not any(at(x).exists() for x in ("header", "dimensions", "points", "repeated"))
+    seen.unpersist()
+    assert locate.discard_unsound(spark, locate.inspected(spark, wanted, str(tmp_path)), str(tmp_path)) == []
+
+
+def test_wrong_lengths(spark, tmp_path):
+    (tmp_path / "grids/tripolar/v0").mkdir(parents=True)
+    for name in "ab":
+        (tmp_path / f"grids/tripolar/v0/{name}.grid").write_text("four")
+    url = lambda name: f"{locate.DEFAULT_BASE}/v0/{name}.grid"
+    urls = spark.createDataFrame([(url("a"), 4), (url("b"), 5), (url("c"), 6)], "data_url string, length bigint")
+    assert {(r.data_url, r.length, r.bytes) for r in locate.wrong_lengths(spark, urls, str(tmp_path)).collect()} == {(url("b"), 5, 4), (url("c"), 6, None)}
+
+
+def test_revision_of_an_exported_tree(monkeypatch):
+    monkeypatch.setattr(catalog, "REVISION", "0123456789" * 4)
+    assert catalog.revision(7) == "0123456" and catalog.revision(99) == "0123456789" * 4
+    monkeypatch.setattr(catalog, "REVISION", "$Format:%H$")
+    assert catalog.revision() == "not available"
+
+
 def test_store(spark, tmp_path):
     (tmp_path / "grids/tripolar/v0").mkdir(parents=True)
     (tmp_path / "grids/tripolar/v0/a.grid").write_text("x")
