@@ -9,7 +9,7 @@ from ..functions import geometry
 from ..functions.fold import bucket, core_of_linear, linear
 from ..operators import balance, distance, locator, merkle, mesh, partition, points, quality, stencil, tracks
 from ..operators.header import Header
-from ..sources import bands, prefixes, text_grid
+from ..sources import bands, mesh_text, prefixes, record, text_grid
 from ..sources.shared import scratch_path
 from . import sql
 from .roster import CASES, G2T, G025, Decomposition, _bent_lat, _bent_lon, _classes_3d_sql, _lat, _lon, _node_flags_sql, _values, _values_sql, query
@@ -355,6 +355,33 @@ def obs_mesh_node_flags(spark, sf_dir):
     return placed.select("mypart", "inode", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "f_ghost", "f_periodic", "f_east", "f_west", "f_bc", "f_land", "f_water")
 
 
+@query(f"""WITH {_FIELD} SELECT n, ih, jh, cents::BIGINT AS cents, n_obs::BIGINT AS n_obs, ghost, water, n_obs > 3 AS invalid FROM geo WHERE n BETWEEN {30 * G2T.ni} AND {90 * G2T.ni - 1}""")
+def obs_record_rows(spark, sf_dir):
+    """Rows 30 to 89 of the observed field, written as a grid record with its flags and read back."""
+    grid = points.with_ghost(_observed(spark, sf_dir), G2T)
+    own = grid.select("n", F.col("cents").cast("double").alias("lon"), F.col("n_obs").cast("double").alias("lat"), "ghost", "water", (F.col("n_obs") > 3).alias("invalid"))
+    path = scratch_path(spark, "record")
+    record.write_record(own, G2T, path)
+    _, back = record.read_record(spark, path)
+    rows = back.where(F.col("n").between(30 * G2T.ni, 90 * G2T.ni - 1))
+    return rows.select("n", "ih", "jh", F.col("lon").cast("bigint").alias("cents"), F.col("lat").cast("bigint").alias("n_obs"), "ghost", "water", "invalid")
+
+
+@query(f"""WITH {_CELLS}, {_values_sql(G2T)}, corner AS (SELECT unnest([node0, node1, node2, node3]) AS inode FROM cell WHERE mypart = 0)
+SELECT n.inode, n.gi::DOUBLE AS x, n.gj::DOUBLE AS y, any_value(cents)::DOUBLE AS value, count(c.inode) AS cells
+FROM node n LEFT JOIN vals ON vals.n_master = n.master_glb_idx - 1 LEFT JOIN corner c ON c.inode = n.inode WHERE n.mypart = 0 GROUP BY n.inode, n.gi, n.gj""")
+def obs_mesh_text(spark, sf_dir):
+    """The first part's mesh with the observed sums on its nodes, ghosts by exchange, written as text and read back."""
+    d, own, received = _node_values(spark, sf_dir)
+    path = scratch_path(spark, "mesh-text")
+    values = own.unionByName(received).where("mypart = 0").select("inode", F.col("value").cast("double").alias("value"))
+    mesh_text.write_mesh(d.nodes.where("mypart = 0"), mesh.cells(d.nodes, d.h).where("mypart = 0"), path, "ij", values)
+    nodes, cells, back = mesh_text.read_mesh(spark, path)
+    around = cells.select(F.explode(F.array(*[f"node{k}" for k in range(4)])).alias("inode")).groupBy("inode").agg(F.count(F.lit(1)).alias("cells"))
+    met = nodes.join(back, "inode", "left").join(around, "inode", "left")
+    return met.select("inode", "x", "y", "value", F.coalesce("cells", F.lit(0)).cast("bigint").alias("cells"))
+
+
 # --- tracks of users over the grid --------------------------------------------------------------------------------------------------
 
 TRACK_PARTS, TRACK_BANDS = 16, 4

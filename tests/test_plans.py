@@ -14,7 +14,7 @@ def plan(spark, name):
 
 
 #: Those that prepare tables before there is a plan are held to the same in test_observed.py.
-PREPARED = ("obs_event_located", "obs_event_parts", "obs_distance", "obs_smoothed", "obs_text_files", "obs_band_rows")
+PREPARED = ("obs_event_located", "obs_event_parts", "obs_distance", "obs_smoothed", "obs_text_files", "obs_band_rows", "obs_record_rows", "obs_mesh_text")
 
 
 @pytest.mark.parametrize("name", [n for n in roster.QUERIES if not n.endswith(("_v", "_serial")) and n not in PREPARED])

@@ -99,6 +99,24 @@ def test_mesh_text(spark, tmp_path):
         mesh_text.mesh_lines(nodes, m["cells"], "uvw")
 
 
+def test_mesh_text_is_read_back(spark, tmp_path):
+    m = catalog.generate_mesh(spark, header_of("g", 20, 15, "T"))
+    nodes = m["nodes"].withColumns({"lon": F.col("gi") * 1.5, "lat": F.col("gj") * 0.5})
+    values = spark.createDataFrame([(k, k / 4) for k in range(0, 300, 7)] + [(1, None), (None, 2.0)], "inode bigint, value double")
+    mesh_text.write_mesh(nodes, m["cells"], str(tmp_path / "m"), values=values)
+    own, cells, back = mesh_text.read_mesh(spark, str(tmp_path / "m"))
+    same = lambda a, b: a.count() == b.count() and a.exceptAll(b).isEmpty()
+    assert same(own, nodes.select(F.col("inode").cast("bigint").alias("inode"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.lit(0.0).alias("z")))
+    corners = [F.col(f"node{k}").cast("bigint").alias(f"node{k}") for k in range(4)]
+    assert same(cells, m["cells"].select(F.col("jcell").cast("bigint").alias("jcell"), "part", *corners))
+    assert {tuple(r) for r in back.collect()} == {(k, k / 4) for k in range(0, 300, 7)}
+    mesh_text.write_mesh(nodes, m["cells"], str(tmp_path / "bare"))
+    assert mesh_text.read_mesh(spark, str(tmp_path / "bare"))[2].count() == 0
+    (tmp_path / "none.msh").write_text("$Nodes\n0\n$EndNodes\n")
+    with pytest.raises(ValueError):
+        mesh_text.read_mesh(spark, str(tmp_path / "none.msh"))
+
+
 def test_locator(spark):
     h = roster.G2T
     cells = quality.cell_corners(roster._plain(spark, h), h)
