@@ -12,8 +12,8 @@ s - ceil(0.8 s) + l. Filters under three orders are intersected before any two t
   the second and under the third order meet as well are kept (`sharing`). Only then are their sets intersected.
 
 Groups of many similar sets aren't compared pair by pair: each set is first compared with one other of its most
-widespread prefix token; then per token with the set that has fewest tokens of its own, then with another, always across
-the components found so far; last, all pairs of different components that still share a prefix token are compared,
+widespread prefix token; then per token with the set that has fewest tokens of its own, then with others of its size,
+always across the components found so far; last, all pairs of different components that still share a prefix token are compared,
 which makes the result exact. The work is linear in the tokens but for that last step; nothing is capped. Links are joined to components by alternating stars over written tables.
 
 Tokens found in many sets of a sample (`frequent`) are known to be shared and last in the first order, so their rows
@@ -298,6 +298,20 @@ def with_leaders(members: DataFrame, rows: DataFrame, order, percent: int, first
     return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
+def with_varied_leaders(rows: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs (a, b) of each set and one of each of its tokens, chosen by a hash of both among those of a like size.
+
+    So a set meets about as many others as it has tokens, but never more: pairs are linear in the rows. Where many sets
+    of a group are similar to some of the others only, this joins nearly all that belong together."""
+    bucket = F.floor(F.log("n") / F.log(F.lit(100 / percent)))  # sizes of similar sets are in the same one or in the next
+    of = F.struct(F.xxhash64("key", "token", F.lit(seed)).alias("o"), *ONE)
+    leaders = rows.groupBy("token", bucket.alias("near")).agg(F.min(of).alias("y"))
+    leaders = leaders.select("token", F.explode(F.array(F.col("near") - 1, F.col("near"), F.col("near") + 1)).alias("near"), "y")
+    members = rows.select("token", bucket.alias("near"), F.struct(*ONE).alias("x"))
+    pairs = members.join(leaders, ["token", "near"]).where((F.col("x.c") != F.col("y.c")) & within_bound("x", "y", percent, first=False))
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
 def widest(rows: DataFrame) -> DataFrame:
     """The row of each set whose token is in the prefixes of the most sets."""
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
@@ -308,14 +322,14 @@ def widest(rows: DataFrame) -> DataFrame:
 def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """(key, component) of the classes that have links.
 
-    In four steps, each for pairs across the components that those before have found: every set with the leader of its
-    most widespread token, which joins large groups with one pair a set; with the leaders of all its tokens, twice; last
-    with all other sets of its tokens.
+    In five steps, each for pairs across the components that those before have found: every set with the leader of its
+    most widespread token, which joins large groups with one pair a set; with the leaders of all its tokens; twice with
+    leaders of its size that differ from token to token; last with all other sets of its tokens.
     """
     left = written(live(with_text(docs, reps), reps, width, percent), "live")
     rows = written(rare_prefixes(with_text(docs, left), left, width, percent), "prefixes")
     done, of, tried = [left, rows], None, None
-    for step in ("widest", "fewest", "hashed", "all"):
+    for step in ("widest", "fewest", "varied", "again", "all"):
         if of is None:
             found = rows.withColumn("c", F.col("key"))
         else:
@@ -327,8 +341,8 @@ def class_components(docs: DataFrame, reps: DataFrame, width: int, percent: int)
             pairs = with_leaders(widest(found), found, F.col("n") - F.col("shared"), percent, first=False)
         elif step == "fewest":
             pairs = with_leaders(found, found, F.col("n") - F.col("shared"), percent)
-        elif step == "hashed":
-            pairs = with_leaders(found, found, F.xxhash64("key"), percent)
+        elif step in ("varied", "again"):
+            pairs = with_varied_leaders(found, percent, len(step))
         else:
             one = F.struct(*ONE)
             apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & within_bound("x", "y", percent)
