@@ -327,6 +327,26 @@ def test_classes_are_told_apart_by_whole_digests(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(twice).collect()} == {(5, 5), (6, 5), (7, 5), (8, 8)}
 
 
+def test_ngram_join_of_a_group_without_a_centre(spark, monkeypatch):
+    """Sets of one group of which each is similar to some others only: few pairs are left for the last step."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(150):
+        gone = set(rng.choice(16, 3, replace=False).tolist())
+        rows.append((k, " ".join("x" if j % 7 == 3 and j // 7 in gone else w for j, w in enumerate(base)) + f" end{k}"))
+    counts, verified = [], ngram_join.verified
+
+    def counted(pairs, *others):
+        counts.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()} == brute.components(rows)
+    assert len(set(c for _, c in brute.components(rows).values())) < 20 and (len(counts) < 5 or counts[-1] < 150 * 149 / 8)
+
+
 def test_frequent_tokens_are_dealt_by_set(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "EVERY", 1)
     base = " ".join(f"w{k}" for k in range(40))
