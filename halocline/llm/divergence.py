@@ -15,7 +15,7 @@ terms. How p stands out against q is f = floor((p - q)^2 / q). All numbers are w
   above q are evaluated, and their top-th value is the mark. Buckets whose bounds are strictly below it can't hold a
   term of the result; only the others are evaluated.
 
-Counting combines in each task, then by (language, term), so neither a hot source nor a frequent term gathers rows. A
+Counting cuts the bytes of a batch of texts into terms at once and combines in each task, then by (language, term), so neither a hot source nor a frequent term gathers rows. A
 term's postings are no more than the sources of a language, whose square is the number of rows returned.
 
 Defined results: null text, language or source is the empty string; rows repeated with one doc_id are documents each; a
@@ -25,45 +25,89 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, drop_written, rows_of, small_batches, small_side, written
+from .common import drop_written, small_batches, small_side, written
 
 LEAST, TOP, SCALE = 3, 200, 1_000_000_000
-HELD = 300_000  # counts that a task gathers before it hands them on
+HELD = 64 << 20  # bytes of counts that a task gathers before it adds them up, and hands them on if that doesn't halve them
+HANDED = 1 << 16  # rows of a batch that is handed on
 ITEMS = 1 << 18  # pairs of postings that a task works on at once
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans(UPPER, LOWER)
+#: What a byte of a text is in a term: 0 ends a term, A-Z are lower-cased, bytes from 0x80 on are parts of letters.
+LETTERS = np.arange(256, dtype=np.uint8)
+LETTERS[:0x41] = LETTERS[0x5B:0x61] = LETTERS[0x7B:0x80] = 0
+LETTERS[0x41:0x5B] += 0x20
+
+
+def starts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+
+
+def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row, term) of every occurrence, from the bytes of all texts at once: no term passes from one text into the next."""
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    if ends[0] == ends[-1]:
+        return np.empty(0, np.int64), pa.array([], pa.string())
+    data = LETTERS[np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
+    ends = ends - ends[0]
+    inside = data != 0
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    filled = np.flatnonzero(np.diff(ends))
+    for edges, at in ((first, ends[filled]), (last, ends[filled + 1] - 1)):
+        edges[at] = inside[at]
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    upto = np.r_[0, np.cumsum(last - first + 1)].astype(np.int32)
+    terms = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(upto), pa.py_buffer(data[inside])])
+    return np.searchsorted(ends, first, side="right") - 1, terms
 
 
 def counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents with the term, gathered per task, so rows may repeat."""
-
-    def handed(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
-        rows = [(*group, term, n, held[group][1][term]) for group in held for term, n in held[group][0].items()]
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["lang", "source", "term", "n", "docs"])
+    names = ["lang", "source", "term", "n", "docs"]
+
+    def counted(batch: pa.RecordBatch) -> pa.Table:
+        row, term = terms_of(batch.column("text"))
+        lang, source, term = (x.dictionary_encode() for x in (batch.column("lang"), batch.column("source"), term))
+        group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+        terms = max(len(term.dictionary), 1)
+        # Sorted by text and term: a run is a term of one text. Then by group and term: a run has its texts.
+        key = np.sort(row * terms + term.indices.to_numpy())
+        at = starts(key)
+        n = np.diff(np.r_[at, len(key)])
+        key = group[key[at] // terms] * terms + key[at] % terms
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        at = starts(key)
+        n, having = np.add.reduceat(n, at) if len(at) else n, np.diff(np.r_[at, len(key)])
+        group, code = key[at] // terms, key[at] % terms
+        columns = ((lang, group // max(len(source.dictionary), 1)), (source, group % max(len(source.dictionary), 1)), (term, code))
+        return pa.table([*(x.dictionary.take(pa.array(k)) for x, k in columns), pa.array(n), pa.array(having)], names)
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(tables).group_by(names[:3], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        return found.select([*names[:3], "n_sum", "docs_sum"]).rename_columns(names)
 
     def run(batches):
-        held, size = defaultdict(lambda: (Counter(), Counter())), 0
-        for lang, source, text in rows_of(batches, 32):
-            own = Counter(TERM.findall((text or "").translate(_LOWER)))
-            n, docs = held[lang, source]
-            n.update(own)
-            docs.update(own.keys())
-            size += len(own)  # at least the new terms
-            if size > HELD and (size := sum(len(x[0]) for x in held.values())) > HELD:
-                yield handed(held)
-                held.clear()
-                size = 0
-        if held:
-            yield handed(held)
+        gathered, size = [], 0
+        for batch in batches:
+            gathered.append(counted(batch))
+            size += gathered[-1].nbytes
+            if size > HELD:
+                gathered = [summed(gathered)]
+                size = gathered[0].nbytes
+                if 2 * size > HELD:
+                    yield from gathered[0].to_batches(max_chunksize=HANDED)
+                    gathered, size = [], 0
+            pa.default_memory_pool().release_unused()
+        if gathered:
+            yield from summed(gathered).to_batches(max_chunksize=HANDED)
 
     small_batches(docs.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
@@ -108,7 +152,7 @@ def corrections(rows: DataFrame) -> DataFrame:
     def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys, kind="stable")
         keys, values = keys[order], values[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        first = starts(keys)
         return keys[first], np.add.reduceat(values, first)
 
     def run(batches):
@@ -131,7 +175,7 @@ def corrections(rows: DataFrame) -> DataFrame:
                 number.append(numbers[name])
             number = np.array(number, np.int64)[group]
             p, p0 = (table.column(c).to_numpy() for c in ("p", "p0"))
-            first = np.flatnonzero(starts(lang, term))
+            first = np.flatnonzero(changes(lang, term))
             sizes = np.diff(np.r_[first, len(p)])
             partners, begin = np.repeat(sizes, sizes), np.repeat(first, sizes)
             upto = np.cumsum(partners)
@@ -146,7 +190,7 @@ def corrections(rows: DataFrame) -> DataFrame:
                     yield summed(number[a] << 32 | number[b], f(p[a], p[b]) - f(p[a], p0[b]) - f(p0[a], p[b]) + f(p0[a], p0[b]))
                 at = end
 
-        def starts(lang, term) -> np.ndarray:
+        def changes(lang, term) -> np.ndarray:
             x, y = lang.indices.to_numpy(), term.indices.to_numpy()
             return np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
 
@@ -156,7 +200,7 @@ def corrections(rows: DataFrame) -> DataFrame:
             for batch in batches:
                 table = pa.Table.from_batches([batch])
                 held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-                cut = np.flatnonzero(starts(*(held.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term"))))[-1] if held.num_rows else 0
+                cut = np.flatnonzero(changes(*(held.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term"))))[-1] if held.num_rows else 0
                 if cut:
                     yield held.slice(0, cut)
                     held = held.slice(cut)

@@ -6,8 +6,10 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from halocline.llm import divergence, filter_audit, queries, simhash
 
@@ -154,6 +156,29 @@ def test_divergence_ties_small_batches_and_awkward_rows(spark, documents, no_doc
     assert divergence.divergence(no_documents).count() == 0
 
 
+def test_divergence_terms_of_texts_side_by_side():
+    rng = random.Random(5)
+    pieces = ["a", "Z", "zA", " ", "\0", "@", "[", "`", "{", "\x7f", "\x80", "\x85", "\xa0", "\u212a", "\u0130", "\u00c4", "\u5b57", "\U0001f600"]
+    texts = ["ab", "CD", "", "", "e\u00c4", "\u00e4", "?", "f"] + ["".join(rng.choices(pieces, k=rng.randrange(12))) for _ in range(400)]
+    cut = lambda t: re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t))
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.array(texts, kind)
+        for part, own in ((whole, texts), (whole.slice(1, 300), texts[1:301]), (whole.slice(2, 2), texts[2:4]), (whole.slice(0, 0), [])):
+            rows, terms = divergence.terms_of(part)
+            assert list(zip(rows.tolist(), terms.to_pylist())) == [(k, w) for k, t in enumerate(own) for w in cut(t)]
+
+
+def test_divergence_counts_are_added_up_in_the_task(spark):
+    """Terms of a task beyond 300,000 leave it once, however many of its texts repeat them."""
+    word = F.translate(F.col("id").cast("string"), "0123456789", "aBcdefghij")
+    text = spark.range(301_000).agg(F.concat_ws(" ", F.sort_array(F.collect_list(word)), F.lit("a A")).alias("text"))
+    docs = text.crossJoin(spark.range(2)).select(F.lit("x").alias("lang"), F.lit("s").alias("source"), "text").coalesce(1)
+    got = divergence.counts(docs).groupBy("n", "docs").agg(F.count(F.lit(1)).alias("rows")).collect()
+    assert sorted(map(tuple, got)) == [(2, 2, 300_999), (6, 2, 1)]
+    none = docs.select("lang", "source", F.lit(" 1\t").alias("text"))
+    assert divergence.counts(none).count() == 0 and divergence.divergence(none).count() == 0
+
+
 def plain_audit(rows, labels):
     """Result rows by running every order on every document, of rows (doc_id, source, text)."""
     out = []
