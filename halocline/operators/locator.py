@@ -2,9 +2,11 @@
 
 Tiles of longitude and latitude are squares that halve from level to level. A cell is entered into every tile that its
 box touches; tiles with more than `limit` cells are split into four, and only their entries go on, down to `deepest`.
-So where cells are dense the tiles are small, and a point meets about as many cells everywhere. A point has one tile a level;
-it is dealt to the levels that have leaves, of which only the leaf it lies in has entries. Leaves with many points are
-dealt to several tasks: their points by a hash, their few cells to each.
+So where cells are dense the tiles are small, and a point meets about as many cells everywhere. Boxes that are at least a
+tile wide and high, or LONG tiles long, stay in the tile when it is split: smaller tiles would repeat them and not part
+them (near the fold many boxes are as wide as the globe). A point has one tile a level; it is dealt to the levels that
+have entries, and meets a cell in one of them at most. Leaves with many points are dealt to several tasks: their points
+by a hash, their few cells to each.
 
 Points on common sides lie in the cell that comes first by row and column. Points in no cell have null indices, and so
 have those with a null, infinite or undefined coordinate. Ids of points are distinct.
@@ -24,6 +26,7 @@ from .quality import CORNERS
 
 COARSEST = 8.0  # degrees of a tile of level 0; 360 is a multiple of it
 LIMIT, DEEPEST, HOT = 32, 12, 100_000  # cells a leaf, levels, points of a leaf that one task takes
+LONG = 16  # tiles: a longer box does not go on to smaller ones
 BOX = ("x0", "x1", "y0", "y1")
 
 
@@ -51,7 +54,7 @@ def first_level(cells: int, limit: int = LIMIT) -> int:
 
 
 def quadtree(boxes: DataFrame, limit: int = LIMIT, deepest: int = DEEPEST) -> tuple[DataFrame, list[int]]:
-    """Entries (boxes with level, tx, ty, key) of the leaves, and the levels that have any."""
+    """Entries (boxes with level, tx, ty, key) that points are compared with, and the levels that have any."""
     boxes = written(boxes, "cell-boxes")
     level = min(deepest, first_level(boxes.count(), limit))
     size = COARSEST / 2**level
@@ -60,16 +63,18 @@ def quadtree(boxes: DataFrame, limit: int = LIMIT, deepest: int = DEEPEST) -> tu
     leaves, levels = [], []
     while True:
         entries = written(entries.withColumn("level", F.lit(level)).withColumn("key", tile_key(F.col("tx"), level)), "tile-entries")
-        dense = entries.groupBy("key", "ty").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") > limit).select("key", "ty")
+        sides = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+        parted = (F.least(*sides) < size) & (F.greatest(*sides) < LONG * size)
+        dense = entries.groupBy("key", "ty").agg(F.count(F.lit(1)).alias("cells"), F.max(parted).alias("parted")).where((F.col("cells") > limit) & F.col("parted")).select("key", "ty")
         if level >= deepest or dense.isEmpty():
             return reduce(DataFrame.unionByName, [*leaves, entries]), [*levels, level]
         dense = small_side(written(dense, "dense-tiles"), 24)
-        leaves.append(entries.join(dense, ["key", "ty"], "left_anti").select(*entries.columns))
+        marked = entries.join(dense.withColumn("dense", F.lit(True)), ["key", "ty"], "left").withColumn("dense", F.coalesce(F.col("dense") & parted, F.lit(False)))
+        leaves.append(marked.where("not dense").select(*entries.columns))
         levels.append(level)
         level, size = level + 1, size / 2
         halves = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)).alias(c)
-        finer = entries.join(dense, ["key", "ty"], "left_semi").drop("level", "key")
-        finer = finer.select(*boxes.columns, halves("tx"), "ty").select(*boxes.columns, "tx", halves("ty"))
+        finer = marked.where("dense").select(*boxes.columns, halves("tx"), "ty").select(*boxes.columns, "tx", halves("ty"))
         touches = lambda c, a, b: (F.col(c) * size <= F.col(b)) & ((F.col(c) + 1) * size > F.col(a))
         entries = finer.where(touches("tx", "x0", "x1") & touches("ty", "y0", "y1"))
 

@@ -125,6 +125,19 @@ def test_locator(spark):
     assert got[1] == got[2] == (1, 69) and got[3][0] == 141 and got[4] == (None, None)
 
 
+def test_wide_boxes_are_not_repeated_in_small_tiles(spark):
+    """Forty boxes as wide as the globe over cells of a degree: entries stay few, and each point finds its first cell."""
+    rows = [(-1 - k, 60, 1.0, 359.0, 10.0, 11.0) for k in range(40)] + [(i, j, float(i), i + 1.0, float(j), j + 1.0) for i in range(100, 130) for j in range(5, 15)]
+    corners = ", ".join(f"{v} AS lon_{c}, {w} AS lat_{c}" for c, v, w in (("sw", "a", "c"), ("se", "b", "c"), ("ne", "b", "d"), ("nw", "a", "d")))
+    cells = spark.createDataFrame(rows, "ih int, jh int, a double, b double, c double, d double").selectExpr("ih", "jh", *corners.split(", "))
+    boxes = spark.createDataFrame(rows, "ih int, jh int, x0 double, x1 double, y0 double, y1 double")
+    entries, levels = locator.quadtree(boxes, limit=8, deepest=6)
+    assert entries.count() < 10_000 and entries.where("ih < 0").groupBy("ih").count().where("count > 100").count() == 0 and len(levels) > 1
+    where = spark.createDataFrame([(k, 100.5 + k % 30, 5.5 + k // 30) for k in range(300)] + [(300, 99.5, 9.5)], "id int, lon double, lat double")
+    got = {r.id: (r.ih, r.jh) for r in locator.located(where, cells.where("ih >= 0"), limit=8, deepest=6).collect()}
+    assert got == {k: (100 + k % 30, 5 + k // 30) for k in range(300)} | {300: (None, None)}
+
+
 def test_unsound_records_are_found_and_discarded(spark, tmp_path):
     h = Header("tiny", 6, 5, 1, 1, 1, 1, 3.0, 3.0)
     flags = {c: F.lit(False) for c in ("ghost", "water", "invalid")}
